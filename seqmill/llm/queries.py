@@ -10,6 +10,7 @@ from ..runtime import table
 from .bpe import encode_texts
 from .leakage import leaked
 from .representative import accession_key, representatives, usable
+from .sentences import split_sentences
 from .top_items import top_items
 
 
@@ -37,7 +38,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+}
 
 _KEY = r"regexp_replace(regexp_extract(upper(subject_acc), '([^|\s]+)[|\s]*$', 1), '\.\d+$', '')"
 _PLACEHOLDERS = "'', '?', '-', '--', 'unknown', 'missing', 'none', 'not applicable', 'no voucher', 'nan', 'null', 'not available', 'n/a', 'na', 'missing: not collected'"
