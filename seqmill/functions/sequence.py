@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..iupac import COMPLEMENT_FROM, COMPLEMENT_TO, WILDCARDS
@@ -45,22 +46,19 @@ def rewrite_coordinates(description: Column, start: Column, end: Column) -> Colu
 def encodable(text: Column, charset: str = "gbk") -> Column:
     """True if ``text`` can be written in ``charset`` (Arrow UDF; the charset is
     not among those Spark encodes to)."""
-    import pandas as pd
 
-    @F.pandas_udf("boolean")
     def check(values: pd.Series) -> pd.Series:
-        def one(v: str | None) -> bool | None:
-            if v is None:
-                return None
-            try:
-                v.encode(charset)
-                return True
-            except UnicodeEncodeError:
-                return False
+        return values.map(lambda v: None if v is None else _fits(v, charset)).astype("object")
 
-        return values.map(one).astype("object")
+    return F.pandas_udf(check, "boolean")(text)
 
-    return check(text)
+
+def _fits(text: str, charset: str) -> bool:
+    try:
+        text.encode(charset)
+        return True
+    except UnicodeEncodeError:
+        return False
 
 
 # ------------------------------------------------------------------ names
@@ -225,6 +223,12 @@ def annotation_ok(features: Column, keys: list[str], excludes: list[str]) -> Col
     """Annotation check over an array of texts: false if one holds an excluded
     part, else whether one holds a key. Blanks and case are ignored."""
     clean = F.transform(F.filter(features, lambda x: x.isNotNull()), lambda x: F.lower(F.replace(x, F.lit(" "), F.lit(""))))
-    norm = lambda words: [w.replace(" ", "").lower() for w in words]
-    has = lambda words: functools.reduce(lambda a, b: a | b, [F.exists(clean, lambda x, w=w: F.contains(x, F.lit(w))) for w in norm(words)], F.lit(False))
+
+    def holds(word: str) -> Column:
+        part = F.lit(word.replace(" ", "").lower())
+        return F.exists(clean, lambda x: F.contains(x, part))
+
+    def has(words: list[str]) -> Column:
+        return functools.reduce(lambda a, b: a | b, map(holds, words), F.lit(False))
+
     return ~has(excludes) & has(keys)

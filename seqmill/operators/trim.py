@@ -357,7 +357,7 @@ def trim(aln: DataFrame, how: Trim = Trim()) -> DataFrame:
         m = matrix(g["seq"].tolist())[rows][:, cols]
         out = g.loc[rows, ["aln_id", "seq_id"]].copy()
         out["seq"] = [r.tobytes().decode("ascii") for r in m]
-        return out[out["seq"].str.strip("-") != ""]
+        return out[[bool(x.strip("-")) for x in out["seq"]]]
 
     kinds = {f.name: f.dataType.simpleString() for f in aln.schema}
     return aln.select("aln_id", "seq_id", "seq").groupBy("aln_id").applyInPandas(one, f"aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string")

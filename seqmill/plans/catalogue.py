@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries
+from . import alignment_queries, data_queries, hit_queries, record_queries
+
+_MODULES = (hit_queries, record_queries, alignment_queries, data_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(data_queries.QUERIES)
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data_queries.SQL)
+    return {name: q for m in _MODULES for name, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return data_queries.p4_found(spark, d)
+    return hit_queries.annotated_hits(spark, d)
