@@ -257,7 +257,7 @@ class _Splitter:
             return True
         more, may = low in BEFORE_MORE, low in MAY_END
         if len(before) == 1 and before.isalpha() and not may:
-            if before.islower() or more:
+            if before.islower():
                 # z. B., т. е., p. ej.; a letter that ends a sentence is a rarity
                 return bool(word) and word[0].isupper() and not more and self.doc.common(word)
             return bool(word) and word[0].isupper() and len(word) > 1 and self.doc.common(word) and not self._after_name(lo, m.start())
@@ -277,8 +277,8 @@ class _Splitter:
         return True
 
     def _after_name(self, lo: int, at: int) -> bool:
-        """The initial follows another initial or a title."""
-        return bool(re.search(r"\b[A-Z]\.\s*\Z", self.text[max(lo, at - 6) : at]))
+        """The letter follows another one with a period: J. O., z. B."""
+        return bool(re.search(r"\b[^\W\d_]\.\s*\Z", self.text[max(lo, at - 6) : at]))
 
 
 def sentence_spans(text: str | None, known: Knowledge | None = None) -> list[tuple[int, int]]:
