@@ -3,11 +3,11 @@
 Document-centred disambiguation. Whether a period ends a sentence depends on
 two questions, and both are put to unambiguous places first: a word is an
 abbreviation if it stands before a period that cannot end a sentence (a comma
-or a small letter follows) and nowhere in the document without one; a word
+or a figure follows) and nowhere in the document without one; a word
 after a period is a common word, hence capitalised only because it begins a
 sentence, if the document has it in small letters too. What a document leaves
-open is answered by the same counts over all documents, and by a short list of
-fixed abbreviations. Scripts have their own terminators: full-width stops need
+open is answered by counts over all documents, where a small letter after the
+period is evidence too, and by a short list of fixed abbreviations. Scripts have their own terminators: full-width stops need
 no blank after them, the danda and the Arabic question mark end sentences as
 they are, and Thai has no terminator but blanks between its letters.
 
@@ -61,6 +61,7 @@ _MARK = re.compile(r"[^\S\n]*(?:[•‣◦▪●·*+–—-]|\(?\d{1,3}[).]|\(?[
 _WORD_BEFORE = re.compile(r"[\w’'ऀ-ॿ°º](?:[\w’'ऀ-ॿ°º.-]*[\w’'ऀ-ॿ°º])?\Z")
 _WORD_AFTER = re.compile(rf"[\s{re.escape(_OPEN)}]*([\w’'ऀ-ॿ](?:[\w’'ऀ-ॿ-]*))")
 _EVIDENCE = re.compile(r"(?<![\w.])([^\W\d_][\w]{0,5}(?:\.[^\W\d_]{1,3})*)\.(?=[,;:)]|[^\S\n]+(?:[a-zа-яà-ÿ]|\d))")
+_SURE = re.compile(r"(?<![\w.])([^\W\d_][\w]{0,5}(?:\.[^\W\d_]{1,3})*)\.(?=[,;:)]|[^\S\n]+\d)")
 _PLAIN = re.compile(r"(?<![\w.])([^\W\d_]\w{0,5})(?![\w.])")
 _LOWER = re.compile(r"(?<![\w'’-])([^\W\d_A-ZÀ-Þ][\w'’]*)")
 _AFTER_DOT = re.compile(r"\.[\s\"“„«(]+([A-ZÀ-ÞА-Я][^\W\d_]*)(?![\w-])")
@@ -87,7 +88,7 @@ class _Document:
 
     def abbreviation(self, word: str) -> bool:
         if self._abbreviations is None:
-            seen = {w.lower() for w in _EVIDENCE.findall(self.text) if len(w) <= 4 or "." in w}
+            seen = {w.lower() for w in _SURE.findall(self.text)}
             plain = {w.lower() for w in _PLAIN.findall(self.text)} if seen else set()
             self._abbreviations = seen - plain
         return word in self._abbreviations or word in self.known.abbreviations
