@@ -198,8 +198,7 @@ def kmers(seq: Column, k: int) -> Column:
 
 def kmer_index(word: Column) -> Column:
     """Base-4 number of a word, digits A, C, G, T; null with another letter."""
-    digits = F.split(F.translate(word, "ACGT", "0123"), "")
-    value = F.aggregate(digits, F.lit(0).cast("long"), lambda a, c: a * 4 + c.cast("long"))
+    value = F.conv(F.translate(word, "ACGT", "0123"), 4, 10).cast("long")
     return F.when(word.rlike("^[ACGT]+$"), value)
 
 

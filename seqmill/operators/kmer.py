@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.sequence import expand_wildcards, kmer_index, kmers, strip_wildcards
+from ..runtime import spread
 
 
 def kmer_counts(df: DataFrame, id_col: str, seq: str, k: int, clean: bool = True) -> DataFrame:
     """(id, kmer, n): words of the cleaned sequence, as base-4 numbers. Lower-case
     wildcards survive the cleaning and are expanded."""
     text = F.translate(seq, "RYKMSWBDHVN", "") if clean else F.col(seq)
-    words = df.select(F.col(id_col).alias("id"), F.explode(kmers(F.upper(text), k)).alias("w"))
+    words = spread(df.select(F.col(id_col).alias("id"), text.alias("s"))).select("id", F.explode(kmers(F.upper("s"), k)).alias("w"))
     every = words.select("id", F.explode(F.when(F.col("w").rlike("^[ACGT]+$"), F.array("w")).otherwise(expand_wildcards(F.col("w")))).alias("w"))
     return every.select("id", kmer_index(F.col("w")).alias("kmer")).where("kmer is not null").groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n"))
 

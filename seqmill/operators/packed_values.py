@@ -24,6 +24,8 @@ from collections.abc import Callable, Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import spread
+
 OK, OPEN_QUOTE, OPEN_BRACKET = 0, 1, 2
 ERRORS = {OK: None, OPEN_QUOTE: "open_quote", OPEN_BRACKET: "open_bracket"}
 
@@ -198,7 +200,7 @@ def split_packed(
 
     ``fields`` maps column names to grammar names (default: the three packed
     fields, each with its own grammar). Narrow: one Arrow pass over the
-    projected columns and an explode in the JVM, no shuffle.
+    projected columns and an explode in the JVM, no shuffle (but for a small input of few splits).
     """
     fields = dict(fields or {k: k for k in GRAMMARS})
     if id_col in ("field", "pos", "value", "error"):
@@ -239,7 +241,7 @@ def split_packed(
                         names=["_id", "f", "values", "flags"],
                     )
 
-    parsed = src.mapInArrow(parse, f"_id {id_type}, f int, {_SCHEMA}")
+    parsed = spread(src).mapInArrow(parse, f"_id {id_type}, f int, {_SCHEMA}")
     labels = F.array(*[F.lit(f) for f in names])
     return (
         parsed.select("_id", "f", "flags", F.posexplode("values").alias("p", "value"))

@@ -39,7 +39,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import broadcast_if_small, cut
+from ..runtime import broadcast_if_small, cut, spread
 
 RULE, SWITCH, BACK = 100.0, 1.0, 1.0
 BLOCK = 8192
@@ -323,7 +323,7 @@ def read_times(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[st
                     names=["_id", "field", "source", "block", "codes", "times"],
                 )
 
-    return src.mapInArrow(read, f"_id long, {_READINGS}")
+    return spread(src).mapInArrow(read, f"_id long, {_READINGS}")
 
 
 def normalise_times(

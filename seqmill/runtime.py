@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only below this many rows (counted, not estimated).
@@ -51,6 +50,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist with spill to disk; losable, so only for cheap recomputation."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than there are.
+
+    So few splits mean a small input, hence the shuffle is small; a large input
+    has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

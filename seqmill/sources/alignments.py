@@ -136,7 +136,7 @@ def parse(text: str, form: str | None = None) -> Rows:
 def read_alignments(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(aln_id, seq_id, seq): alignments of any format, one file one alignment.
     A list file (one path per line) is read by ``read_file_list``."""
-    files = spark.read.option("wholetext", True).text([path] if isinstance(path, str) else list(path)).select(F.col("_metadata.file_name").alias("aln_id"), "value")
+    files = spark.read.text([path] if isinstance(path, str) else list(path), wholetext=True).select(F.col("_metadata.file_name").alias("aln_id"), "value")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
