@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's published rule for cutting a text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
@@ -143,4 +145,4 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["_id", "ids"])
                 lo = hi
 
-    return src.mapInArrow(encode, f"_id {kind}, ids array<int>").select(F.col("_id").alias(id_col), F.col("ids").alias(ids_as))
+    return spread(src).mapInArrow(encode, f"_id {kind}, ids array<int>").select(F.col("_id").alias(id_col), F.col("ids").alias(ids_as))

@@ -35,6 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import spread
+
 #: Letters of test items searched in one pass over the corpus.
 ITEM_LETTERS = 8_000_000
 #: Window lengths: scripts with blanks, and without.
@@ -328,6 +330,6 @@ def leaked(
     for b in range(blocks):
         # a block holds a bounded number of letters, so it may be sent to all
         block = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        part = src.mapInArrow(searcher(sc.broadcast(block)), f"_id {kind}, i long")
+        part = spread(src).mapInArrow(searcher(sc.broadcast(block)), f"_id {kind}, i long")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("_id").alias(id_col), F.col("i").alias(item_col)).distinct() if blocks > 1 else out.select(F.col("_id").alias(id_col), F.col("i").alias(item_col))

@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import is_small
+from ..runtime import is_small, spread
 
 # Abbreviations that a sentence goes on after ...
 BEFORE_MORE = frozenset(
@@ -308,7 +308,7 @@ def corpus_evidence(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 dotted, plain, lower, begins = Counter(), Counter(), Counter(), Counter()
         yield _counts(dotted, plain, lower, begins)
 
-    total = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, dotted long, plain long, lower long, begins long")
+    total = spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(count, "word string, dotted long, plain long, lower long, begins long")
     total = total.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("dotted", "plain", "lower", "begins")])
     abbreviation = (F.col("dotted") >= EVIDENCE) & (F.col("dotted") > OUTWEIGH * F.col("plain"))
     common = (F.col("lower") >= EVIDENCE) & (F.col("lower") * OUTWEIGH > F.col("begins"))
@@ -364,7 +364,7 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     memo.append(Knowledge(*shared.value))
                 return memo[0]
 
-            done = src.mapInArrow(_cutter(get), ddl)
+            done = spread(src).mapInArrow(_cutter(get), ddl)
         else:
             words = src.select("_id", F.explode(F.array_distinct(F.split(F.lower("_t"), r"[^\p{L}\p{M}.]+"))).alias("word")).withColumn("word", F.rtrim(F.lit("."), F.col("word")))
             own = words.join(found, "word").groupBy("_id").agg(F.collect_set(F.when(F.col("abbreviation"), F.col("word"))).alias("ab"), F.collect_set(F.when(F.col("common"), F.col("word"))).alias("co"))
