@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 _GAP = ord("-")
 # A published amino-acid matrix (BLOSUM62) in its usual order; nucleotides score 1 on the diagonal.
@@ -376,6 +376,67 @@ def column_map(aln: DataFrame, how: Trim = Trim()) -> DataFrame:
     return aln.select("aln_id", "seq_id", "seq").groupBy("aln_id").applyInPandas(one, f"aln_id {kind}, old_col long, new_col long")
 
 
+def trim_by_consistency(alns: DataFrame, how: Trim) -> DataFrame:
+    """Of each set of alignments of the same rows the most consistent one,
+    trimmed by the consistency of its columns (``how.consistency``)."""
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["aln_id", "seq_id"], kind="stable")
+        forms = {a: x["seq"].tolist() for a, x in g.groupby("aln_id", sort=True)}
+        values = {a: agreement(rows, [r for b, r in forms.items() if b != a]) for a, rows in forms.items()}
+        best = max(sorted(values), key=lambda a: values[a].mean() if len(values[a]) else 0.0)
+        part = g[g["aln_id"] == best]
+        cols, rows = kept_columns(part["seq"].tolist(), how, values[best])
+        m = matrix(part["seq"].tolist())[rows][:, cols]
+        out = part.loc[rows, ["set_id", "aln_id", "seq_id"]].copy()
+        out["seq"] = [r.tobytes().decode("ascii") for r in m]
+        return out
+
+    validate(how)
+    kinds = {f.name: f.dataType.simpleString() for f in alns.schema}
+    return (
+        alns.select("set_id", "aln_id", "seq_id", "seq")
+        .groupBy("set_id")
+        .applyInPandas(one, f"set_id {kinds['set_id']}, aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string")
+    )
+
+
+def agreement(rows: Sequence[str], others: Sequence[Sequence[str]]) -> np.ndarray:
+    """Per column: share of its residue pairs that other alignments align too."""
+
+    def ordinals(seqs: Sequence[str]) -> np.ndarray:
+        m = matrix(seqs) != _GAP
+        return np.where(m, m.cumsum(axis=1), 0)
+
+    mine = ordinals(rows)
+    out = np.zeros(mine.shape[1])
+    homes = []
+    for other in others:
+        o = ordinals(other)
+        # home[r, n]: column of the n-th residue of row r in the other alignment
+        home = np.full((len(o), o.max(initial=0) + 1), -1)
+        r, c = np.nonzero(o)
+        home[r, o[r, c]] = c
+        homes.append(home)
+    for col in range(mine.shape[1]):
+        here = np.flatnonzero(mine[:, col])
+        pairs = len(here) * (len(here) - 1) // 2 * len(homes)
+        if pairs:
+            same = 0
+            for home in homes:
+                _, n = np.unique(home[here, mine[here, col]], return_counts=True)
+                same += int((n * (n - 1) // 2).sum())
+            out[col] = same / pairs
+    return out
+
+
+def value_distribution(df: DataFrame, value: str) -> DataFrame:
+    """Columns per value of a statistic, from the greatest, with running share."""
+    h = df.groupBy("aln_id", value).agg(F.count(F.lit(1)).alias("n_columns"))
+    of = W.partitionBy("aln_id")
+    upto = F.sum("n_columns").over(of.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0))
+    return h.withColumns({"n_upto": upto, "share": F.round(upto / F.sum("n_columns").over(of), 6)})
+
+
 def complement(how: Trim) -> Trim:
     return replace(how, complementary=not how.complementary)
 

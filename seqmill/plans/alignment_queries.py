@@ -57,7 +57,25 @@ def _two_alignments(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(a.withColumns({"seq": F.lpad(bare, F.length("seq"), F.lit("-")), "aln_id": F.lit("left")}))
 
 
+def consensus_per_taxon(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus of every query with more than three jobs, after alignment."""
+    jobs = table(spark, d, "search_jobs").where("query is not null and sequence is not null").select(F.col("query").alias("aln_id"), F.col("id").alias("seq_id"), F.col("sequence").alias("seq"))
+    large = jobs.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("aln_id")
+    return msa.consensus_sequence(align.align(jobs.join(large, "aln_id", "left_semi")))
+
+
+def trim_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return trim.trim_by_consistency(_two_alignments(spark, d), trim.Trim("threshold", consistency=0.5))
+
+
+def gap_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return trim.value_distribution(column_gaps(spark, d), "gaps").select("aln_id", "gaps", "n_columns", "n_upto", "share")
+
+
 QUERIES = {
+    "consensus_per_taxon": consensus_per_taxon,
+    "trim_consistency": trim_consistency,
+    "gap_distribution": gap_distribution,
     "check_alignment": _on(msa.check_alignment),
     "column_gaps": column_gaps,
     "gap_histogram": _on(msa.gap_histogram),
@@ -120,6 +138,9 @@ count(*) FILTER (NOT regexp_full_match(seq, '[A-Z-]*')) AS n_bad FROM aln GROUP
     "column_gaps": f"WITH {GAPS} SELECT * FROM gaps",
     "gap_histogram": f"""WITH {GAPS}, h AS (SELECT aln_id, gaps, count(*) AS n_columns FROM gaps GROUP BY ALL)
 SELECT *, CAST(sum(n_columns) OVER (PARTITION BY aln_id ORDER BY gaps) AS BIGINT) AS n_upto FROM h""",
+    "gap_distribution": f"""WITH {GAPS}, h AS (SELECT aln_id, gaps, count(*) AS n_columns FROM gaps GROUP BY ALL)
+SELECT *, CAST(sum(n_columns) OVER (PARTITION BY aln_id ORDER BY gaps DESC) AS BIGINT) AS n_upto,
+round(sum(n_columns) OVER (PARTITION BY aln_id ORDER BY gaps DESC) / sum(n_columns) OVER (PARTITION BY aln_id), 6) AS share FROM h""",
     "windowed_gaps": f"""WITH {GAPS}, n AS (SELECT aln_id, max(col) AS n FROM gaps GROUP BY 1 HAVING max(col) >= 8),
 x AS (SELECT aln_id, col, n, unnest(range(col - 2, col + 3)) AS p FROM gaps JOIN n USING (aln_id)),
 y AS (SELECT aln_id, col, CASE WHEN p < 1 THEN 2 - p WHEN p > n THEN 2 * n - p ELSE p END AS p FROM x)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import sequence as S
 from ..operators import kmer, matrix, records, selection
 from ..runtime import table
+from ..sources import records as sink
 from .relations import MARKERS, NO_VALUE_SQL, is_voucher, marker_alignments
 
 
@@ -203,6 +204,15 @@ def codon_partitions(spark: SparkSession, d: str) -> DataFrame:
     return matrix.codon_partitions(partition_ranges(spark, d))
 
 
+def partition_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sink.partition_lines(codon_partitions(spark, d))
+
+
+def seq_info_rows(spark: SparkSession, d: str) -> DataFrame:
+    x = sink.seq_info_rows(_info(spark, d).withColumnsRenamed({"seq_start": "start", "seq_end": "end"}))
+    return x.groupBy("organelle").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("journal") == "unknown").alias("n_unknown"), F.sum("start").alias("total_start"))
+
+
 def union_of_taxa(spark: SparkSession, d: str) -> DataFrame:
     a = _info(spark, d).select("organism").where("organism is not null")
     b = table(spark, d, "blast_result_long").select(F.replace("taxon_name", F.lit("_"), F.lit(" ")).alias("organism")).where("organism is not null")
@@ -216,7 +226,7 @@ QUERIES = {
         borrowed_reference, record_predicate, marker_counts, not_yet_fetched, info_lookup, resolved_names, headers, encodable_headers, sequence_scalars,
         kmer_counts, kmer_similarity, average_rank, representative_per_taxon, representative_by_rank, saved_representatives, longest_per_taxon, backbone_tiers,
         length_clusters, chunks, length_ratio_split, longest_share, combine_markers_pivot, marker_lengths, taxon_completion, supermatrix, partition_ranges,
-        codon_partitions, union_of_taxa,
+        codon_partitions, partition_lines, seq_info_rows, union_of_taxa,
     )
 }
 
@@ -314,5 +324,9 @@ FROM search_jobs WHERE query IS NOT NULL GROUP BY 1""",
 SELECT marker, CAST(sum(n) OVER (ORDER BY marker) - n + 1 AS BIGINT) AS start_col, CAST(sum(n) OVER (ORDER BY marker) AS BIGINT) AS end_col FROM z""",
     "codon_partitions": f"""WITH {MARKERS}, z AS (SELECT marker, max(length(seq)) AS n FROM aln GROUP BY 1), r AS (SELECT marker, sum(n) OVER (ORDER BY marker) - n + 1 AS a, sum(n) OVER (ORDER BY marker) AS b FROM z)
 SELECT marker || '_' || (p + 1) AS name, CAST(a + p AS BIGINT) AS start_col, CAST(b AS BIGINT) AS end_col, 3 AS step FROM r CROSS JOIN (VALUES (0), (1), (2)) v(p)""",
+    "partition_lines": f"""WITH {MARKERS}, z AS (SELECT marker, max(length(seq)) AS n FROM aln GROUP BY 1), r AS (SELECT marker, sum(n) OVER (ORDER BY marker) - n + 1 AS a, sum(n) OVER (ORDER BY marker) AS b FROM z)
+SELECT marker || '_' || (p + 1) AS name, marker || '_' || (p + 1) || ' = ' || CAST(a + p AS BIGINT) || '-' || CAST(b AS BIGINT) || '\\3;' AS line FROM r CROSS JOIN (VALUES (0), (1), (2)) v(p)""",
+    "seq_info_rows": """SELECT coalesce(organelle, 'unknown') AS organelle, count(*) AS n, count(*) FILTER (coalesce(journal, 'unknown') = 'unknown') AS n_unknown,
+CAST(sum(seq_start) AS BIGINT) AS total_start FROM seq_info GROUP BY 1""",
     "union_of_taxa": "SELECT organism FROM seq_info WHERE organism IS NOT NULL UNION SELECT replace(taxon_name, '_', ' ') FROM blast_result_long WHERE taxon_name IS NOT NULL",
 }

@@ -286,3 +286,21 @@ def test_search_finds_both_strands(spark):
     assert got == {"q1": (1, 60, 21, 80, 60), "q2": (1, 40, 90, 51, 40)}
     want = spark.createDataFrame([("s", 90, 51)], "accession string, s_start long, s_end long")
     assert search.fetch_regions(want, subjects.withColumnRenamed("id", "accession")).first().seq == back
+
+
+def test_agreement_equals_the_joined_figure(spark):
+    rng = random.Random(9)
+    forms = {}
+    for name in "xyz":
+        rows = []
+        for _ in range(4):
+            s = list("ACGTAC")
+            for _ in range(3):
+                s.insert(rng.randrange(len(s) + 1), "-")
+            rows.append("".join(s))
+        forms[name] = rows
+    df = spark.createDataFrame([("s", a, str(i), r) for a, rows in forms.items() for i, r in enumerate(rows)], "set_id string, aln_id string, seq_id string, seq string")
+    got = {r.aln_id: r.consistency for r in msa.consistency(df).collect()}
+    for a, rows in forms.items():
+        assert got[a] == pytest.approx(trim.agreement(rows, [r for b, r in forms.items() if b != a]).mean(), abs=1e-5)
+    assert trim.trim_by_consistency(df, trim.Trim("threshold", consistency=0.9)).select("aln_id").distinct().count() <= 1

@@ -70,3 +70,25 @@ def test_pages(spark):
     rid, rtoe = search_xml.page_request(F.col("page"))
     got = df.select(rid, rtoe, search_xml.page_error(F.col("page"))).collect()
     assert [tuple(r) for r in got] == [("AB1", 12, None), (None, None, "too long"), (None, None, "24 Error: bad")]
+
+
+def test_settings():
+    from seqmill.sources import settings
+
+    r = settings.from_parameters({"target_region": "ITS", "key_annotations": "a| b", "max_length": "900", "unknown": "x", "word_size": ""})
+    assert (r.key_annotations, r.max_length, r.word_size) == (("a", "b"), 900, 7) and settings.problems(r) == []
+    bad = settings.Retrieval("", (), gap_costs="x", nucl_penalty=2)
+    assert len(settings.problems(bad)) == 4
+    request = settings.put_request("ACGT", r, 1000)
+    assert request["HITLIST_SIZE"] == "1050" and "ENTREZ_QUERY" not in request
+
+
+def test_record_writers(spark, tmp_path):
+    from seqmill.sources import records
+
+    df = spark.createDataFrame([("A1", None, "acgtn"), ("A2", "Aa", "AC")], "accession string, organism string, seq string")
+    rows = {r.accession: r for r in records.seq_info_rows(df).collect()}
+    assert rows["A1"].organism == rows["A2"].journal == "unknown" and rows["A1"].length == 4 and len(rows["A1"]) == 22
+    records.write_checked(df, str(tmp_path / "o"), F.col("organism") == "Aa")
+    got = spark.read.parquet(str(tmp_path / "o")).select("accession", F.col("is_valid").cast("string"))
+    assert sorted(map(tuple, got.collect())) == [("A1", "false"), ("A2", "true")]
