@@ -69,10 +69,22 @@ def plain(text: str) -> str:
     if "<" in text:
         text = _TAG.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        text = unicodedata.normalize("NFKD", text).translate(_BASE)
     return text.casefold()
 
 
+class _Base(dict):
+    """Drops combining marks and invisible format characters; filled on the way."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = value = None if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else code
+        return value
+
+
+_BASE = _Base()
+
+
 def _unmixed(word: str) -> str:
     return word.translate(_LOOK_ALIKE) if _LATIN.search(word) and _CYRILLIC.search(word) else word
 
@@ -169,7 +181,7 @@ class WuManber:
         order = np.argsort(full, kind="stable")
         self.hashes = full[order]
         self.owner, self.start = np.array(owner)[order], np.array(start)[order]
-        self.strings = [strings[i] for i in order]
+        self.codes = codes[order]
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -180,38 +192,38 @@ class WuManber:
     def _index(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(29))) * _MULT >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def search(self, text: str, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, item, its letter) of every window in ``text``."""
+    def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, items, their letters) of every window in a text."""
         m = self.m
+        none = np.empty(0, np.int64)
         if len(codes) < m:
-            return
+            return none, none, none
         with np.errstate(over="ignore"):
             ends = self.shift[self._index(_rolling(codes, self.b))[m - self.b :]] == 0
         at = np.flatnonzero(ends)
         if not len(at):
-            return
+            return none, none, none
         h = _rolling(codes, m)[at]
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        hit = lo < hi
-        for p, a, z in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-            word = text[p : p + m]
-            for i in range(a, z):
-                if self.strings[i] == word:
-                    yield p, int(self.owner[i]), int(self.start[i])
+        n = hi - lo
+        p = np.repeat(at, n)
+        entry = np.repeat(lo, n) + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+        if not len(p):
+            return none, none, none
+        same = (np.lib.stride_tricks.sliding_window_view(codes, m)[p] == self.codes[entry]).all(axis=1)
+        return p[same], self.owner[entry[same]], self.start[entry[same]]
 
 
 def _meet(a: str, i: int, b: str, j: int, ahead: int, agree: int) -> tuple[int, int] | None:
     """Nearest point after (i, j) from which the texts agree again."""
     best = None
     window = b[j : j + ahead + agree]
-    for x in range(ahead + 1):
+    where = {window[y : y + agree]: y for y in range(len(window) - agree, -1, -1)}
+    for x in range(min(ahead, len(a) - i - agree) + 1):
         if best is not None and x >= best[0]:
             break
-        probe = a[i + x : i + x + agree]
-        if len(probe) < agree:
-            break
-        y = window.find(probe)
-        if y >= 0 and (best is None or x + y < best[0]):
+        y = where.get(a[i + x : i + x + agree])
+        if y is not None and (best is None or x + y < best[0]):
             best = (x + y, x, y)
     return best and (i + best[1], j + best[2])
 
@@ -269,9 +281,10 @@ class Finder:
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for search, ks in self.searches:
-            for p, k, i in search.search(joined, codes):
-                d = int(np.searchsorted(begins, p, "right")) - 1
-                hits[d, int(ks[k])].append((p - int(begins[d]), i))
+            at, k, start = search.search(codes)
+            doc = np.searchsorted(begins, at, "right") - 1
+            for d, it, p, i in zip(doc.tolist(), ks[k].tolist(), (at - begins[doc]).tolist(), start.tolist()):
+                hits[d, it].append((p, i))
         backs: dict[int, str] = {}
         for (d, k), anchors in hits.items():
             it, text = self.items[k], texts[d]

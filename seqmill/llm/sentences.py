@@ -45,6 +45,7 @@ SHORT = 6
 _OPEN = "\"'“‘„«‹([{（「『【〈《‚¿¡*_"
 _CLOSE = "\"'”’»›)\\]}）」』】〉》“*_"
 _QUOTES = set("\"'”’»›」』“")
+_QUOTE = re.compile(r"[\"“„«「『]")
 _PAIR = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "‘": "’"}
 _END = re.compile(
     rf"(?P<wide>(?:[。！？｡．]|……|…(?=[^\s.…])|⋯⋯)+[。！？!?…]*|[।॥۔؟]+[!?]*)(?P<c1>[{_CLOSE}]*)"
@@ -55,6 +56,9 @@ _END = re.compile(
     rf"|(?P<caps>(?<=[A-ZÀ-ÞА-Я]{{3}})[.!?](?=[A-ZÀ-ÞА-Я]{{2}}))"
     rf"|(?P<thai>(?<=[ก-๛])\s+(?=[ก-๛]))"
 )
+# where a terminator may begin; ``_END`` then tells whether one does
+_STOP = re.compile(r"[.!?…⋯。！？｡．।॥۔؟]")
+_STOP_THAI = re.compile(r"[.!?…⋯。！？｡．।॥۔؟]|(?<=[ก-๛])\s")
 _BLANK = re.compile(r"(?:\r\n|[\n\r  \x0b\x0c])(?:[^\S\n\r]*(?:\r\n|[\n\r  \x0b\x0c]))+")
 _LINE = re.compile(r"\r\n|[\n\r  \x0b\x0c]")
 _MARK = re.compile(r"[^\S\n]*(?:[•‣◦▪●·*+–—-]|\(?\d{1,3}[).]|\(?[a-z]\)|\d{1,2}(?:\.\d{1,2})+\.?|#{1,6})[^\S\n]+(?=\S)")
@@ -150,53 +154,59 @@ class _Splitter:
     def _unit(self, start: int, end: int, free: int, out: list) -> None:
         text, begin, at = self.text, start, free
         caseless = None
+        quotes = _QUOTE.search(text, start, end) is not None
+        candidate = (_STOP_THAI if _THAI.search(text, start, end) else _STOP).search
         while at < end:
-            m = _END.search(text, at, end)
-            if m is None:
+            c = candidate(text, at, end)
+            if c is None:
                 break
+            m = _END.match(text, c.start(), end)
+            if m is None:
+                at = c.start() + 1
+                continue
             at = m.end()
-            kind = m.lastgroup
-            if m.group("thai"):
+            wide, c1, dots, mark, c2, bang, c3, dot, c4, tight, caps, thai = m.groups()
+            if thai:
                 self._emit(begin, m.start(), out)
                 begin = at
                 continue
             first = begin if begin > start else free
-            if m.group("tight") or m.group("caps"):
+            if tight or caps:
                 w = _WORD_BEFORE.search(text, max(first, m.start() - 40), m.start())
                 w = w.group().lower() if w else ""
                 if not self._inside_quote(first, m.start(), end) and w not in BEFORE_MORE and w not in MAY_END and "." not in w.rstrip("0123456789.") and "/" not in w:
                     self._emit(begin, at, out)
                     begin = at
                 continue
-            closers = m.group("c1") or m.group("c2") or m.group("c3") or m.group("c4") or ""
+            closers = c1 or c2 or c3 or c4 or ""
             # an opening mark right after a stop belongs to what follows
             stop = m.end()
             kept = self._closing(first, m.end() - len(closers), closers)
             if kept < len(closers):
                 stop = at = m.end() - len(closers) + kept
                 closers = closers[:kept]
-                if not m.group("wide") and stop < end and not text[stop].isspace():
+                if not wide and stop < end and not text[stop].isspace():
                     continue
-            quoted = any(c in _QUOTES for c in closers)
-            if not quoted and self._inside_quote(first, m.start(), end):
+            quoted = bool(closers) and any(c in _QUOTES for c in closers)
+            if not quoted and quotes and self._inside_quote(first, m.start(), end):
                 continue
             rest = _WORD_AFTER.match(text, stop, end)
             word = rest.group(1) if rest else ""
             if stop < end and text[stop:end].strip():
-                if m.group("wide"):
+                if wide:
                     if quoted and not text[stop].isspace() and (_GOES_ON.match(text, stop) or self._opens_with_quote(first)) and text[stop] not in _OPEN:
                         continue
                     if quoted and word and _small(word[0]):
                         continue
                 elif word and _small(word[0]) and quoted:
                     continue
-                elif m.group("dots"):
-                    if word and _small(word[0]) and not m.group("mark"):
+                elif dots:
+                    if word and _small(word[0]) and not mark:
                         continue
-                elif m.group("dot"):
+                elif dot:
                     if caseless is None:
-                        letters = [c for c in text[start:end] if c.isalpha()]
-                        caseless = not any(c.isupper() for c in letters[:400])
+                        piece = text[start:end]
+                        caseless = piece == piece.lower()
                     if not quoted and not closers and not self._ends(first, m.start(), word, text[stop:end], caseless):
                         continue
             self._emit(begin, stop, out)

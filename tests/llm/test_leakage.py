@@ -43,7 +43,7 @@ def test_search_finds_every_window():
     items = [L.Item(k, "".join(rng.choice("abcd") for _ in range(60)), 0.5) for k in range(5)]
     s = L.WuManber(20, items)
     text = "".join(rng.choice("abcd") for _ in range(500)) + items[2].letters + items[4].letters[10:45]
-    got = set(s.search(text, np.frombuffer(text.encode("utf-32-le"), np.uint32)))
+    got = set(zip(*(x.tolist() for x in s.search(np.frombuffer(text.encode("utf-32-le"), np.uint32)))))
     want = {(p, k, i) for p in range(len(text) - 19) for k, it in enumerate(items) for i in {*range(0, 41, L.STRIDE), 40} if text[p : p + 20] == it.letters[i : i + 20]}
     assert got == want and want
 
