@@ -45,7 +45,7 @@ STRIDE = 2
 #: Letters of a block, and bits of the shift table's index.
 B, BITS = 5, 22
 #: How far ahead the two texts may meet again, and what must then agree.
-AHEAD, AGREE = 34, 9
+AHEAD, AGREE = 34, 10
 AHEAD_DENSE, AGREE_DENSE = 10, 4
 #: Cost of a letter passed over, and how many ``agree`` a run may fall back.
 COST, DROP = 1.2, 4
@@ -218,13 +218,18 @@ def _meet(a: str, i: int, b: str, j: int, ahead: int, agree: int) -> tuple[int,
     """Nearest point after (i, j) from which the texts agree again."""
     best = None
     window = b[j : j + ahead + agree]
-    where = {window[y : y + agree]: y for y in range(len(window) - agree, -1, -1)}
-    for x in range(min(ahead, len(a) - i - agree) + 1):
+    # of a long enough agreement one of two neighbouring starts in ``b`` is even
+    step = 2 if agree > 8 else 1
+    size = agree - step + 1
+    where = {window[y : y + size]: y for y in range((len(window) - size) // step * step, -1, -step)}
+    for x in range(min(ahead, len(a) - i - size) + 1):
         if best is not None and x >= best[0]:
             break
-        y = where.get(a[i + x : i + x + agree])
+        y = where.get(a[i + x : i + x + size])
         if y is not None and (best is None or x + y < best[0]):
             best = (x + y, x, y)
+    if best is not None and step == 2 and best[1] and best[2] and a[i + best[1] - 1] == b[j + best[2] - 1]:
+        best = (best[0] - 2, best[1] - 1, best[2] - 1)
     return best and (i + best[1], j + best[2])
 
 
