@@ -19,37 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 _GAP = ord("-")
-# A published amino-acid matrix (BLOSUM62) in its usual order; nucleotides score 1 on the diagonal.
+#: Amino-acid letters that are scored.
 AMINO = "ARNDCQEGHILKMFPSTWYV"
-BLOSUM62 = """
-4 -1 -2 -2 0 -1 -1 0 -2 -1 -1 -1 -1 -2 -1 1 0 -3 -2 0
--1 5 0 -2 -3 1 0 -2 0 -3 -2 2 -1 -3 -2 -1 -1 -3 -2 -3
--2 0 6 1 -3 0 0 0 1 -3 -3 0 -2 -3 -2 1 0 -4 -2 -3
--2 -2 1 6 -3 0 2 -1 -1 -3 -4 -1 -3 -3 -1 0 -1 -4 -3 -3
-0 -3 -3 -3 9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1
--1 1 0 0 -3 5 2 -2 0 -3 -2 1 0 -3 -1 0 -1 -2 -1 -2
--1 0 0 2 -4 2 5 -2 0 -3 -3 1 -2 -3 -1 0 -1 -3 -2 -2
-0 -2 0 -1 -3 -2 -2 6 -2 -4 -4 -2 -3 -3 -2 0 -2 -2 -3 -3
--2 0 1 -1 -3 0 0 -2 8 -3 -3 -1 -2 -1 -2 -1 -2 -2 2 -3
--1 -3 -3 -3 -1 -3 -3 -4 -3 4 2 -3 1 0 -3 -2 -1 -3 -1 3
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4 -2 2 0 -3 -2 -1 -2 -1 1
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5 -1 -3 -1 0 -1 -3 -2 -2
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5 0 -2 -1 -1 -1 -1 1
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6 -4 -2 -2 1 3 -1
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7 -1 -1 -4 -3 -2
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4 1 -3 -2 -2
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5 -2 -2 0
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11 2 -3
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7 -1
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
-"""
 
 
 @dataclass(frozen=True)
 class Trim:
     """What to do. ``method``: one of METHODS; thresholds as on the command
     line: ``gap`` is the least share of rows without gap, ``similarity`` and
-    ``consistency`` the least value, ``keep`` the least percentage of columns."""
+    ``consistency`` the least value, ``keep`` the least percentage of columns.
+    ``scores`` is a residue matrix (``sources.alignments.read_similarity_matrix``);
+    without one, letters are equal or not."""
 
     method: str = "automated1"
     gap: float | None = None
@@ -63,6 +43,7 @@ class Trim:
     window: int = 0
     gap_window: int | None = None
     similarity_window: int | None = None
+    scores: tuple[tuple[str, str, float], ...] = ()
 
 
 METHODS = ("nogaps", "noallgaps", "gappyout", "strict", "strictplus", "automated1", "threshold", "overlap", "select")
@@ -111,14 +92,18 @@ def is_amino(m: np.ndarray) -> bool:
     return amino > 0
 
 
-def distance_table(amino: bool) -> np.ndarray:
+def distance_table(amino: bool, scores: Sequence[tuple[str, str, float]] = ()) -> np.ndarray:
     """Distances of letters: Euclidean between their columns of the matrix."""
-    if amino:
-        names, scores = AMINO, np.array(BLOSUM62.split(), np.float64).reshape(20, 20)
+    if scores:
+        names = "".join(dict.fromkeys(a for a, _, _ in scores))
+        value = {(a, b): v for a, b, v in scores}
+        m = np.array([[value.get((a, b), 0.0) for b in names] for a in names])
     else:
-        names, scores = "ACGTU", np.eye(5)
-        scores[3, 4] = scores[4, 3] = 1.0
-    d = np.sqrt(((scores[:, None, :] - scores[None, :, :]) ** 2).sum(axis=2))
+        names = AMINO if amino else "ACGTU"
+        m = np.eye(len(names))
+        if not amino:
+            m[3, 4] = m[4, 3] = 1.0
+    d = np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2))
     out = np.zeros((256, 256), np.float32)
     codes = np.frombuffer(names.encode(), np.uint8)
     out[np.ix_(codes, codes)] = d
@@ -135,13 +120,13 @@ def window_mean(v: np.ndarray, half: int, rounded: bool) -> np.ndarray:
     return np.floor(mean + 0.5).astype(int) if rounded else mean.astype(np.float32)
 
 
-def similarity(m: np.ndarray, gaps: np.ndarray, amino: bool) -> np.ndarray:
+def similarity(m: np.ndarray, gaps: np.ndarray, amino: bool, scores: Sequence[tuple[str, str, float]] = ()) -> np.ndarray:
     """exp(-Q) per column: Q is the mean distance of its pairs of letters,
     weighted by how unlike their rows are; 0 with 80 % gaps or more."""
     indet = ord("X" if amino else "N")
     ok = (m != _GAP) & (m != indet)
     n = len(m)
-    table = distance_table(amino)
+    table = distance_table(amino, scores)
     num, den = np.zeros(m.shape[1]), np.zeros(m.shape[1])
     for i in range(n - 1):
         other, both = m[i + 1 :], ok[i + 1 :] & ok[i]
@@ -283,7 +268,7 @@ def kept_columns(seqs: Sequence[str], t: Trim, agree: np.ndarray | None = None)
     raw = (m == _GAP).sum(axis=0)
     gaps = window_mean(raw, t.gap_window if t.gap_window is not None else t.window, True)
     sim_half = t.similarity_window if t.similarity_window is not None else t.window
-    values = lambda: window_mean(similarity(m, raw, amino), sim_half, False)
+    values = lambda: window_mean(similarity(m, raw, amino, t.scores), sim_half, False)
     method = t.method
     if method == "automated1":
         method = automatic(m, amino)
@@ -441,13 +426,13 @@ def complement(how: Trim) -> Trim:
     return replace(how, complementary=not how.complementary)
 
 
-def column_similarity(aln: DataFrame, half: int = 0) -> DataFrame:
+def column_similarity(aln: DataFrame, half: int = 0, scores: Sequence[tuple[str, str, float]] = ()) -> DataFrame:
     """(aln_id, col, similarity) of every column, from 1."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         m = matrix(g.sort_values("seq_id", kind="stable")["seq"].tolist())
         raw = (m == _GAP).sum(axis=0)
-        v = window_mean(similarity(m, raw, is_amino(m)), half, False)
+        v = window_mean(similarity(m, raw, is_amino(m), scores), half, False)
         return pd.DataFrame({"aln_id": g["aln_id"].iloc[0], "col": np.arange(1, len(v) + 1), "similarity": v.astype(float).round(6)})
 
     kind = aln.schema["aln_id"].dataType.simpleString()

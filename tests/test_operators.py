@@ -212,7 +212,10 @@ def test_blocks_and_rescue():
 def test_similarity():
     same = trim.similarity(trim.matrix(["AA", "AC", "AG"]), np.array([0, 0]), False)
     assert same[0] == 1 and 0 < same[1] < 1
-    assert trim.distance_table(True)[ord("A"), ord("A")] == 0
+    near = (("M", "M", 5.0), ("M", "L", 4.0), ("L", "M", 4.0), ("L", "L", 5.0), ("K", "K", 5.0))
+    d = trim.distance_table(True, near)
+    assert d[ord("M"), ord("M")] == 0 and d[ord("M"), ord("L")] < d[ord("M"), ord("K")]
+    assert trim.distance_table(True)[ord("M"), ord("L")] == pytest.approx(2**0.5)
     assert trim.is_amino(trim.matrix(["MKVLW", "MKVLW"])) and not trim.is_amino(trim.matrix(["ACGT"]))
 
 
