@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(folder):
@@ -14,7 +15,7 @@ def connect(folder):
 
 
 def _cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))
