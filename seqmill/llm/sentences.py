@@ -93,7 +93,7 @@ class _Document:
     def abbreviation(self, word: str) -> bool:
         if self._abbreviations is None:
             seen = {w.lower() for w in _SURE.findall(self.text)}
-            plain = {w.lower() for w in _PLAIN.findall(self.text)} if seen else set()
+            plain = set(_PLAIN.findall(self.text.lower())) if seen else set()
             self._abbreviations = seen - plain
         return word in self._abbreviations or word in self.known.abbreviations
 
@@ -307,9 +307,10 @@ def corpus_evidence(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for t in batch.column(0).to_pylist():
                 if t:
                     dotted.update(w.lower() for w in _EVIDENCE.findall(t))
-                    plain.update(w.lower() for w in _PLAIN.findall(t))
-                    words = [w.lower() for w in _AFTER_DOT.findall(t)]
+                    plain.update(_PLAIN.findall(t.lower()))
+                    words = _AFTER_DOT.findall(t)
                     if words:
+                        words = [w.lower() for w in words]
                         begins.update(words)
                         small = set(_LOWER.findall(t))
                         lower.update(w for w in words if w in small)
