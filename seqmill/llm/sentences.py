@@ -351,12 +351,46 @@ def _cutter(get: Callable[[int, pa.RecordBatch], Knowledge]) -> Callable[[Iterat
     return cut_texts
 
 
+def asked_words(text: str) -> set[str]:
+    """All words that ``_Splitter`` can ask ``Knowledge`` about in ``text``: those
+    before a period, begun anywhere as a sentence may begin inside one, and those
+    after it."""
+    out = set()
+    at = text.find(".")
+    while at >= 0:
+        m = _WORD_BEFORE.search(text, max(0, at - 40), at)
+        if m:
+            run = m.group()
+            for i in range(len(run)):
+                word = run[i:].lstrip(".-").strip("’'").lower()
+                if word and len(word) <= SHORT + 2:
+                    out.add(word)
+        m = _WORD_AFTER.match(text, at + 1)
+        if m:
+            out.add(m.group(1).lower())
+        at = text.find(".", at + 1)
+    return out
+
+
+def _asked_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(at, _ROWS)
+            rows, words = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                mine = asked_words(text) if text else ()
+                rows += [i] * len(mine)
+                words += mine
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(words, pa.string())], names=["_id", "word"])
+
+
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``start_pos``, ``end_pos`` of every sentence.
 
     Two narrow passes over the texts. The corpus' findings are sent to all
-    tasks if their counted number permits; else each document gets those of
-    its own words by a join.
+    tasks if their counted number permits; else each document gets those that
+    its own periods ask about by a join, with the same result.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()
@@ -377,13 +411,14 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
             done = spread(src).mapInArrow(_cutter(get), ddl)
         else:
-            words = src.select("_id", F.explode(F.array_distinct(F.split(F.lower("_t"), r"[^\p{L}\p{M}.]+"))).alias("word")).withColumn("word", F.rtrim(F.lit("."), F.col("word")))
+            words = spread(src).mapInArrow(_asked_of, f"_id {kind}, word string")
             own = words.join(found, "word").groupBy("_id").agg(F.collect_set(F.when(F.col("abbreviation"), F.col("word"))).alias("ab"), F.collect_set(F.when(F.col("common"), F.col("word"))).alias("co"))
 
             def of_row(i: int, batch: pa.RecordBatch) -> Knowledge:
                 return Knowledge(frozenset(batch.column(2)[i].as_py() or ()), frozenset(batch.column(3)[i].as_py() or ()))
 
-            done = src.join(own, "_id", "left").select("_id", "_t", "ab", "co").mapInArrow(_cutter(of_row), ddl)
+            own = own.withColumnRenamed("_id", "_own")
+            done = src.join(own, F.col("_id").eqNullSafe(F.col("_own")), "left").select("_id", "_t", "ab", "co").mapInArrow(_cutter(of_row), ddl)
     finally:
         found.unpersist()
     return done.select(F.col("_id").alias(id_col), "start_pos", "end_pos")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from seqmill.llm import sentences as S
 
@@ -76,3 +77,19 @@ def test_operator(spark, monkeypatch):
     assert S.split_sentences(docs.limit(0)).count() == 0
     monkeypatch.setattr(S, "is_small", lambda df: False)  # the join instead of the broadcast
     assert sorted(map(tuple, S.split_sentences(docs).collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_corpus_evidence_reaches_both_branches(spark, monkeypatch):
+    learn = ["It lay in the inst. of fen, and the ab2. of moss, so besk went on."] * 6
+    texts = ["He saw the Inst. Besk there.", "He saw the ab2. Moss there.", "It saw B. Then left.", "It was (Inst. Fen).It ended.", "X.Inst. Fen came."]
+    rows = [(i, t) for i, t in enumerate(learn + ["It came. Then it left, then came."] * 6 + texts)] + [(None, "By the Inst. Fen it lay.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.word for r in S.corpus_evidence(docs).collect()}
+    assert {"inst", "ab2", "then"} <= found
+    got = sorted(map(repr, S.split_sentences(docs).collect()))
+    plain = [S.sentence_spans(t) for t in texts]
+    at = len(rows) - 1 - len(texts)
+    have = [[(r.start_pos, r.end_pos) for r in S.split_sentences(docs).where(F.col("doc_id") == at + i).orderBy("start_pos").collect()] for i in range(3)]
+    assert all(a != b for a, b in zip(have, plain))  # the corpus decides here
+    monkeypatch.setattr(S, "is_small", lambda df: False)
+    assert sorted(map(repr, S.split_sentences(docs).collect())) == got
