@@ -14,9 +14,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .cluster import average_linkage
+from .msa import cells
 
 _NEG = -1e9
 #: Cells of a pairwise table beyond which only a band is filled.
@@ -215,3 +216,29 @@ def align(df: DataFrame, mode: str = "auto", most: int = 20_000) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return df.select("aln_id", "seq_id", "seq").groupBy("aln_id").applyInPandas(one, f"aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string")
+
+
+def majority_rows(aln: DataFrame) -> DataFrame:
+    """(aln_id, majority): the most frequent letter of each column, of equally
+    frequent ones the last; N in a column of gaps."""
+    c = cells(aln).groupBy("aln_id", "col", "base").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.col("base") == "-"
+    best = F.max_by(F.when(gap, "N").otherwise(F.col("base")), F.struct(F.when(gap, 0).otherwise(F.col("n")), F.col("base"))).alias("base")
+    cols = c.groupBy("aln_id", "col").agg(best).groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct("col", "base"))).alias("c"))
+    return cols.select("aln_id", F.array_join(F.transform("c", lambda x: x["base"]), "").alias("majority"))
+
+
+def add_groups(groups: DataFrame, backbones: DataFrame) -> DataFrame:
+    """Groups (aln_id, seq_id, seq, reference), each by itself added to the
+    alignment ``reference``, of which ``backbones`` has the majority row; a group
+    without one is aligned alone."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("seq_id", kind="stable").copy()
+        backbone = g["majority"].iloc[0]
+        g["seq"] = long_group(g["seq"].tolist()) if backbone is None else add_to([backbone], g["seq"].tolist())[1:]
+        return g[["aln_id", "seq_id", "seq"]]
+
+    x = groups.join(backbones.withColumnRenamed("aln_id", "reference"), "reference", "left").select("aln_id", "seq_id", "seq", "majority")
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
+    return x.groupBy("aln_id").applyInPandas(one, f"aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string")

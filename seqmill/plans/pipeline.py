@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import sequence as S
 from ..operators import align, cluster, hits, msa, records, search, selection
+from ..runtime import cut
 from ..sources.search_xml import job_state
 
 __all__ = ["Stages", "control_extension", "evaluate", "job_state", "reduce_dataset", "retrieve"]
@@ -147,17 +148,29 @@ def reduce_dataset(
     return selection.representative_per_taxon(ranked, voucher, journal, "accession", consensus=consensus, journal_layer=journal_layer)
 
 
-def control_extension(recs: DataFrame, original: DataFrame, genus: str = "genus", gappyness: float = 0.5, least: int = 5) -> DataFrame:
+def control_extension(recs: DataFrame, original: DataFrame, genus: str = "genus", gappyness: float = 0.5, least: int = 5, parent: str | None = None) -> DataFrame:
     """Trim wrongly extended ends back to the original hit.
 
     ``recs``: (accession, genus, start, seq), the extended region from ``start``;
     ``original``: (accession, r_start, r_end), the hit before extension. The
     records of a genus are aligned; where the columns of an added end are more
     than ``gappyness`` gaps in the record's own row, the end is cut.
+
+    A genus of at most ``least`` records is added to the alignment of the largest
+    genus under the same ``parent`` (a column of ``recs``), else of the largest of
+    all; only where no genus is large it stands alone. A record without genus is
+    one by itself.
     """
-    sizes = recs.groupBy(genus).agg(F.count(F.lit(1)).alias("_n"))
-    x = recs.join(sizes, genus).withColumn("aln_id", F.when(F.col("_n") > least, F.col(genus)).otherwise(F.lit("_small")))
-    aln = align.align(x.select("aln_id", F.col("accession").alias("seq_id"), "seq"), "long").withColumnRenamed("seq", "row")
+    x = recs.withColumn("aln_id", F.coalesce(F.col(genus).cast("string"), F.concat(F.lit("\x1f"), "accession")))
+    above = F.min(parent) if parent else F.max(F.lit(None).cast("string"))
+    sizes = x.groupBy("aln_id").agg(F.count(F.lit(1)).alias("_n"), above.alias("_parent"))
+    refs = selection.borrowed_reference(sizes, "_parent", "aln_id", "_n", least).select("aln_id", "_n", "reference")
+    rows = cut(x.join(refs, "aln_id").select("aln_id", "_n", "reference", F.col("accession").alias("seq_id"), "seq"))
+    aln = cut(align.align(rows.where(F.col("_n") > least), "long"))
+    small = rows.where(F.col("_n") <= least)
+    backbones = align.majority_rows(aln.join(small.select(F.col("reference").alias("aln_id")).distinct(), "aln_id", "left_semi"))
+    added = align.add_groups(small, backbones)
+    aln = aln.unionByName(added).withColumnRenamed("seq", "row")
     y = x.join(aln.select(F.col("seq_id").alias("accession"), "row"), "accession").join(original, "accession")
     end = F.col("start") + F.length("seq") - 1
     first, last = S.residue_span(F.col("row"))

@@ -61,3 +61,18 @@ def test_stream_keeps_each_accession_once(spark, tmp_path):
     go()
     got = sorted((r.subject_acc, r.s_start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("A", 3), ("B", 1), ("C", 2)]
+
+
+def test_small_genera_borrow_the_alignment_of_their_largest_relative(spark):
+    rng = random.Random(6)
+    core, ahead, other = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (30, 60, 50))
+    big = [(f"g{i}", "Big", "F", 41, ahead + core) for i in range(6)] + [(f"o{i}", "Odd", "E", 81, other) for i in range(9)]
+    # an end that lies far from the hit in the relatives' alignment
+    few = [("s1", "Small", "F", 81, ahead[:20] + core), ("n1", None, "F", 81, ahead[:20] + core), ("t1", "Tiny", "E", 81, other)]
+    recs = spark.createDataFrame(big + few, "accession string, genus string, family string, start long, seq string")
+    original = spark.createDataFrame([(r[0], 101, 130) for r in big + few], "accession string, r_start long, r_end long")
+    got = {r.accession: (r.start, r.seq) for r in pipeline.control_extension(recs, original, parent="family").collect()}
+    assert len(got) == 18 and got["s1"] == got["n1"] == (101, core)
+    assert got["t1"] == (81, other) and got["g0"] == (41, ahead + core)
+    alone = recs.where("accession in ('s1', 't1')")  # no large genus
+    assert {r.accession: r.seq for r in pipeline.control_extension(alone, original).collect()} == {"s1": ahead[:20] + core, "t1": other}
