@@ -10,18 +10,23 @@ come out equally long, and equal rows align without gaps.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import broadcast_if_small, cut
 from .cluster import average_linkage
 from .msa import cells
+from .records import ranked
 
 _NEG = -1e9
 #: Cells of a pairwise table beyond which only a band is filled.
 FULL_CELLS = 4_000_000
+#: Rows of a group that one task clusters in mode ``long``.
+LONG_ROWS = 2_000
 
 
 def word_similarity(a: str, b: str, k: int = 6) -> float:
@@ -122,28 +127,40 @@ def merge_star(centre: str, parts: Sequence[tuple[str, str]]) -> tuple[str, list
     n = len(centre)
     room = [0] * (n + 1)  # gaps wanted before each letter of the centre
     for c, _ in parts:
-        run = at = 0
-        for ch in c:
-            if ch == "-":
-                run += 1
-            else:
-                room[at] = max(room[at], run)
-                run, at = 0, at + 1
-        room[at] = max(room[at], run)
+        for at, run in _gap_runs(c):
+            room[at] = max(room[at], run)
     whole = "".join("-" * room[i] + centre[i] for i in range(n)) + "-" * room[n]
+    return whole, [_in_room(c, s, room) for c, s in parts]
+
+
+def _gap_runs(c: str) -> list[tuple[int, int]]:
+    """(letters before it, length) of each gap."""
     out = []
-    for c, s in parts:
-        row, at, run = [], 0, []
-        for x, y in zip(c, s):
-            if x == "-":
-                run.append(y)
-            else:
-                row.append("".join(run) + "-" * (room[at] - len(run)))
-                row.append(y)
-                run, at = [], at + 1
-        row.append("".join(run) + "-" * (room[at] - len(run)))
-        out.append("".join(row))
-    return whole, out
+    run = at = 0
+    for ch in c:
+        if ch == "-":
+            run += 1
+        else:
+            if run:
+                out.append((at, run))
+            run, at = 0, at + 1
+    if run:
+        out.append((at, run))
+    return out
+
+
+def _in_room(c: str, s: str, room: Sequence[int]) -> str:
+    """The row ``s``, aligned to the centre as ``c``, in the merged alignment."""
+    row, at, run = [], 0, []
+    for x, y in zip(c, s):
+        if x == "-":
+            run.append(y)
+        else:
+            row.append("".join(run) + "-" * (room[at] - len(run)))
+            row.append(y)
+            run, at = [], at + 1
+    row.append("".join(run) + "-" * (room[at] - len(run)))
+    return "".join(row)
 
 
 def star(seqs: Sequence[str]) -> list[str]:
@@ -183,7 +200,7 @@ def long_group(seqs: Sequence[str], most_clusters: int = 10, long_ratio: float =
         m = np.array([list(r) for r in rows])
         consensus = np.array([Counter(c).most_common(1)[0][0] for c in m.T])
         m = np.vstack([m, consensus])
-        d = (m[:, None, :] != m[None, :, :]).mean(axis=2)
+        d = np.array([(m != r).mean(axis=1) for r in m])
         labels = average_linkage(d, 2) if len(long) <= most_clusters else average_linkage(d, min(most_clusters, len(long) // 3))
         core = [i for i, c in zip(long, labels[:-1]) if c == labels[-1]]
         if core and len(core) < len(long):
@@ -202,20 +219,105 @@ def long_group(seqs: Sequence[str], most_clusters: int = 10, long_ratio: float =
 def align(df: DataFrame, mode: str = "auto", most: int = 20_000) -> DataFrame:
     """(aln_id, seq_id, seq) aligned per ``aln_id``, groups in parallel.
 
-    A group of more than ``most`` rows is refused: split it first (``chunks``),
-    as a single task cannot align an unbounded group.
+    A group of more than ``most`` rows, in mode ``long`` also one of more than
+    ``LONG_ROWS``, is spread over many tasks. In mode ``auto`` that gives the
+    same rows; in mode ``long`` the backbone is then that of a bounded sample of
+    the long rows, to whose majority row all others are added.
     """
     how = {"auto": star, "long": long_group}[mode]
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > most:
-            raise ValueError(f"a group has {len(g)} rows; split it into chunks of {most}")
         g = g.sort_values("seq_id", kind="stable").copy()
         g["seq"] = how(g["seq"].tolist())
         return g
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select("aln_id", "seq_id", "seq").groupBy("aln_id").applyInPandas(one, f"aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string")
+    x = df.select("aln_id", "seq_id", "seq")
+    kinds = {f.name: f.dataType.simpleString() for f in x.schema}
+    ddl = f"aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string"
+    limit = min(most, LONG_ROWS) if mode == "long" else most
+    large = cut(df.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("aln_id"))
+    if large.isEmpty():
+        return x.groupBy("aln_id").applyInPandas(one, ddl)
+    spread_out = cut(_same(x, large, "inner").withColumn("seq", F.replace("seq", F.lit("-"), F.lit(""))))
+    rest = _same(x, large, "left_anti").groupBy("aln_id").applyInPandas(one, ddl)
+    return rest.unionByName(_spread_star(spread_out) if mode == "auto" else _spread_long(spread_out, LONG_ROWS // 2))
+
+
+def _same(x: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    k = keys.select(F.col("aln_id").alias("_k"))
+    return x.join(broadcast_if_small(k), F.col("aln_id").eqNullSafe(F.col("_k")), how).drop("_k")
+
+
+def _tasks(df: DataFrame) -> int:
+    s = df.sparkSession
+    return max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _spread_star(x: DataFrame) -> DataFrame:
+    """``star`` of each group with its rows in many tasks: the same centre, the
+    same pairs, and gaps merged by their maxima."""
+    ids = x.groupBy("aln_id", "seq").agg(F.min("seq_id").alias("first")).withColumn("d", F.monotonically_increasing_id())
+    ids = cut(ids.repartition(_tasks(x), "d"))
+    n = F.length("seq") - 5
+    words = ids.select("aln_id", "d", F.explode(F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("seq", i, F.lit(6)))))).alias("word"))
+    shared = words.groupBy("aln_id", "word").agg((F.count(F.lit(1)) - 1).alias("n"))
+    w, c = words.alias("w"), shared.alias("c")
+    score = w.join(c, F.col("w.aln_id").eqNullSafe(F.col("c.aln_id")) & (F.col("w.word") == F.col("c.word"))).groupBy("w.d").agg(F.sum("c.n").alias("score"))
+    centres = ids.join(score, "d", "left").groupBy("aln_id").agg(F.min_by("seq", F.struct(-F.coalesce("score", F.lit(0)), F.col("first"))).alias("centre"))
+    rows = _merged(ids.select("aln_id", "d", "seq", F.lit("pair").alias("how")), centres)
+    rows = rows.join(ids.select("d", F.col("seq").alias("bare")), "d").select(F.col("aln_id").alias("_k"), "bare", F.col("seq").alias("row"))
+    both = x.join(rows, F.col("aln_id").eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("bare")))
+    return both.select("aln_id", "seq_id", F.col("row").alias("seq"))
+
+
+def _spread_long(x: DataFrame, most: int) -> DataFrame:
+    """``long_group`` of at most ``most`` of each group's long rows; all others
+    are added to its majority row, fragments with free ends."""
+    top = x.groupBy("aln_id").agg(F.max(F.length("seq")).alias("top")).withColumnRenamed("aln_id", "_k")
+    y = x.join(F.broadcast(top), F.col("aln_id").eqNullSafe(F.col("_k"))).drop("_k").withColumn("d", F.monotonically_increasing_id())
+    y = cut(y.repartition(_tasks(x), "d"))
+    core = ranked(y.where(F.col("top") * 0.7 < F.length("seq")), ["aln_id"], [F.xxhash64("seq_id", F.lit(42)), "seq_id", "d"], most)
+    core = cut(align(core.select("aln_id", F.col("d").alias("seq_id"), "seq"), "long").select("aln_id", F.col("seq_id").alias("d"), "seq"))
+    centres = majority_rows(core.withColumnRenamed("d", "seq_id")).withColumnRenamed("majority", "centre")
+    others = y.join(core.select("d"), "d", "left_anti").select("aln_id", "d", "seq", F.when(F.length("seq") < F.col("top") * 0.5, "fragment").otherwise("pair").alias("how"))
+    rows = _merged(core.withColumn("how", F.lit("done")).unionByName(others), centres)
+    return y.select("d", "seq_id").join(rows, "d").select("aln_id", "seq_id", "seq")
+
+
+def _merged(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Rows (aln_id, d, seq, how) aligned to their group's centre, (aln_id, d,
+    seq): ``done`` ones are so already, a ``fragment`` has free ends."""
+    kind = rows.schema["aln_id"].dataType.simpleString()
+    key = centres.withColumnRenamed("aln_id", "_k")
+    on = F.col("aln_id").eqNullSafe(F.col("_k"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, seqs, hows, whole = (c.to_pylist() for c in batch.columns)
+            out = [(b, s) if how == "done" or s == b else global_pair(b, s, free_ends=how == "fragment") for s, how, b in zip(seqs, hows, whole)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, pa.string()) for v in zip(*out))] if out else [*batch.columns[:2], pa.array([], pa.string()), pa.array([], pa.string())], names=["aln_id", "d", "c", "s"])
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, at, run) for i, c in enumerate(batch.column(1).to_pylist()) for at, run in _gap_runs(c)]
+            i, at, run = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int32())), pa.array(at, pa.int64()), pa.array(run, pa.int64())], names=["aln_id", "at", "run"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c, s, wide in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                room = [0] * (len(c) - c.count("-") + 1)
+                for r in wide or ():
+                    room[r["at"]] = r["run"]
+                out.append(_in_room(c, s, room))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["aln_id", "d", "seq"])
+
+    x = rows.join(F.broadcast(key), on).select("aln_id", "d", "seq", "how", "centre").repartition(_tasks(rows), "d")
+    pairs = cut(x.mapInArrow(pair, f"aln_id {kind}, d long, c string, s string"))
+    wide = pairs.select("aln_id", "c").mapInArrow(gaps, f"aln_id {kind}, at long, run long").groupBy("aln_id", "at").agg(F.max("run").alias("run"))
+    wide = wide.groupBy("aln_id").agg(F.collect_list(F.struct("at", "run")).alias("wide")).withColumnRenamed("aln_id", "_k")
+    return pairs.join(F.broadcast(wide), on, "left").select("aln_id", "d", "c", "s", "wide").mapInArrow(place, f"aln_id {kind}, d long, seq string")
 
 
 def majority_rows(aln: DataFrame) -> DataFrame:

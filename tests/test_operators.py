@@ -307,3 +307,25 @@ def test_agreement_equals_the_joined_figure(spark):
     for a, rows in forms.items():
         assert got[a] == pytest.approx(trim.agreement(rows, [r for b, r in forms.items() if b != a]).mean(), abs=1e-5)
     assert trim.trim_by_consistency(df, trim.Trim("threshold", consistency=0.9)).select("aln_id").distinct().count() <= 1
+
+
+def test_large_groups_are_aligned_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    base = "".join(rng.choice("ACGT") for _ in range(90))
+
+    def near():
+        s = list(base)
+        for _ in range(4):
+            at = rng.randrange(len(s))
+            s[at : at + 1] = rng.choice(["", "A", "GGT", "C"])
+        return "".join(s)
+
+    rows = [("hot", f"h{i:02}", near()) for i in range(40)] + [("hot", "h98", "ACG"), ("hot", "h99", base), ("hot", "i00", base), (None, "n", base), (None, "m", near())]
+    rows += [("cold", "c1", near()), ("cold", "c2", near())]
+    df = spark.createDataFrame(rows, "aln_id string, seq_id string, seq string")
+    assert table(align.align(df, most=5)) == table(align.align(df))  # refused before
+    monkeypatch.setattr(align, "LONG_ROWS", 8)
+    df = df.unionByName(spark.createDataFrame([("hot", f"f{i}", base[i * 9 : i * 9 + 25]) for i in range(5)], df.schema))
+    got = align.align(df, "long").where("aln_id = 'hot'").collect()
+    want = {r.seq_id: r.seq for r in df.where("aln_id = 'hot'").collect()}
+    assert {r.seq_id: r.seq.replace("-", "") for r in got} == want and len(got) == len(want) and len({len(r.seq) for r in got}) == 1
