@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import align, msa, trim
-from ..runtime import table
+from ..runtime import cut, table
 from .relations import CELLS, GAPS, JOB_ALIGNMENTS, PAIRS, job_alignments
 
 
@@ -58,10 +58,12 @@ def _two_alignments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consensus_per_taxon(spark: SparkSession, d: str) -> DataFrame:
-    """Consensus of every query with more than three jobs, after alignment."""
+    """Consensus of every query with more than three jobs, after alignment and
+    without rare long insertions."""
     jobs = table(spark, d, "search_jobs").where("query is not null and sequence is not null").select(F.col("query").alias("aln_id"), F.col("id").alias("seq_id"), F.col("sequence").alias("seq"))
     large = jobs.groupBy("aln_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3").select("aln_id")
-    return msa.consensus_sequence(align.align(jobs.join(large, "aln_id", "left_semi")))
+    aln = cut(align.align(jobs.join(large, "aln_id", "left_semi")))
+    return msa.consensus_sequence(msa.remove_insertions(aln, 1, 20))
 
 
 def trim_consistency(spark: SparkSession, d: str) -> DataFrame:

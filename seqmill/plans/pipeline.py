@@ -103,13 +103,15 @@ def choose_queries(new: DataFrame, subjects: DataFrame, n: int, limit: int = 100
 def evaluate(recs: DataFrame, results: DataFrame, consensus: bool = True, least: int = 3) -> DataFrame:
     """Evaluation of records (accession, taxon_name, seq, ...): their score and
     round, length without wildcards, and likeness to their taxon's consensus
-    (-1 where the taxon has at most ``least`` records)."""
+    (-1 where the taxon has at most ``least`` records), both without rare long
+    insertions."""
     base = recs.join(results.select(F.col("subject_acc").alias("accession"), "sum_hits_score", "source"), "accession")
     base = base.withColumn("record_length", S.length_without_wildcards(F.col("seq")))
     if not consensus:
         return base.withColumn("consensus_value", F.lit(-1.0))
     large = recs.groupBy("taxon_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("taxon_name")
     aln = align.align(recs.join(large, "taxon_name", "left_semi").select(F.col("taxon_name").alias("aln_id"), F.col("accession").alias("seq_id"), "seq"))
+    aln = cut(msa.remove_insertions(cut(aln), 1, 20))
     con = msa.consensus_sequence(aln)
     both = aln.withColumnRenamed("seq", "a").join(con.withColumnRenamed("consensus", "b"), "aln_id")
     pairs = both.select("aln_id", F.explode(F.array(F.struct(F.col("seq_id").alias("seq_id"), F.col("a").alias("seq")), F.struct(F.concat(F.col("seq_id"), F.lit("\x1f")).alias("seq_id"), F.col("b").alias("seq")))).alias("x"), F.col("seq_id").alias("own"))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seqmill.plans import pipeline
+from seqmill.plans import alignment_queries, pipeline
 from seqmill.schemas import HIT_TABLE
 from seqmill.streaming import ingest
 
@@ -76,3 +76,15 @@ def test_small_genera_borrow_the_alignment_of_their_largest_relative(spark):
     assert got["t1"] == (81, other) and got["g0"] == (41, ahead + core)
     alone = recs.where("accession in ('s1', 't1')")  # no large genus
     assert {r.accession: r.seq for r in pipeline.control_extension(alone, original).collect()} == {"s1": ahead[:20] + core, "t1": other}
+
+
+def test_rare_long_insertions_do_not_count_for_the_consensus(spark, tmp_path):
+    rng = random.Random(7)
+    a, b, ins = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (50, 50, 25))
+    rows = [(f"r{i}", "Aa_bb", a + (ins if i == 3 else "") + b) for i in range(4)]
+    recs = spark.createDataFrame(rows, "accession string, taxon_name string, seq string")
+    results = recs.select(F.col("accession").alias("subject_acc"), F.lit(9.0).alias("sum_hits_score"), F.lit(1).alias("source"))
+    assert {r.consensus_value for r in pipeline.evaluate(recs, results).collect()} == {1.0}
+    jobs = recs.select(F.col("taxon_name").alias("query"), F.col("accession").alias("id"), F.col("seq").alias("sequence"))
+    jobs.write.parquet(str(tmp_path / "search_jobs.parquet"))
+    assert [r.consensus for r in alignment_queries.consensus_per_taxon(spark, str(tmp_path)).collect()] == [a + b]
