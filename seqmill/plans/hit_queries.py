@@ -8,6 +8,7 @@ from ..functions import sequence as S
 from ..operators import cluster, hits, records, selection
 from ..runtime import table
 from ..sources.search_xml import job_state
+from . import pipeline
 
 MAX_LENGTH = 1200
 
@@ -119,6 +120,13 @@ def deduplicated_queries(spark: SparkSession, d: str) -> DataFrame:
     return records.dedup_queries(table(spark, d, "search_jobs").select("id", "description", "sequence"), "id").select("id", "description")
 
 
+def sequence_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of each round by their sequences: the longest of each cluster."""
+    q = table(spark, d, "query_info").where("blast_round is not null and sequence is not null").select("blast_round", "id", F.col("sequence").alias("seq"))
+    clusters = pipeline.sequence_clusters(q, "blast_round", "id", "seq")
+    return pipeline.longest_of_clusters(q, clusters, "blast_round", "id", "seq").select("blast_round", "cluster", "id")
+
+
 def job_states(spark: SparkSession, d: str) -> DataFrame:
     return job_state(table(spark, d, "search_jobs"), 1735700000.0 + 30 * 86400).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -141,6 +149,7 @@ QUERIES = {
     "unused_queries": unused_queries,
     "query_quality": query_quality,
     "deduplicated_queries": deduplicated_queries,
+    "sequence_clusters": sequence_clusters,
     "job_states": job_states,
 }
 

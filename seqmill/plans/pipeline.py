@@ -60,7 +60,9 @@ def retrieve(
     names = [c for c in subjects.columns if c not in ("id", "seq")]
     results: DataFrame | None = None
     counters: list[tuple[int, int, int]] = []
-    current, used = queries, queries.select("id")
+    first = records.dedup_queries(queries.select(F.col("id").alias("description"), F.col("seq").alias("sequence")).withColumn("_o", F.struct("description", "sequence")), "_o")
+    first = cut(first.select(F.col("description").alias("id"), F.col("sequence").alias("seq")))
+    current, used = first, first
     for n in range(1, rounds + 1):
         known = results
         q = current
@@ -79,25 +81,46 @@ def retrieve(
         counters.append((n, got["good"], (counters[-1][2] if counters else 0) + got["n"]))
         if hits.should_stop(counters, expected) or not got["n"]:
             break
-        candidates = new.where("good").join(used.withColumnRenamed("id", "subject_acc"), "subject_acc", "left_anti")
-        picked = stages.get(f"queries_{n + 1}", lambda c=candidates: choose_queries(c, subjects, n_new))
+        candidates = new.where("good").join(used.select(F.col("id").alias("subject_acc")), "subject_acc", "left_anti")
+        picked = stages.get(f"queries_{n + 1}", lambda c=candidates, u=used: choose_queries(c, subjects, n_new, u.select(F.col("seq").alias("sequence")), max_length))
         if picked.isEmpty():
             break
-        current, used = picked, used.unionByName(picked.select("id"))
+        current, used = picked, used.unionByName(picked)
     return results
 
 
-def choose_queries(new: DataFrame, subjects: DataFrame, n: int, limit: int = 1000, seed: int = 42) -> DataFrame:
+def choose_queries(new: DataFrame, subjects: DataFrame, n: int, used: DataFrame, max_length: int, limit: int = 1000, seed: int = 42) -> DataFrame:
     """New queries (id, seq): the quartile band of each query's hits, a sample,
-    Markov clusters of their positions, the best of each, and ``n`` of those."""
+    Markov clusters of their positions, the best of each; of these the fit ones
+    (not short, ambiguous or a sequence of ``used``), the longest of each cluster
+    of their sequences, and ``n`` of those."""
     band = selection.quartile_band(new, "query_acc", "sum_hits_score")
     sample = selection.sample_per_group(band, "query_acc", "subject_acc", limit, seed)
     sample = sample.withColumn("_radius", F.greatest(0.1 * (F.col("q_end") - F.col("q_start") + 1), F.lit(1.0)))
     edges = cluster.proximity_edges(sample, "query_acc", "subject_acc", "q_start", "q_end", "_radius")
     clusters = cluster.graph_clusters(sample, edges, "query_acc", "subject_acc", limit)
-    best = cluster.best_of_clusters(sample, clusters, ["query_acc", "subject_acc"]).select("subject_acc").distinct()
-    top = best.orderBy(selection.hash_order("subject_acc", seed), "subject_acc").limit(n)
-    return top.join(subjects.select(F.col("id").alias("subject_acc"), "seq"), "subject_acc").select(F.col("subject_acc").alias("id"), "seq")
+    best = cluster.best_of_clusters(sample, clusters, ["query_acc", "subject_acc"]).select(F.col("subject_acc").alias("id")).distinct()
+    fit = records.new_query_quality(best.join(subjects.select("id", "seq"), "id"), used, max_length).where("reason is null")
+    fit = cut(fit.select(F.lit(0).alias("_g"), "id", "seq"))
+    most = max(limit, fit.count())  # one graph of all queries' clusters, which are few
+    longest = longest_of_clusters(fit, sequence_clusters(fit, "_g", "id", "seq", most), "_g", "id", "seq")
+    return longest.orderBy(selection.hash_order("id", seed), "id").limit(n).select("id", "seq")
+
+
+def sequence_clusters(seqs: DataFrame, group: str, id_col: str, seq: str, most: int = 1000) -> DataFrame:
+    """(group, id, cluster): Markov clusters of close sequences. Fewer than five
+    sequences of a group are each a cluster."""
+    x = seqs.select(F.col(group).alias("aln_id"), F.col(id_col).alias("seq_id"), F.col(seq).alias("seq"))
+    large = x.groupBy("aln_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 5").select("aln_id")
+    aln = cut(align.align(x.join(large, "aln_id", "left_semi")))
+    edges = cluster.sequence_edges(msa.p_distance(aln)).withColumnRenamed("aln_id", group)
+    return cluster.graph_clusters(seqs, edges, group, id_col, most)
+
+
+def longest_of_clusters(seqs: DataFrame, clusters: DataFrame, group: str, id_col: str, seq: str) -> DataFrame:
+    """The sequence with the most determined bases of each cluster."""
+    x = seqs.select(group, id_col, seq).join(clusters, [group, id_col])
+    return records.first_rows(x, [group, "cluster"], [-S.acgt_count(F.col(seq)), F.col(id_col)])
 
 
 def evaluate(recs: DataFrame, results: DataFrame, consensus: bool = True, least: int = 3) -> DataFrame:

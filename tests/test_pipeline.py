@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from seqmill.operators import search
 from seqmill.plans import alignment_queries, pipeline
 from seqmill.schemas import HIT_TABLE
 from seqmill.streaming import ingest
@@ -88,3 +89,23 @@ def test_rare_long_insertions_do_not_count_for_the_consensus(spark, tmp_path):
     jobs = recs.select(F.col("taxon_name").alias("query"), F.col("accession").alias("id"), F.col("seq").alias("sequence"))
     jobs.write.parquet(str(tmp_path / "search_jobs.parquet"))
     assert [r.consensus for r in alignment_queries.consensus_per_taxon(spark, str(tmp_path)).collect()] == [a + b]
+
+
+def test_new_queries_are_fit_and_of_other_sequence_clusters(spark, tmp_path):
+    rng = random.Random(11)
+    kinds = ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(3)]
+    near = lambda s, i: s[:i] + ("A" if s[i] != "A" else "C") + s[i + 1 :]
+    seqs = {f"k{k}_{i}": near(s, 10 + i) for k, s in enumerate(kinds) for i in range(3)} | {"k1_9": near(kinds[1], 40) + "ACGT"}
+    bad = {"short": "ACGT" * 5, "vague": kinds[0][:50] + "N" * 50, "again": kinds[2]}
+    subjects = spark.createDataFrame(list((seqs | bad).items()), "id string, seq string")
+    # every hit is far from the others on its query, so all are position clusters
+    hits = [("Q", name, 5.0, 100 * i + 1, 100 * i + 50, 50) for i, name in enumerate(seqs | bad)]
+    new = spark.createDataFrame(hits, "query_acc string, subject_acc string, sum_hits_score double, q_start long, q_end long, sum_hits_alignlen long")
+    used = spark.createDataFrame([(kinds[2],)], "sequence string")
+    got = {r.id for r in pipeline.choose_queries(new, subjects, 20, used, 200).collect()}
+    assert len(got) == 3 and {g[:2] for g in got} == {"k0", "k1", "k2"} and "k1_9" in got
+    queries = spark.createDataFrame([("a", kinds[0]), ("b", kinds[0]), ("c", kinds[1])], "id string, seq string")
+    seen = []
+    find = lambda q, s: seen.append(sorted(r.id for r in q.collect())) or search.seed_hits(q, s, 11)
+    pipeline.retrieve(pipeline.Stages(spark, str(tmp_path)), queries, subjects.withColumn("title", F.lit("x")), F.lit(True), 1, 200, rounds=1, search_with=find)
+    assert seen == [["a", "c"]]
