@@ -111,12 +111,13 @@ def search_term(organisms: Sequence[str], qualifier: str = "", since: str | None
     return term
 
 
-def record_predicate(organisms: Sequence[str] = (), pattern: str | None = None, since: str | None = None, until: str | None = None, date: Column | None = None) -> Column:
-    """The same as a filter: lineage holds one of the organisms, the title
-    matches ``pattern``, the date lies within the span."""
+def record_predicate(organisms: Sequence[str] = (), pattern: str | None = None, since: str | None = None, until: str | None = None, date: Column | None = None, path: Column | None = None) -> Column:
+    """The same as a filter: lineage (``path``, else ``taxonomy`` cut at its
+    bars) holds one of the organisms, the title matches ``pattern``, the date lies
+    within the span."""
     ok = F.lit(True)
     if organisms:
-        ok = ok & F.arrays_overlap(F.split("taxonomy", r"\|"), F.array(*[F.lit(o) for o in organisms]))
+        ok = ok & F.arrays_overlap(path if path is not None else F.split("taxonomy", r"\|"), F.array(*[F.lit(o) for o in organisms]))
     if pattern:
         ok = ok & F.col("title").rlike(pattern)
     if since and date is not None:

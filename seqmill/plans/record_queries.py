@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import sequence as S
 from ..operators import kmer, matrix, records, selection
+from ..operators.packed_values import split_packed
+from ..operators.timestamps import normalise_times
 from ..runtime import table
 from ..sources import records as sink
 from .relations import MARKERS, NO_VALUE_SQL, is_voucher, marker_alignments
@@ -67,6 +69,39 @@ def record_predicate(spark: SparkSession, d: str) -> DataFrame:
     return x.where(records.record_predicate(["Viridiplantae"], "Phylogeny|Notes", "2005-01-01", "2015-12-31", date)).select("info_id")
 
 
+def _lineages(info: DataFrame) -> DataFrame:
+    """(info_id, path) of every record with a lineage, however it is written."""
+    names = split_packed(info, fields={"taxonomy": "taxonomy"})
+    return names.groupBy("info_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("path"))
+
+
+# The same over all records, where no SQL can follow: lineages by the grammar of
+# p1, dates by the readings of p2. The four above keep to the forms of their SQL.
+
+
+def lineage_ranks_all(spark: SparkSession, d: str) -> DataFrame:
+    x = _info(spark, d).select("info_id", "organism").join(_lineages(_info(spark, d)), "info_id")
+    return x.select("info_id", S.genus_of(F.col("path")).alias("genus"), S.upper_taxon(F.col("path"), F.col("organism")).alias("upper_taxon"))
+
+
+def upper_taxon_sizes_all(spark: SparkSession, d: str) -> DataFrame:
+    x = _lineages(_info(spark, d)).select(S.genus_of(F.col("path")).alias("genus"), F.try_element_at("path", F.lit(2)).alias("kingdom"))
+    return x.where("genus is not null").groupBy("kingdom", "genus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def borrowed_reference_all(spark: SparkSession, d: str) -> DataFrame:
+    return selection.borrowed_reference(upper_taxon_sizes_all(spark, d).where("kingdom is not null"), "kingdom", "genus", "n", 5)
+
+
+def record_predicate_all(spark: SparkSession, d: str) -> DataFrame:
+    """A date without day or month counts as its first day."""
+    info = _info(spark, d)
+    dates = normalise_times(info, table(spark, d, "deposit_sites"), fields=("date",))
+    day = F.to_date(F.substring(F.concat("norm", F.substring(F.lit("0001-01-01"), F.length("norm") + 1, F.lit(10))), 1, 10))
+    x = info.select("info_id", "title").join(dates.select("info_id", day.alias("_day")), "info_id").join(_lineages(info), "info_id")
+    return x.where(records.record_predicate(["Viridiplantae"], "Phylogeny|Notes", "2005-01-01", "2015-12-31", F.col("_day"), F.col("path"))).select("info_id")
+
+
 def marker_counts(spark: SparkSession, d: str) -> DataFrame:
     markers = spark.createDataFrame([("ITS", " ITS "), ("matK", " matK "), ("rbcL", " rbcL "), ("COI", " COI ")], "marker string, pattern string")
     return records.marker_counts(_info(spark, d), markers)
@@ -226,7 +261,7 @@ QUERIES = {
         borrowed_reference, record_predicate, marker_counts, not_yet_fetched, info_lookup, resolved_names, headers, encodable_headers, sequence_scalars,
         kmer_counts, kmer_similarity, average_rank, representative_per_taxon, representative_by_rank, saved_representatives, longest_per_taxon, backbone_tiers,
         length_clusters, chunks, length_ratio_split, longest_share, combine_markers_pivot, marker_lengths, taxon_completion, supermatrix, partition_ranges,
-        codon_partitions, partition_lines, seq_info_rows, union_of_taxa,
+        codon_partitions, partition_lines, seq_info_rows, union_of_taxa, lineage_ranks_all, upper_taxon_sizes_all, borrowed_reference_all, record_predicate_all,
     )
 }
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqmill.operators import align, cluster, hits, kmer, matrix, msa, records, search, selection, trim
+from seqmill.plans import record_queries
 
 HIT = "query_acc string, subject_acc string, n_identical long, alignment_length long, q_start long, q_end long, s_start long, s_end long, bit_score double"
 ALN = "aln_id string, seq_id string, seq string"
@@ -329,3 +330,15 @@ def test_large_groups_are_aligned_in_many_tasks(spark, monkeypatch):
     got = align.align(df, "long").where("aln_id = 'hot'").collect()
     want = {r.seq_id: r.seq for r in df.where("aln_id = 'hot'").collect()}
     assert {r.seq_id: r.seq.replace("-", "") for r in got} == want and len(got) == len(want) and len({len(r.seq) for r in got}) == 1
+
+
+def test_records_of_all_written_forms(spark, tmp_path):
+    d, path = str(tmp_path), "Eukaryota{0}Viridiplantae{0}Aa{0}Aa bb"
+    forms = [("2010-01-15", "|"), ("15-JAN-2010", ";"), ("2010-01-15T10:00:00Z", ", "), ("15-JAN-2020", ";"), ("2010", ">")]
+    rows = [(i, path.format(s), "Aa bb", "Notes", t, "S") for i, (t, s) in enumerate(forms)] + [(9, None, "Aa bb", "Notes", "15-JAN-2010", "S"), (10, path.format("|"), None, "Notes", None, "S")]
+    spark.createDataFrame(rows, "info_id long, taxonomy string, organism string, title string, date string, site_code string").write.parquet(f"{d}/seq_info.parquet")
+    spark.createDataFrame([("S", "UTC", "dmy")], "site_code string, zone_name string, date_order string").write.parquet(f"{d}/deposit_sites.parquet")
+    assert sorted(r.info_id for r in record_queries.record_predicate_all(spark, d).collect()) == [0, 1, 2, 4]
+    assert table(record_queries.lineage_ranks_all(spark, d)) == sorted([(i, "Aa", "Aa") for i in range(5)] + [(10, "Aa", None)], key=repr)
+    assert table(record_queries.upper_taxon_sizes_all(spark, d)) == [("Viridiplantae", "Aa", 6)]
+    assert [r.reference for r in record_queries.borrowed_reference_all(spark, d).collect()] == ["Aa"]
