@@ -52,7 +52,7 @@ COST, DROP = 1.2, 4
 #: Letters searched at a time.
 _PIECE = 1_500_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*+>|<!--.*?-->", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,10});")
 _NOT_LETTER = re.compile(r"[\W_]+")
 _DENSE = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")

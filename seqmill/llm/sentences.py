@@ -245,8 +245,7 @@ class _Splitter:
                 if other < 0 or q < other:
                     return True
         if piece.count('"') % 2 == 1:
-            q = self.text.find('"', hi, end)
-            return q >= 0 and q - hi < 1000
+            return self.text.find('"', hi, end) >= 0
         return False
 
     def _ends(self, lo: int, dot: int, word: str, rest: str, caseless: bool) -> bool:

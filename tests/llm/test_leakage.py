@@ -64,3 +64,11 @@ def test_operator(spark, monkeypatch):
     assert sorted(map(tuple, L.leaked(docs, items).collect())) == want
     assert L.leaked(docs.limit(0), items).count() == 0
     assert L.leaked(docs, items.limit(0)).count() == 0
+
+
+def test_tags_of_any_length_hide_nothing():
+    tag = '<span class="' + "narrow basin of old stone " * 20 + '">'
+    cuts = ITEM.split()
+    texts = [" ".join(w if i % 7 else f"{tag}{w}</span>" for i, w in enumerate(cuts)), " ".join(cuts)]
+    assert [d for d, _ in found(texts)] == [0, 1]
+    assert L.plain(f"a{tag}b</span> < c") == "ab < c"

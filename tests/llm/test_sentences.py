@@ -93,3 +93,8 @@ def test_corpus_evidence_reaches_both_branches(spark, monkeypatch):
     assert all(a != b for a, b in zip(have, plain))  # the corpus decides here
     monkeypatch.setattr(S, "is_small", lambda df: False)
     assert sorted(map(repr, S.split_sentences(docs).collect())) == got
+
+
+def test_long_straight_quotation():
+    text = 'They wrote "It was cold. ' + "The leaf lay in the old tray, and " * 60 + 'it was late." in the end. It was so.'
+    assert len(text) > 2000 and cut(text) == [text[: -len(" It was so.")], "It was so."]
