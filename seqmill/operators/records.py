@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.sequence import UNCERTAIN, acgt_count, combine_species, is_uncertain
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, cut
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -61,13 +61,28 @@ def new_query_quality(candidates: DataFrame, used: DataFrame, max_length: int, l
 
 
 def dedup_queries(queries: DataFrame, order: str) -> DataFrame:
-    """Drop a query whose description or sequence an earlier one has.
+    """Drop a query whose description or sequence an earlier kept one has.
 
-    Two first-occurrence steps. They equal the one-pass rule unless a row that
-    one column drops would have dropped a third by the other; for that see
-    ``dedup_queries_exact``.
+    The one-pass rule of ``dedup_queries_exact`` in rounds: open rows that are
+    the first by both columns are kept, all that share a column with one are
+    dropped, until none is open. A round more is needed only where a dropped row
+    stood before a third. Nulls are equal.
     """
-    return first_rows(first_rows(queries, ["description"], [order]), ["sequence"], [order])
+    rows = cut(queries.withColumn("_n", F.monotonically_increasing_id()))
+    left = rows.select("_n", "description", "sequence", F.struct(F.col(order).alias("a"), F.col("description").alias("b"), F.col("sequence").alias("c"), "_n").alias("_o"))
+    kept: DataFrame | None = None
+    while True:
+        first = left
+        for c in ("description", "sequence"):
+            least = left.groupBy(F.col(c).alias("_k")).agg(F.min("_o").alias("_f"))
+            first = first.join(least, F.col(c).eqNullSafe(F.col("_k"))).where(F.col("_o") == F.col("_f")).drop("_k", "_f")
+        first = cut(first)
+        kept = first if kept is None else kept.unionByName(first)
+        for c in ("description", "sequence"):
+            left = left.join(first.select(F.col(c).alias("_k")), F.col(c).eqNullSafe(F.col("_k")), "left_anti")
+        left = cut(left)
+        if left.isEmpty():
+            return rows.join(kept.select("_n"), "_n", "left_semi").drop("_n")
 
 
 def dedup_queries_exact(rows: Sequence[tuple[str, str]]) -> list[int]:

@@ -342,3 +342,11 @@ def test_records_of_all_written_forms(spark, tmp_path):
     assert table(record_queries.lineage_ranks_all(spark, d)) == sorted([(i, "Aa", "Aa") for i in range(5)] + [(10, "Aa", None)], key=repr)
     assert table(record_queries.upper_taxon_sizes_all(spark, d)) == [("Viridiplantae", "Aa", 6)]
     assert [r.reference for r in record_queries.borrowed_reference_all(spark, d).collect()] == ["Aa"]
+
+
+def test_query_duplicates_by_the_one_pass_rule(spark):
+    rng = random.Random(12)
+    for rows in ([("d1", "s1"), ("d2", "s1"), ("d2", "s3")], [(rng.choice("abcdefgh"), rng.choice(["S", "T", "U", "V", "W", "X", None])) for _ in range(40)]):
+        q = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, description string, sequence string")
+        assert sorted(r.id for r in records.dedup_queries(q, "id").collect()) == records.dedup_queries_exact(rows)
+    assert records.dedup_queries(q.limit(0), "id").count() == 0
