@@ -1,19 +1,29 @@
 """Sentence boundaries across languages and scripts.
 
 Document-centred disambiguation. Whether a period ends a sentence depends on
-two questions, and both are put to unambiguous places first: a word is an
-abbreviation if it stands before a period that cannot end a sentence (a comma
-or a figure follows) and nowhere in the document without one; a word
-after a period is a common word, hence capitalised only because it begins a
-sentence, if the document has it in small letters too. What a document leaves
-open is answered by counts over all documents, where a small letter after the
-period is evidence too, and by a short list of fixed abbreviations. Scripts have their own terminators: full-width stops need
-no blank after them, the danda and the Arabic question mark end sentences as
-they are, and Thai has no terminator but blanks between its letters.
+two questions, and both are put to unambiguous places first:
+
+* Is the word before it an abbreviation? In a document it is one if it stands
+  before a period that cannot end a sentence (a comma follows, or repeatedly a
+  figure) and never without a period; it is none if it stands only without.
+* Is the capitalised word after it a common word, which owes its capital to the
+  beginning of a sentence, or a proper name? A document shows a common word by
+  its small form, a name by its capital inside a sentence.
+
+What a document leaves open is answered by the same counts over all documents.
+They also tell of each abbreviation whether sentences end with it (*etc.*) or
+go on (*Dr.*), by the share of common words that follow it, whether it is one
+only before figures (*no.*), and, with the word before it, whether a short
+number is an ordinal (*am 14. März*). Only where documents and corpus are both
+silent, lists of fixed abbreviations are asked; they are a parameter and may be
+empty. Scripts have their own terminators: full-width stops need no blank after
+them, the danda and the Arabic question mark end sentences as they are, and
+Thai has no terminator but blanks between its letters.
 
 Blank lines, list marks and headings bound units first; a line break alone is
 a blank. A terminator inside a quotation that the sentence goes on after does
-not end it; closing marks belong to the sentence they close.
+not end it; closing marks belong to the sentence they close. The work on a unit
+is linear in its length.
 
 Defined results: null, empty and blank texts have no sentences; together the
 sentences cover all but white space; texts of any length are cut whole.
@@ -22,31 +32,38 @@ sentences cover all but white space; texts of any length are cut whole.
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import is_small, spread
+from ..runtime import cut, is_small, spread
 
-# Abbreviations that a sentence goes on after ...
+# Fixed values, asked last: abbreviations that a sentence goes on after ...
 BEFORE_MORE = frozenset(
     "dr dra prof mr mrs ms st sr sra m mme mlle hr fr no nr núm num nº n° fig figs abb tab eq vol pp p cf vgl ca approx aprox env e.g eg i.e ie "
     "vs v z b d h u a c z.b d.h u.a p.ex p.ej ej ex subsp ssp var f cv bzw см рис табл т п ул стр напр डॉ श्री प्रो c.-à-d c-à-d resp art sect gen".split()
 )
 # ... and those that may also end one.
 MAY_END = frozenset("etc usw al a.m p.m sp spp jr inc ltd co corp г гг д др н uu ff s.n et.al u.s ph.d".split())
+# ... and small words after which a short number is an ordinal.
+BEFORE_ORDINAL = frozenset("der die das dem den des am im vom zum zur beim bis jeder jede ab seit".split())
 #: Corpus evidence needed for a word, and how much it must outweigh the rest.
 EVIDENCE, OUTWEIGH = 5, 4
-#: Longest abbreviation learnt from texts.
-SHORT = 6
+#: Share of common words among the capitalised words after an abbreviation below
+#: which no sentence ends with it, and from which sentences do.
+GOES_ON, ENDS_ON = 0.05, 0.2
+#: Findings about a word, as bits.
+ABBREVIATION, ENDS, NEVER, NUMBER, COMMON, PROPER, ORDINARY = 1, 2, 4, 8, 16, 32, 64
 
 _OPEN = "\"'“‘„«‹([{（「『【〈《‚¿¡*_"
 _CLOSE = "\"'”’»›)\\]}）」』】〉》“*_"
 _QUOTES = set("\"'”’»›」』“")
-_QUOTE = re.compile(r"[\"“„«「『]")
-_PAIR = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "‘": "’"}
+_PAIR = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
+_QUOTE = re.compile(r"[\"“”„«»「」『』'*_]")
 _END = re.compile(
     rf"(?P<wide>(?:[。！？｡．]|……|…(?=[^\s.…])|⋯⋯)+[。！？!?…]*|[।॥۔؟]+[!?]*)(?P<c1>[{_CLOSE}]*)"
     rf"|(?P<dots>\.{{2,}}|…+)(?P<mark>[!?]*)(?P<c2>(?:[^\S\n]?[»]|[{_CLOSE}])*)(?=\s|\Z|[぀-鿿])"
@@ -62,47 +79,185 @@ _STOP_THAI = re.compile(r"[.!?…⋯。！？｡．।॥۔؟]|(?<=[ก-๛])\s"
 _BLANK = re.compile(r"(?:\r\n|[\n\r  \x0b\x0c])(?:[^\S\n\r]*(?:\r\n|[\n\r  \x0b\x0c]))+")
 _LINE = re.compile(r"\r\n|[\n\r  \x0b\x0c]")
 _MARK = re.compile(r"[^\S\n]*(?:[•‣◦▪●·*+–—-]|\(?\d{1,3}[).]|\(?[a-z]\)|\d{1,2}(?:\.\d{1,2})+\.?|#{1,6})[^\S\n]+(?=\S)")
-_WORD_BEFORE = re.compile(r"[\w’'ऀ-ॿ°º](?:[\w’'ऀ-ॿ°º.-]*[\w’'ऀ-ॿ°º])?\Z")
-_WORD_AFTER = re.compile(rf"[\s{re.escape(_OPEN)}]*([\w’'ऀ-ॿ](?:[\w’'ऀ-ॿ-]*))")
-_EVIDENCE = re.compile(r"(?<![\w.])([^\W\d_][\w]{0,5}(?:\.[^\W\d_]{1,3})*)\.(?=[,;:)]|[^\S\n]+(?:[a-zа-яà-ÿ]|\d))")
-_SURE = re.compile(r"(?<![\w.])([^\W\d_][\w]{0,5}(?:\.[^\W\d_]{1,3})*)\.(?=[,;:)]|[^\S\n]+\d)")
-_PLAIN = re.compile(r"(?<![\w.])([^\W\d_]\w{0,5})(?![\w.])")
-_LOWER = re.compile(r"(?<![\w'’-])([^\W\d_A-ZÀ-Þ][\w'’]*)")
-_AFTER_DOT = re.compile(r"\.[\s\"“„«(]+([A-ZÀ-ÞА-Я][^\W\d_]*)(?![\w-])")
-_ORDINAL = frozenset("der die das dem den des am im vom zum zur beim bis jeder jede ab seit".split())
+_AFTER = r"[\w’'ऀ-ॿ](?:[\w’'ऀ-ॿ-]*)"
+_WORD = re.compile(_AFTER)
+_WORD_AFTER = re.compile(rf"[\s{re.escape(_OPEN)}]*({_AFTER})")
+_SEEN = re.compile(r"\S")
+_INSIDE = re.compile(r"[A-ZÀ-ÞА-ЯЁ](?<=[a-zà-ÿа-яё,]\s.)[\w’']*")
+_PARTS = re.compile(r"[^\W\d_]{1,3}(?:\.[^\W\d_]{1,4})+")
 _GOES_ON = re.compile(r"(?:と|って|との|という|是|说|道|的|为|这|は|が|を)")
 _CODE = re.compile(r"[A-Z]{0,2}\d{1,4}\Z|[A-Z]{2,5}-\d")
+_LIST_MARK = re.compile(r"\(?\d{1,3}[).]\Z")
 _THAI = re.compile(r"[ก-๛]")
+_TERMINATOR = re.compile(r"[.!?]")
+_MARKS = ".,;:!?()[]{}\"'“”„«»‚‘’*_…¿¡<>‹›#"
+_WITHIN = frozenset(("Mn", "Mc", "Me", "Cf"))
+_JOINT = frozenset("’'.-_°º")
+
+
+def word_before(text: str, lo: int, dot: int) -> tuple[int, str]:
+    """Where the word before a period at ``dot`` begins, and the word in small
+    letters; the work is the word's length."""
+    i = dot
+    while i > lo and ((c := text[i - 1]).isalnum() or c in _JOINT or (c > "\x7f" and unicodedata.category(c) in _WITHIN)):
+        i -= 1
+    if i == dot or text[dot - 1] in ".-":
+        return dot, ""
+    while i < dot and text[i] in ".-":
+        i += 1
+    word = text[i:dot].strip("’'").lower()
+    if not word.isascii():  # a soft hyphen or the like is no letter
+        word = "".join(c for c in word if unicodedata.category(c) != "Cf")
+    return i, word
+
+
+def token_before(text: str, at: int) -> str:
+    """The token, in small letters, that a blank parts from ``at``."""
+    i = at
+    while i and text[i - 1].isspace():
+        i -= 1
+    k = i
+    while i < at and k and not text[k - 1].isspace():
+        k -= 1
+    return last_word(text[k:i])
+
+
+def last_word(token: str) -> str:
+    return _TERMINATOR.split(token.strip(_MARKS))[-1].lower()
+
+
+def _dotted(token: str, word: str) -> bool:
+    return token.startswith(".", token.rfind(word) + len(word))
+
+
+class Facts:
+    """What one text shows unambiguously, by its tokens between blanks."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens = text, text.split()
+        self._words: tuple[set[str], set[str], set[str]] | None = None
+
+    def periods(self) -> Iterator[tuple[str, str, str]]:
+        """(word, kind, what follows) of every period after a word: kind ``,`` a
+        mark or ``a`` a small letter follows, ``0`` a figure or a code, ``A`` a capital; also
+        ``#`` for a short number without a period. A number is named by the word
+        before it."""
+        tokens = self.tokens
+        for i in [i for i, k in enumerate(tokens) if "." in k or (len(k) < 3 and k.isdigit())]:
+            token = tokens[i]
+            at = token.rfind(".")
+            if at < 0:
+                if i:
+                    yield last_word(tokens[i - 1]) + " #", "#", ""
+                continue
+            mark = token[at + 1 : at + 2]
+            if mark and mark not in ",;:":
+                continue
+            _, word = word_before(token, 0, at)
+            if not word:
+                continue
+            if word.isdigit():
+                if len(word) > 2 or not i:
+                    continue
+                word = last_word(tokens[i - 1]) + " #"
+            if mark:
+                yield word, ",", ""
+                continue
+            for k in (i + 1, i + 2):
+                after = tokens[k].lstrip(_OPEN) if k < len(tokens) else "."
+                if after:
+                    break
+            m = _WORD.match(after)
+            if m is None or _LIST_MARK.match(after):
+                continue
+            c = after[0]
+            figure = c.isdigit() or _CODE.match(after)
+            yield word, "0" if figure else "A" if c.isupper() else "a" if c.islower() else "x", m.group().lower()
+
+    def words(self) -> tuple[set[str], set[str], set[str]]:
+        """Words without a period, words in small letters, and words with a
+        capital inside a sentence."""
+        if self._words is None:
+            plain, small = set(), set()
+            for k in set(self.tokens):
+                word = k.strip(_MARKS)
+                if word:
+                    if word[0].islower():
+                        small.add(word.lower())
+                    if not _dotted(k, word):
+                        plain.add(word.lower())
+            self._words = plain, small, {w.lower() for w in _INSIDE.findall(self.text)}
+        return self._words
 
 
 class Knowledge:
-    """What the corpus says of words: abbreviations and common words."""
-
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()):
-        self.abbreviations, self.common = abbreviations, common
+    """What is known of words beside the text at hand: findings over the corpus
+    as bits per word, and the lists that are asked last."""
+
+    def __init__(
+        self,
+        abbreviations: Iterable[str] = (),
+        common: Iterable[str] = (),
+        findings: Mapping[str, int] | None = None,
+        before_more: frozenset[str] = BEFORE_MORE,
+        may_end: frozenset[str] = MAY_END,
+        before_ordinal: frozenset[str] = BEFORE_ORDINAL,
+    ):
+        self.findings = dict(findings or {})
+        for words, bit in ((abbreviations, ABBREVIATION), (common, COMMON)):
+            for w in words:
+                self.findings[w] = self.findings.get(w, 0) | bit
+        self.before_more, self.may_end, self.before_ordinal = before_more, may_end, before_ordinal
 
 
 class _Document:
-    """Lazily gathered evidence of one text."""
+    """Answers about words: from the text, else the corpus, else the lists."""
 
     def __init__(self, text: str, known: Knowledge):
-        self.text, self.known = text, known
-        self._abbreviations: set[str] | None = None
-        self._lower: set[str] | None = None
+        self.text, self.known, self.found = text, known, known.findings.get
+        self._facts: Facts | None = None
+        self._sure: dict[str, int] = {}
+
+    def facts(self) -> Facts:
+        if self._facts is None:
+            self._facts = Facts(self.text)
+            for word, kind, _ in self._facts.periods():
+                if kind in ",0":  # a figure may begin a sentence, so one alone is no proof
+                    self._sure[word] = self._sure.get(word, 0) + (2 if kind == "," else 1)
+        return self._facts
 
     def abbreviation(self, word: str) -> bool:
-        if self._abbreviations is None:
-            seen = {w.lower() for w in _SURE.findall(self.text)}
-            plain = set(_PLAIN.findall(self.text.lower())) if seen else set()
-            self._abbreviations = seen - plain
-        return word in self._abbreviations or word in self.known.abbreviations
-
-    def common(self, word: str) -> bool:
-        """The word is also written small: a capital tells of a beginning."""
-        if self._lower is None:
-            self._lower = set(_LOWER.findall(self.text))
+        facts = self.facts()
+        sure = self._sure.get(word, 0)
+        if sure > 1 and word not in facts.words()[0]:
+            return True
+        bits = self.found(word, 0)
+        if not (bits & ABBREVIATION if bits & (ABBREVIATION | ORDINARY) else word in self.known.before_more or word in self.known.may_end):
+            return False
+        return bool(sure) or word not in facts.words()[0]
+
+    def before_figure(self, word: str) -> bool:
+        """A figure after this word and a period goes on with the sentence."""
+        return bool(self.found(word, 0) & NUMBER) or self.abbreviation(word) or word in self.known.before_more
+
+    def kind(self, word: str) -> int:
+        """COMMON or PROPER, 0 if not known."""
         low = word.lower()
-        return low in self._lower or low in self.known.common
+        if len(low) == 1:
+            return 0
+        _, small, inside = self.facts().words()
+        if (low in small) != (low in inside):
+            return COMMON if low in small else PROPER
+        return self.found(low, 0) & (COMMON | PROPER)
+
+    def goes_on(self, word: str) -> bool:
+        """No sentence ends with this abbreviation."""
+        bits = self.found(word, 0)
+        return bool(bits & NEVER) if bits & (ENDS | NEVER) else word in self.known.before_more
+
+    def may_end(self, word: str) -> bool:
+        bits = self.found(word, 0)
+        return bool(bits & ENDS) if bits & (ENDS | NEVER) else word in self.known.may_end
 
 
 def _units(text: str) -> Iterator[tuple[int, int, int]]:
@@ -128,8 +283,47 @@ def _after_mark(text: str, start: int, end: int) -> int:
     return m.end() if m else start
 
 
-def _small(c: str) -> bool:
-    return c.islower()
+class _Quotes:
+    """Places of the quotation marks of one unit, each asked by bisection."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.at: dict[str, list[int]] = {}
+        for m in _QUOTE.finditer(text, start, end):
+            self.at.setdefault(m.group(), []).append(m.start())
+        self.any = any(c not in "'*_" for c in self.at)
+
+    def _next(self, mark: str, at: int) -> int:
+        places = self.at.get(mark, ())
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def _last(self, mark: str, lo: int, hi: int) -> int:
+        places = self.at.get(mark, ())
+        k = bisect_left(places, hi) - 1
+        return places[k] if k >= 0 and places[k] >= lo else -1
+
+    def _odd(self, mark: str, lo: int, hi: int) -> bool:
+        places = self.at.get(mark, ())
+        return bool((bisect_left(places, hi) - bisect_left(places, lo)) % 2)
+
+    def open_before(self, lo: int, hi: int, mark: str) -> bool:
+        """A quote that ``mark`` would close is open in [lo, hi)."""
+        if mark == "“":  # closes „ and opens “
+            return self._last("„", lo, hi) > self._last("“", lo, hi)
+        return self._odd(mark, lo, hi)
+
+    def inside(self, lo: int, hi: int) -> bool:
+        """A quotation begun in [lo, hi) is open at ``hi`` and closed in this unit."""
+        if not self.any:
+            return False
+        for a, b in _PAIR.items():
+            p = self._last(a, lo, hi)
+            if p >= 0 and not p < self._last(b, lo, hi):
+                q = self._next(b, hi)
+                other = self._next(a, hi)
+                if q >= 0 and (other < 0 or q < other):
+                    return True
+        return self._odd('"', lo, hi) and self._next('"', hi) >= 0
 
 
 class _Splitter:
@@ -153,8 +347,7 @@ class _Splitter:
 
     def _unit(self, start: int, end: int, free: int, out: list) -> None:
         text, begin, at = self.text, start, free
-        caseless = None
-        quotes = _QUOTE.search(text, start, end) is not None
+        quotes = _Quotes(text, start, end)
         candidate = (_STOP_THAI if _THAI.search(text, start, end) else _STOP).search
         while at < end:
             c = candidate(text, at, end)
@@ -172,121 +365,105 @@ class _Splitter:
                 continue
             first = begin if begin > start else free
             if tight or caps:
-                w = _WORD_BEFORE.search(text, max(first, m.start() - 40), m.start())
-                w = w.group().lower() if w else ""
-                if not self._inside_quote(first, m.start(), end) and w not in BEFORE_MORE and w not in MAY_END and "." not in w.rstrip("0123456789.") and "/" not in w:
+                if not quotes.inside(first, m.start()) and not self._joined(first, m.start()):
                     self._emit(begin, at, out)
                     begin = at
                 continue
             closers = c1 or c2 or c3 or c4 or ""
             # an opening mark right after a stop belongs to what follows
             stop = m.end()
-            kept = self._closing(first, m.end() - len(closers), closers)
+            kept = self._closing(quotes, first, m.end() - len(closers), closers)
             if kept < len(closers):
                 stop = at = m.end() - len(closers) + kept
                 closers = closers[:kept]
                 if not wide and stop < end and not text[stop].isspace():
                     continue
             quoted = bool(closers) and any(c in _QUOTES for c in closers)
-            if not quoted and quotes and self._inside_quote(first, m.start(), end):
+            if not quoted and quotes.inside(first, m.start()):
                 continue
-            rest = _WORD_AFTER.match(text, stop, end)
-            word = rest.group(1) if rest else ""
-            if stop < end and text[stop:end].strip():
+            seen = _SEEN.search(text, stop, end)
+            if seen:
+                rest = _WORD_AFTER.match(text, stop, end)
+                word = rest.group(1) if rest else ""
+                small = bool(word) and word[0].islower()
                 if wide:
                     if quoted and not text[stop].isspace() and (_GOES_ON.match(text, stop) or self._opens_with_quote(first)) and text[stop] not in _OPEN:
                         continue
-                    if quoted and word and _small(word[0]):
+                    if quoted and small:
                         continue
-                elif word and _small(word[0]) and quoted:
+                elif small and quoted:
                     continue
                 elif dots:
-                    if word and _small(word[0]) and not mark:
-                        continue
-                elif dot:
-                    if caseless is None:
-                        piece = text[start:end]
-                        caseless = piece == piece.lower()
-                    if not quoted and not closers and not self._ends(first, m.start(), word, text[stop:end], caseless):
+                    if small and not mark:
                         continue
+                elif dot and not quoted and not closers and not self._ends(first, m.start(), word, text[seen.start()]):
+                    continue
             self._emit(begin, stop, out)
             begin = stop
         self._emit(begin, end, out)
 
     def _opens_with_quote(self, first: int) -> bool:
-        while first < len(self.text) and self.text[first].isspace():
-            first += 1
-        return first < len(self.text) and self.text[first] in "“「『«„\""
+        m = _SEEN.search(self.text, first)
+        return m is not None and m.group() in "“「『«„\""
 
-    def _closing(self, first: int, at: int, marks: str) -> int:
+    def _closing(self, quotes: _Quotes, first: int, at: int, marks: str) -> int:
         """How many of ``marks`` (at ``at``) close something opened in the sentence."""
         for k, c in enumerate(marks):
-            if c in "“\"'*_" and not self._open_before(first, at + k, c):
+            if c in "“\"'*_" and not quotes.open_before(first, at + k, c):
                 return k
         return len(marks)
 
-    def _open_before(self, lo: int, hi: int, quote: str) -> bool:
-        """A quote that ``quote`` would close is open in [lo, hi)."""
-        piece = self.text[lo:hi]
-        if quote == "“":  # closes „ and opens “
-            return piece.rfind("„") > piece.rfind("“")
-        return piece.count(quote) % 2 == 1
-
-    def _inside_quote(self, lo: int, hi: int, end: int) -> bool:
-        """A quotation is open at ``hi`` and is closed in this unit."""
-        piece = self.text[lo:hi]
-        for a, b in _PAIR.items():
-            if a == "‘":
-                continue
-            p = piece.rfind(a)
-            if p >= 0 and b not in piece[p + 1 :] and self.text.find(b, hi, end) >= 0:
-                q = self.text.find(b, hi, end)
-                other = self.text.find(a, hi, end)
-                if other < 0 or q < other:
-                    return True
-        if piece.count('"') % 2 == 1:
-            return self.text.find('"', hi, end) >= 0
-        return False
+    def _joined(self, lo: int, dot: int) -> bool:
+        """A terminator without a blank after it stands inside an expression, or
+        after an abbreviation."""
+        text, i = self.text, dot
+        while i > lo and (text[i - 1].isalnum() or text[i - 1] in "’'-_°º/"):
+            i -= 1
+            if text[i] == "/":
+                return True
+        if i > lo and text[i - 1] == "." and i < dot and not text[i:dot].isdigit():
+            return True
+        word = text[i:dot].strip("’'-").lower()
+        return bool(word) and not word.isdigit() and self.doc.abbreviation(word)
 
-    def _ends(self, lo: int, dot: int, word: str, rest: str, caseless: bool) -> bool:
+    def _ends(self, lo: int, dot: int, word: str, nxt: str) -> bool:
         """Whether a lone period at ``dot`` ends its sentence."""
-        text = self.text
-        m = _WORD_BEFORE.search(text, max(lo, dot - 40), dot)
-        before = m.group().strip("’'") if m else ""
-        low = before.lower()
-        nxt = rest.lstrip()[:1]
-        if nxt and nxt in ",;:)":
+        if nxt in ",;:)":
             return False
-        if not before:
-            return True
-        if before.isdigit():
-            if len(before) <= 2 and word and not word[0].isdigit():
-                prior = re.search(r"(\w+)\s+\Z", text[max(lo, dot - 30) : m.start()])
-                if (prior and prior.group(1).lower() in _ORDINAL) or m.start() == lo:
-                    return False
+        text, doc = self.text, self.doc
+        at, low = word_before(text, lo, dot)
+        if not low:
             return True
-        more, may = low in BEFORE_MORE, low in MAY_END
-        if len(before) == 1 and before.isalpha() and not may:
-            if before.islower():
-                # z. B., т. е., p. ej.; a letter that ends a sentence is a rarity
-                return bool(word) and word[0].isupper() and not more and self.doc.common(word)
-            return bool(word) and word[0].isupper() and len(word) > 1 and self.doc.common(word) and not self._after_name(lo, m.start())
-        if more:
+        capital, figure = bool(word) and word[0].isupper(), bool(word) and word[0].isdigit()
+        if low.isdigit():
+            return not (len(low) <= 2 and word and not figure and self._ordinal(lo, at))
+        if len(low) == 1 and low.isalpha() and not text[dot - 1].islower():
+            # an initial, unless a common word begins the next sentence
+            return capital and len(word) > 1 and doc.kind(word) == COMMON and not self._after_initial(lo, at)
+        shape = (len(low) == 1 and low.isalpha()) or _PARTS.fullmatch(low) is not None
+        if not (shape or doc.abbreviation(low)):
+            return not (figure and doc.before_figure(low))
+        if not word or figure or word[0].islower():
+            return False
+        if not capital:
+            return doc.may_end(low)
+        if _CODE.match(word) or doc.goes_on(low):
             return False
-        if may or (len(low) <= SHORT + 2 and self.doc.abbreviation(low)):
-            if not word or _small(word[0]) or word[0].isdigit():
-                return False
-            if not word[0].isupper():
-                return may
-            # after one that may end a sentence a capital begins the next, unless it is a rank's code; after others only a common word does
-            if low in ("sp", "spp", "al") and _CODE.match(word):
-                return False
-            return may or (self.doc.common(word) and not any(c.isdigit() for c in word))
-        if word and _small(word[0]) and not caseless:
-            return len(low) > 3 or not self.doc.abbreviation(low)
-        return True
-
-    def _after_name(self, lo: int, at: int) -> bool:
+        kind = doc.kind(word)
+        return kind == COMMON or doc.may_end(low)
+
+    def _ordinal(self, lo: int, at: int) -> bool:
+        """The short number at ``at`` is an ordinal: it begins its sentence, or the
+        sentence goes on after such numbers behind the word before it."""
+        if at == lo:
+            return True
+        before = token_before(self.text, at)
+        bits = self.doc.found(before + " #", 0)
+        if bits & ABBREVIATION:
+            return not bits & ENDS
+        return before in self.doc.known.before_ordinal
+
+    def _after_initial(self, lo: int, at: int) -> bool:
         """The letter follows another one with a period: J. O., z. B."""
         return bool(re.search(r"\b[^\W\d_]\.\s*\Z", self.text[max(lo, at - 6) : at]))
 
@@ -296,40 +473,110 @@ def sentence_spans(text: str | None, known: Knowledge | None = None) -> list[tup
     return _Splitter(text, known or Knowledge()).spans() if text else []
 
 
-def corpus_evidence(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Over all texts: ``word``, ``abbreviation``. A row is a word that the
-    counts show to be an abbreviation, or else a common one."""
+_COUNTS = ("soft", "number", "common_next", "cap_next", "plain", "small", "inside", "begins")
+
+
+class Counts:
+    """Counts over texts, by word: periods before a mark or small letter, before
+    a figure, before a capitalised word that its text shows to be common, and
+    before another; occurrences without a period, in small letters, with a capital
+    inside a sentence; and texts in which it follows a period with a capital."""
+
+    def __init__(self) -> None:
+        self.tokens, self.capitals = Counter(), Counter()
+        self.of: dict[str, Counter] = {c: Counter() for c in _COUNTS}
+
+    def add(self, text: str) -> None:
+        if text == text.lower() == text.upper() or not any(map(str.isupper, text)):
+            return  # without capitals nothing can be told
+        facts = Facts(text)
+        self.tokens.update(facts.tokens)
+        self.capitals.update(_INSIDE.findall(text))
+        of, small = self.of, None
+        for word, kind, after in set(facts.periods()):  # repetitions within a text are no more proof
+            if kind in ",a":
+                of["soft"][word] += 1
+            elif kind == "0":
+                of["number"][word] += 1
+            elif kind == "A":
+                if small is None:
+                    small = {k.strip(_MARKS).lower() for k in set(facts.tokens) if k[0].islower()}
+                if len(after) > 1:  # a single letter is most often an initial
+                    of["common_next" if after in small else "cap_next"][word] += 1
+                    of["begins"][after] += 1
+                else:
+                    of["cap_next"][word] += 1
+            elif kind == "#":
+                of["plain"][word] += 1
+
+    def __len__(self) -> int:
+        return len(self.tokens) + len(self.capitals)
+
+    def rows(self) -> pa.RecordBatch:
+        of = self.of
+        for token, n in self.tokens.items():
+            word = token.strip(_MARKS)
+            if not word or not word[0].isalpha() or sum(map(str.isdigit, word)) > 2:
+                continue
+            low = word.lower()
+            if not _dotted(token, word):
+                of["plain"][low] += n
+            if word[0].islower():
+                of["small"][low] += n
+        for word, n in self.capitals.items():
+            of["inside"][word.lower()] += n
+        words = list(set().union(*of.values()))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([of[c][w] for w in words], pa.int64()) for c in _COUNTS)], names=["word", *_COUNTS])
+
+
+def findings(soft, number, common_next, cap_next, plain, small, inside, begins, both, either):
+    """Bits of each word from its counts; the same for numbers and columns
+    (``both`` and ``either`` are the logical operations). (flag, bit) pairs."""
+    caps = common_next + cap_next
+    dotted = soft + number + caps
+    sure = soft + number
+    never = both(caps >= EVIDENCE, common_next <= GOES_ON * caps)
+    rare = both(dotted >= EVIDENCE, plain * OUTWEIGH < dotted)
+    return (
+        (either(both(sure >= EVIDENCE, sure * 2 >= dotted), both(rare, either(both(sure > 0, sure >= GOES_ON * dotted), never))), ABBREVIATION),
+        (both(caps >= EVIDENCE, common_next >= ENDS_ON * caps), ENDS),
+        (never, NEVER),
+        (both(number >= EVIDENCE, number * 2 > dotted), NUMBER),
+        (dotted >= EVIDENCE, ORDINARY),
+        (both(both(begins >= EVIDENCE, small >= EVIDENCE), small > OUTWEIGH * inside), COMMON),
+        (both(both(begins >= EVIDENCE, inside >= EVIDENCE), inside > OUTWEIGH * small), PROPER),
+    )
+
+
+def corpus_evidence(docs: DataFrame, text_col: str = "text", listed: Iterable[str] = BEFORE_MORE | MAY_END) -> DataFrame:
+    """(word, bits) over all texts, of the words about which the counts tell
+    something that a terminator can ask. ``ORDINARY`` is kept of ``listed`` words
+    only: they are asked in the lists if the corpus is silent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dotted, plain, lower, begins = Counter(), Counter(), Counter(), Counter()
+        counts = Counts()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    dotted.update(w.lower() for w in _EVIDENCE.findall(t))
-                    plain.update(_PLAIN.findall(t.lower()))
-                    words = _AFTER_DOT.findall(t)
-                    if words:
-                        words = [w.lower() for w in words]
-                        begins.update(words)
-                        small = set(_LOWER.findall(t))
-                        lower.update(w for w in words if w in small)
-            if len(plain) + len(begins) > 200_000:
-                yield _counts(dotted, plain, lower, begins)
-                dotted, plain, lower, begins = Counter(), Counter(), Counter(), Counter()
-        yield _counts(dotted, plain, lower, begins)
-
-    total = spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(count, "word string, dotted long, plain long, lower long, begins long")
-    total = total.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("dotted", "plain", "lower", "begins")])
-    abbreviation = (F.col("dotted") >= EVIDENCE) & (F.col("dotted") > OUTWEIGH * F.col("plain"))
-    common = (F.col("lower") >= EVIDENCE) & (F.col("lower") * OUTWEIGH > F.col("begins"))
-    return total.where(abbreviation | common).select("word", abbreviation.alias("abbreviation"), common.alias("common"))
-
-
-def _counts(*counters: Counter) -> pa.RecordBatch:
-    words = list(set().union(*counters))
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters)], names=["word", "dotted", "plain", "lower", "begins"])
-
-
+                    counts.add(t)
+                    if len(counts) > _HELD:
+                        yield counts.rows()
+                        counts = Counts()
+        yield counts.rows()
+
+    total = spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(count, "word string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    total = total.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    found = dict((bit, flag) for flag, bit in findings(*[F.col(c) for c in _COUNTS], lambda a, b: a & b, lambda a, b: a | b))
+    words = sorted(listed)
+    found[ORDINARY] = found[ORDINARY] & (F.col("word").isin(words) if words else F.lit(False))
+    # what concerns abbreviations counts only where a word is one
+    here = {bit: flag & found[ABBREVIATION] if bit in (ENDS, NEVER) else flag & ~found[ABBREVIATION] if bit == ORDINARY else flag for bit, flag in found.items()}
+    bits: Column = sum((F.when(flag, bit).otherwise(0) for bit, flag in here.items()), F.lit(0))
+    return total.select("word", bits.cast("int").alias("bits")).where("bits > 0")
+
+
+#: Distinct tokens counted at a time.
+_HELD = 300_000
 _ROWS = 2048
 
 
@@ -351,23 +598,24 @@ def _cutter(get: Callable[[int, pa.RecordBatch], Knowledge]) -> Callable[[Iterat
 
 
 def asked_words(text: str) -> set[str]:
-    """All words that ``_Splitter`` can ask ``Knowledge`` about in ``text``: those
-    before a period, begun anywhere as a sentence may begin inside one, and those
-    after it."""
+    """All words that ``_Splitter`` can ask about in ``text``: those before a
+    terminator, begun anywhere as a sentence may begin inside one, those after a
+    period, and the words before short numbers."""
     out = set()
-    at = text.find(".")
-    while at >= 0:
-        m = _WORD_BEFORE.search(text, max(0, at - 40), at)
-        if m:
-            run = m.group()
-            for i in range(len(run)):
-                word = run[i:].lstrip(".-").strip("’'").lower()
-                if word and len(word) <= SHORT + 2:
-                    out.add(word)
-        m = _WORD_AFTER.match(text, at + 1)
-        if m:
-            out.add(m.group(1).lower())
-        at = text.find(".", at + 1)
+    for m in _STOP.finditer(text):
+        dot = m.start()
+        at, word = word_before(text, 0, dot)
+        if word:
+            out.add(word)
+            run = text[at:dot]
+            for i, c in enumerate(run):
+                if c in ".’'-°º_":
+                    out.add(run[i + 1 :].strip("’'-").lower())
+            if len(word) <= 2 and word.isdigit():
+                out.add(token_before(text, at) + " #")
+        if m.group() == "." and (n := _WORD_AFTER.match(text, dot + 1)):
+            out.add(n.group(1).lower())
+    out.discard("")
     return out
 
 
@@ -384,40 +632,35 @@ def _asked_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(words, pa.string())], names=["_id", "word"])
 
 
-def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lists: frozenset[str]) -> DataFrame:
     """``id_col``, ``start_pos``, ``end_pos`` of every sentence.
 
     Two narrow passes over the texts. The corpus' findings are sent to all
     tasks if their counted number permits; else each document gets those that
-    its own periods ask about by a join, with the same result.
+    its own terminators ask about by a join, with the same result. ``lists``:
+    other lists for ``Knowledge``, also empty ones.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()
     ddl = f"_id {kind}, start_pos long, end_pos long"
-    found = corpus_evidence(docs, text_col).persist()
-    try:
-        if is_small(found):
-            rows = found.collect()
-            shared = docs.sparkSession.sparkContext.broadcast(
-                (frozenset(r["word"] for r in rows if r["abbreviation"]), frozenset(r["word"] for r in rows if r["common"]))
-            )
-            memo: list[Knowledge] = []
-
-            def get(i: int, batch: pa.RecordBatch) -> Knowledge:
-                if not memo:
-                    memo.append(Knowledge(*shared.value))
-                return memo[0]
-
-            done = spread(src).mapInArrow(_cutter(get), ddl)
-        else:
-            words = spread(src).mapInArrow(_asked_of, f"_id {kind}, word string")
-            own = words.join(found, "word").groupBy("_id").agg(F.collect_set(F.when(F.col("abbreviation"), F.col("word"))).alias("ab"), F.collect_set(F.when(F.col("common"), F.col("word"))).alias("co"))
-
-            def of_row(i: int, batch: pa.RecordBatch) -> Knowledge:
-                return Knowledge(frozenset(batch.column(2)[i].as_py() or ()), frozenset(batch.column(3)[i].as_py() or ()))
-
-            own = own.withColumnRenamed("_id", "_own")
-            done = src.join(own, F.col("_id").eqNullSafe(F.col("_own")), "left").select("_id", "_t", "ab", "co").mapInArrow(_cutter(of_row), ddl)
-    finally:
-        found.unpersist()
+    listed = lists.get("before_more", BEFORE_MORE) | lists.get("may_end", MAY_END)
+    found = cut(corpus_evidence(docs, text_col, listed))
+    if is_small(found):
+        shared = docs.sparkSession.sparkContext.broadcast({r["word"]: r["bits"] for r in found.collect()})
+        memo: list[Knowledge] = []
+
+        def get(i: int, batch: pa.RecordBatch) -> Knowledge:
+            if not memo:
+                memo.append(Knowledge(findings=shared.value, **lists))
+            return memo[0]
+
+        done = spread(src).mapInArrow(_cutter(get), ddl)
+    else:
+        words = spread(src).mapInArrow(_asked_of, f"_id {kind}, word string")
+        own = words.join(found, "word").groupBy("_id").agg(F.collect_list(F.struct("word", "bits")).alias("own")).withColumnRenamed("_id", "_own")
+
+        def of_row(i: int, batch: pa.RecordBatch) -> Knowledge:
+            return Knowledge(findings={r["word"]: r["bits"] for r in batch.column(2)[i].as_py() or ()}, **lists)
+
+        done = src.join(own, F.col("_id").eqNullSafe(F.col("_own")), "left").select("_id", "_t", "own").mapInArrow(_cutter(of_row), ddl)
     return done.select(F.col("_id").alias(id_col), "start_pos", "end_pos")

@@ -98,3 +98,67 @@ def test_corpus_evidence_reaches_both_branches(spark, monkeypatch):
 def test_long_straight_quotation():
     text = 'They wrote "It was cold. ' + "The leaf lay in the old tray, and " * 60 + 'it was late." in the end. It was so.'
     assert len(text) > 2000 and cut(text) == [text[: -len(" It was so.")], "It was so."]
+
+
+def test_branches_agree_over_the_whole_table(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for lists in ({}, {"before_more": frozenset(), "may_end": frozenset(), "before_ordinal": frozenset()}):
+        got = sorted(map(tuple, S.split_sentences(docs, **lists).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(S, "is_small", lambda df: False)
+            assert sorted(map(tuple, S.split_sentences(docs, **lists).collect())) == got
+        assert len(got) > 500
+
+
+def known(texts, **lists):
+    """What the corpus ``texts`` tell, without the lists."""
+    counts = S.Counts()
+    for t in texts:
+        counts.add(t)
+    rows = counts.rows().to_pylist()
+    bits = {}
+    for r in rows:
+        flags = {bit: bool(f) for f, bit in S.findings(*[r[c] for c in S._COUNTS], lambda a, b: a and b, lambda a, b: a or b)}
+        bits[r["word"]] = sum(b for b, f in flags.items() if f and (flags[S.ABBREVIATION] or b not in (S.ENDS, S.NEVER)) and b != S.ORDINARY)
+    return S.Knowledge(findings=bits, before_more=frozenset(), may_end=frozenset(), before_ordinal=frozenset(), **lists)
+
+
+def test_corpus_tells_titles_from_words_that_end_sentences():
+    corpus = ["The leaf went on to Curat. Besk in the end. The tray lay with leaves, seeds, usuall. The rest lay by the usuall., as before."] * 6
+    k = known(corpus)
+    assert k.findings["curat"] & S.NEVER and k.findings["usuall"] & S.ENDS
+    assert cut("It went to Curat. Dell there. It came.", k) == ["It went to Curat. Dell there.", "It came."]
+    assert cut("It lay with moss, usuall. The tray fell.", k) == ["It lay with moss, usuall.", "The tray fell."]
+    # of any length, and with a word in front for short numbers
+    corpus = ["Es kam am 14. Marz und am 3. Juni, also sprach die handschriftl., neue Notiz, und so war es. Da lag es."] * 6
+    k = known(corpus)
+    assert k.findings["am #"] & S.ABBREVIATION and k.findings["handschriftl"] & S.ABBREVIATION
+    assert cut("Es kam am 5. Mai. Da lag es.", k) == ["Es kam am 5. Mai.", "Da lag es."]
+
+
+def test_document_is_asked_first():
+    empty = S.Knowledge(before_more=frozenset(), may_end=frozenset(), before_ordinal=frozenset())
+    # the comma shows the abbreviation, the capital inside a sentence the name, the small letter the common word
+    text = "By the herbar., it lay, said old Besk of the leaves. The herbar. Besk kept it. It was in the herbar. Leaves fell."
+    assert cut(text, empty)[1:] == ["The herbar. Besk kept it.", "It was in the herbar.", "Leaves fell."]
+    # the corpus takes it for an abbreviation, the document shows it as a word
+    k = S.Knowledge(abbreviations=["fen"])
+    assert cut("The fen was cold. It lay in the fen. Besk came.", k) == ["The fen was cold.", "It lay in the fen.", "Besk came."]
+    assert cut("It lay in the fen. Besk came.", k) == ["It lay in the fen. Besk came."]
+
+
+def test_a_long_unit_takes_linear_time():
+    import time
+
+    def took(n):
+        text = 'He said "so it is. ' * n + "It was cold. " * n
+        began = time.process_time()
+        S.sentence_spans(text)
+        return time.process_time() - began
+
+    took(100)
+    assert took(16000) < 40 * max(took(1000), 0.01)
+
+
+def test_invisible_letters_part_no_word():
+    assert cut("It lay in the ru­n. Then it left.") == ["It lay in the ru­n.", "Then it left."]
