@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pytest
 
 from seqmill.llm import leakage as L
 
@@ -38,21 +40,55 @@ def test_dense_script():
     assert [d for d, _ in found(texts, ((1, item),))] == [0, 1, 3]
 
 
-def test_search_finds_every_window():
+def coded(text):
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+@pytest.mark.parametrize("m, stride", [(1, 1), (3, 1), (8, 2), (16, 5), (20, 3), (300, 7)])
+def test_search_finds_every_window(m, stride):
     rng = random.Random(3)
-    items = [L.Item(k, "".join(rng.choice("abcd") for _ in range(60)), 0.5) for k in range(5)]
-    s = L.WuManber(20, items)
-    text = "".join(rng.choice("abcd") for _ in range(500)) + items[2].letters + items[4].letters[10:45]
-    got = set(zip(*(x.tolist() for x in s.search(np.frombuffer(text.encode("utf-32-le"), np.uint32)))))
-    want = {(p, k, i) for p in range(len(text) - 19) for k, it in enumerate(items) for i in {*range(0, 41, L.STRIDE), 40} if text[p : p + 20] == it.letters[i : i + 20]}
+    items = [L.Item(k, "".join(rng.choice("abcd") for _ in range(60 if m < 60 else 900)), 0.5) for k in range(5)]
+    s = L.WuManber(m, stride, items)
+    text = "".join(rng.choice("abcd") for _ in range(3000)) + items[2].letters + "日本" + items[4].letters[10:45] + items[0].letters
+    p, w = s.search(coded(text))
+    got = {(x, k, i) for x, y in zip(p.tolist(), w.tolist()) for k, i in zip(s.owner[s.first[y] : s.first[y + 1]].tolist(), s.start[s.first[y] : s.first[y + 1]].tolist())}
+    starts = lambda n: {*range(0, n - m + 1, stride), n - m}
+    want = {(x, k, i) for k, it in enumerate(items) for i in starts(len(it.letters)) for x in range(len(text) - m + 1) if text[x : x + m] == it.letters[i : i + m]}
     assert got == want and want
 
 
-def test_hash_of_windows():
-    codes = np.array([5, 1, 4, 4, 2, 9, 7], np.uint32)
-    for m in (1, 2, 3, 5, 7):
-        want = L.WuManber._hash(np.lib.stride_tricks.sliding_window_view(codes, m))
-        assert (L._rolling(codes, m) == want).all()
+def test_search_leaps():
+    rng = random.Random(5)
+    text = L.letters(" ".join(rng.choice(WORDS) for _ in range(20_000)))
+    s = L.WuManber(L.WINDOW, 5, [L.Item(0, ITEM, 0.5)])
+    s.search(coded(text))
+    assert 0 < s.visited < len(text) / 3
+
+
+def test_many_items_share_a_task_line():
+    rng = random.Random(8)
+    line = "Read the following passage with care and answer the question below it: "
+    body = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(24))
+    items = [(k, line + body()) for k in range(10_000)]
+    finder = L.Finder(items)
+    assert any(c for *_, c in finder.searches)
+    texts = [L.letters(t) for t in (line + body(), items[77][1], line + " ".join(items[5][1].split()[13:24]), "x " + line, line + items[9][1][len(line) :].replace("a", "a-"), line * 3)]
+    began = time.process_time()
+    assert sorted(finder.find(texts * 20)) == sorted((6 * r + d, i) for r in range(20) for d, i in ((1, 77), (2, 5), (4, 9)))
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("shared", [1, 4])
+def test_common_windows_lose_nothing(monkeypatch, shared):
+    rng = random.Random(11)
+    parts = [" ".join(rng.sample(WORDS, 9)) for _ in range(6)]
+    items = [(k, ". ".join(rng.choice(parts) for _ in range(4)) + " " + " ".join(rng.sample(WORDS, 6))) for k in range(12)] + [(99, "阅读下文并写出合适的标记光滑的索引")]
+    texts = [L.letters(" ".join(rng.choice(parts) if rng.random() < 0.7 else rng.choice(items)[1] for _ in range(5))) for _ in range(60)]
+    want = sorted(L.Finder(items).find(texts))
+    monkeypatch.setattr(L, "SHARED", shared)
+    finder = L.Finder(items)
+    assert any(c for *_, c in finder.searches)
+    assert sorted(finder.find(texts)) == want and want
 
 
 def test_operator(spark, monkeypatch):
