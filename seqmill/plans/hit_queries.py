@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import sequence as S
+from ..functions.values import accession_key, accession_key_sql
 from ..operators import cluster, hits, records, selection
 from ..runtime import table
 from ..sources.search_xml import job_state
@@ -30,6 +31,8 @@ joined AS (SELECT query_acc, subject_acc, CASE WHEN s_strand THEN o.lo ELSE o.hi
   CAST(list_sum(list_transform(h, lambda x: x.al * x.n)) AS BIGINT) AS sum_hits_alignlen, round(list_sum(list_transform(h, lambda x: x.bs * x.n)), 4) AS sum_hits_score FROM r)"""
 _BEST = """best AS (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY subject_acc ORDER BY sum_hits_score DESC, sum_hits_alignlen DESC, query_acc) = 1)"""
 
+_ROUNDS = f"b AS (SELECT *, {accession_key_sql('subject_acc')} AS a FROM blast_result_long)"
+
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
     return hits.join_hits(table(spark, d, "hit_table"), table(spark, d, "query_info"), MAX_LENGTH)
@@ -54,26 +57,32 @@ def hit_accessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotated_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: joined, best per record, and passing the annotation check."""
+    """Flagship: joined, best per record, and passing the annotation check with
+    all definitions of the record."""
     b = _best(spark, d)
-    defs = table(spark, d, "hit_table").groupBy("subject_acc").agg(F.max("hit_def").alias("hit_def"))
+    defs = table(spark, d, "hit_table").groupBy("subject_acc").agg(F.collect_set("hit_def").alias("hit_defs"))
     x = b.join(defs, "subject_acc")
-    return x.where(S.annotation_ok(F.array("hit_def"), ["ITS gene", "rbcL gene", "matK gene"], ["rubri cola"])).drop("hit_def")
+    return x.where(S.annotation_ok(F.col("hit_defs"), ["ITS gene", "rbcL gene", "matK gene"], ["rubri cola"])).drop("hit_defs")
+
+
+def _rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Results with one spelling for each record: accession without version."""
+    return table(spark, d, "blast_result_long").withColumn("subject_acc", accession_key(F.col("subject_acc")))
 
 
 def new_hits_per_round(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "blast_result_long").select("source", "subject_acc").distinct()
+    b = _rounds(spark, d).select("source", "subject_acc").distinct()
     out = hits.new_hits(b.where("source = 2"), b.where("source < 2"))
     return out.select("subject_acc")
 
 
 def round_counters(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "blast_result_long")
+    b = _rounds(spark, d)
     return hits.round_counters(b, "subject_acc", F.coalesce(F.col("sum_hits_score") > 500, F.lit(False)))
 
 
 def first_round(spark: SparkSession, d: str) -> DataFrame:
-    return hits.first_round(table(spark, d, "blast_result_long"))
+    return hits.first_round(_rounds(spark, d))
 
 
 def rows_per_round(spark: SparkSession, d: str) -> DataFrame:
@@ -166,18 +175,18 @@ u AS (SELECT *, CAST(CASE WHEN {MAX_LENGTH} > ql AND wl + wr > 0 AND wl + wr > m
 SELECT * EXCLUDE (ql, wl, wr), q_start - extension_left AS q_extstart, q_end + extension_right AS q_extend,
   CASE WHEN s_end > s_start THEN s_start - extension_left ELSE s_start + extension_left END AS s_extstart,
   CASE WHEN s_end > s_start THEN s_end + extension_right ELSE s_end - extension_right END AS s_extend FROM u""",
-    "annotated_hits": f"""WITH {_JOINED}, {_BEST}, t AS (SELECT subject_acc, replace(lower(max(hit_def)), ' ', '') AS t FROM hit_table GROUP BY 1)
-SELECT best.* FROM best JOIN t USING (subject_acc) WHERE t IS NOT NULL AND NOT contains(t, 'rubricola') AND (contains(t, 'itsgene') OR contains(t, 'rbclgene') OR contains(t, 'matkgene'))""",
+    "annotated_hits": f"""WITH {_JOINED}, {_BEST}, h AS (SELECT subject_acc, replace(lower(hit_def), ' ', '') AS t FROM hit_table),
+t AS (SELECT subject_acc FROM h GROUP BY 1 HAVING NOT coalesce(bool_or(contains(t, 'rubricola')), false) AND bool_or(contains(t, 'itsgene') OR contains(t, 'rbclgene') OR contains(t, 'matkgene')))
+SELECT best.* FROM best JOIN t USING (subject_acc)""",
     "hit_scalars": """SELECT q_end - q_start > 0 AS q_strand, s_end - s_start > 0 AS s_strand, count(*) AS n, CAST(sum(abs(s_end - s_start) + 1) AS BIGINT) AS sum_len,
 max(abs(s_end - s_start) + 1) AS max_len FROM hit_table GROUP BY ALL""",
     "hit_accessions": r"""WITH p AS (SELECT string_split(hit_id, '|') AS p, hit_id, subject_acc FROM hit_table),
 a AS (SELECT CASE WHEN len(p) < 2 THEN hit_id WHEN length(p[-1]) BETWEEN 1 AND 2 THEN p[-2] || '_' || p[-1] ELSE p[-2] END AS acc, subject_acc FROM p)
 SELECT acc, count(*) AS n, count(*) FILTER (acc = subject_acc) AS n_same FROM a GROUP BY acc""",
-    "new_hits_per_round": """SELECT DISTINCT subject_acc FROM blast_result_long WHERE source = 2 AND subject_acc NOT IN
-(SELECT subject_acc FROM blast_result_long WHERE source < 2 AND subject_acc IS NOT NULL)""",
-    "round_counters": """WITH k AS (SELECT subject_acc, min({'r': source, 'bad': NOT coalesce(sum_hits_score > 500, false)}) AS m FROM blast_result_long WHERE subject_acc IS NOT NULL GROUP BY 1)
+    "new_hits_per_round": f"""WITH {_ROUNDS} SELECT DISTINCT a AS subject_acc FROM b WHERE source = 2 AND a NOT IN (SELECT a FROM b WHERE source < 2 AND a IS NOT NULL)""",
+    "round_counters": f"""WITH {_ROUNDS}, k AS (SELECT a, min({{'r': source, 'bad': NOT coalesce(sum_hits_score > 500, false)}}) AS m FROM b WHERE a IS NOT NULL GROUP BY 1)
 SELECT m.r AS round, count(*) AS n_new, count(*) FILTER (NOT m.bad) AS n_good, CAST(sum(count(*)) OVER (ORDER BY m.r) AS BIGINT) AS n_total FROM k GROUP BY m.r""",
-    "first_round": "SELECT subject_acc, min(source) AS first_round FROM blast_result_long WHERE subject_acc IS NOT NULL GROUP BY 1",
+    "first_round": f"WITH {_ROUNDS} SELECT a AS subject_acc, min(source) AS first_round FROM b WHERE a IS NOT NULL GROUP BY 1",
     "rows_per_round": "SELECT source, count(*) AS n FROM blast_result_long GROUP BY 1",
     "quartile_band": """WITH h AS (SELECT DISTINCT * FROM hit_table), q AS (SELECT query_acc, quantile_cont(bit_score, 0.25) AS a, quantile_cont(bit_score, 0.75) AS b FROM h GROUP BY 1)
 SELECT query_acc, count(*) AS n, round(sum(bit_score), 3) AS total FROM h JOIN q USING (query_acc) WHERE bit_score BETWEEN a AND b GROUP BY 1""",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import sequence as S
+from ..functions.values import accession_key, accession_key_sql, usable, usable_sql
 from ..operators import kmer, matrix, records, selection
 from ..operators.packed_values import split_packed
 from ..operators.timestamps import normalise_times
 from ..runtime import table
 from ..sources import records as sink
-from .relations import MARKERS, NO_VALUE_SQL, is_voucher, marker_alignments
+from .relations import MARKERS, marker_alignments
 
 
 def _info(spark: SparkSession, d: str) -> DataFrame:
@@ -108,16 +109,18 @@ def marker_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def not_yet_fetched(spark: SparkSession, d: str) -> DataFrame:
-    want = table(spark, d, "hit_table").select(F.col("subject_acc").alias("accession")).distinct()
-    info = _info(spark, d)
+    """By accession without version and spelling, the form in which a fetch asks."""
+    want = table(spark, d, "hit_table").select(accession_key(F.col("subject_acc")).alias("accession")).where("accession is not null").distinct()
+    info = _info(spark, d).select(accession_key(F.col("accession")).alias("accession"), "length")
     return records.not_yet_fetched(want, info.where("length >= 300"), info.where("length < 300"))
 
 
 def info_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Left join of results and record metadata by accession."""
-    b = table(spark, d, "blast_result_long").select("eval_id", "subject_acc")
-    info = records.first_rows(_info(spark, d).select("accession", "organism", "length", "info_id"), ["accession"], ["info_id"])
-    x = b.join(info, b.subject_acc == info.accession, "left")
+    """Left join of results and record metadata by accession, of whatever version
+    and however written."""
+    b = table(spark, d, "blast_result_long").select(accession_key(F.col("subject_acc")).alias("key"))
+    info = _info(spark, d).select(accession_key(F.col("accession")).alias("key"), "organism", "length", "info_id").where("key is not null")
+    x = b.join(records.first_rows(info, ["key"], ["info_id"]), "key", "left")
     return x.groupBy("organism").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total_length"))
 
 
@@ -165,7 +168,7 @@ def average_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _representatives(spark: SparkSession, d: str, consensus: bool) -> DataFrame:
     x = selection.with_rank_sum(table(spark, d, "blast_result_long"))
-    return selection.representative_per_taxon(x, is_voucher(), is_voucher("journal"), "eval_id", consensus=consensus).select("taxon_name", "eval_id", "sum_of_rank")
+    return selection.representative_per_taxon(x, usable(F.col("specimen_voucher")), usable(F.col("journal"), journal=True), "eval_id", consensus=consensus).select("taxon_name", "eval_id", "sum_of_rank")
 
 
 def representative_per_taxon(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +275,7 @@ c0 AS (SELECT *, rank() OVER (ORDER BY source) + (count(*) OVER (PARTITION BY so
   rank() OVER (ORDER BY record_length DESC) + (count(*) OVER (PARTITION BY record_length) - 1) / 2.0 AS q3 FROM blast_result_long),
 k AS (SELECT c0.*, r1 AS rank_sum_hits_score, q2 AS rank_source, q3 AS rank_record_length, r1 + q3 AS sum_of_rank FROM c0 LEFT JOIN (SELECT eval_id, r1 FROM c) USING (eval_id)),
 l AS (SELECT *, CASE WHEN consensus_value IS NULL OR isnan(consensus_value) THEN -1 ELSE consensus_value END AS cv,
-  coalesce(lower(trim(specimen_voucher)) NOT IN (%s), false) AS has_v, coalesce(lower(trim(journal)) NOT IN (%s), false) AS has_j FROM k WHERE taxon_name IS NOT NULL)""" % (NO_VALUE_SQL, NO_VALUE_SQL)
+  %s AS has_v, %s AS has_j FROM k WHERE taxon_name IS NOT NULL)""" % (usable_sql("specimen_voucher"), usable_sql("journal", journal=True))
 _BY_CONSENSUS = "cv DESC, has_v DESC, has_j DESC, date DESC NULLS LAST, coalesce(sum_of_rank, 'Infinity'::DOUBLE), eval_id"
 _COMPLETE = MARKERS + """,
 size AS (SELECT marker, CASE WHEN count(DISTINCT length(seq)) = 1 THEN max(length(seq)) ELSE -1 END AS n FROM aln GROUP BY 1),
@@ -313,9 +316,10 @@ SELECT kingdom, genus, n, CASE WHEN n > 5 THEN genus ELSE coalesce(a, b) END AS
     "record_predicate": r"""SELECT info_id FROM seq_info WHERE regexp_matches(date, '^\d{4}-\d{2}-\d{2}$') AND list_contains(string_split(taxonomy, '|'), 'Viridiplantae')
 AND regexp_matches(title, 'Phylogeny|Notes') AND TRY_CAST(date AS DATE) BETWEEN DATE '2005-01-01' AND DATE '2015-12-31'""",
     "marker_counts": """SELECT marker, count(*) AS n_records FROM seq_info JOIN (VALUES ('ITS'), ('matK'), ('rbcL'), ('COI')) m(marker) ON contains(description, ' ' || marker || ' ') GROUP BY 1""",
-    "not_yet_fetched": "SELECT DISTINCT subject_acc AS accession FROM hit_table WHERE subject_acc NOT IN (SELECT accession FROM seq_info WHERE length IS NOT NULL)",
-    "info_lookup": """WITH i AS (SELECT * FROM seq_info QUALIFY row_number() OVER (PARTITION BY accession ORDER BY info_id) = 1)
-SELECT organism, count(*) AS n, CAST(sum(length) AS BIGINT) AS total_length FROM blast_result_long b LEFT JOIN i ON b.subject_acc = i.accession GROUP BY 1""",
+    "not_yet_fetched": f"""WITH w AS (SELECT DISTINCT {accession_key_sql('subject_acc')} AS accession FROM hit_table), i AS (SELECT {accession_key_sql('accession')} AS a FROM seq_info WHERE length IS NOT NULL)
+SELECT accession FROM w WHERE accession IS NOT NULL AND accession NOT IN (SELECT a FROM i WHERE a IS NOT NULL)""",
+    "info_lookup": f"""WITH i AS (SELECT *, {accession_key_sql('accession')} AS k FROM seq_info QUALIFY row_number() OVER (PARTITION BY k ORDER BY info_id) = 1)
+SELECT organism, count(*) AS n, CAST(sum(length) AS BIGINT) AS total_length FROM blast_result_long b LEFT JOIN i ON {accession_key_sql('b.subject_acc')} = i.k GROUP BY 1""",
     "resolved_names": """WITH n AS (SELECT organism, upper(organism) AS accepted FROM seq_info WHERE organism IS NOT NULL GROUP BY 1 HAVING count(*) > 20)
 SELECT info_id, coalesce(accepted, s.organism) AS organism, s.organism AS organism_ori FROM seq_info s LEFT JOIN n ON s.organism = n.organism""",
     "headers": r"""WITH h AS (SELECT info_id, accession || ':' || greatest(seq_start, 1) || '-' || (greatest(seq_start, 1) + length - 1) || CASE WHEN strand = 2 THEN '_reverse_complement' ELSE '' END
