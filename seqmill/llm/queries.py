@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.values import accession_key, usable
 from ..runtime import table
 from .bpe import encode_texts
 from .leakage import leaked
-from .representative import accession_key, representatives, usable
+from .representative import representatives
 from .sentences import split_sentences
 from .top_items import top_items
 
