@@ -4,8 +4,9 @@ Every input split is sorted by group and score: a run. A run keeps at most N
 items of a group, so a group with millions of items shrinks before anything is
 moved. Runs are stored by bucket of groups (the files of the shuffle), and a
 bucket's runs are merged by a loser tree: its root is the best item left, and
-after N items of a group every run seeks straight to its next group. With very
-many runs, blocks of ``FAN`` runs are merged first, so that no merge is wider.
+after N items of a group every run seeks straight to its next group. A merging
+task holds some whole groups of its sorted stream at a time. With very many runs,
+blocks of ``FAN`` runs are merged first, so that no merge is wider.
 
 Order: each score descending with missing ones last, then the id ascending, so
 ties and repeated rows always come out the same. Defined results: null groups
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Runs merged at a time.
 FAN = 64
+#: Rows from which a merging task works off the groups it holds.
+ROWS = 20_000
 
 
 class LoserTree:
@@ -124,45 +127,52 @@ def top_items(df: DataFrame, group: str, scores: Sequence[Column], id_col: str,
             kept = pa.array(np.flatnonzero(place < n))
             yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in batch.columns), pa.array(np.full(len(kept), run), pa.int32())], names=[*batch.schema.names, "run"])
 
+    def merge(table: pa.Table, last: bool) -> pa.Table:
+        """First items of each group of some whole groups, from all their runs."""
+        table = table.combine_chunks()
+        codes = table.column("g").combine_chunks().dictionary_encode().indices.to_numpy()  # groups ascend
+        scores = [np.where(np.isnan(v), np.inf, -v) for v in (table.column(c).to_numpy().astype(float) for c in names)]
+        lists = [codes.tolist(), *(s.tolist() for s in scores), table.column("id").to_pylist()]
+        run = table.column("run").to_numpy()
+        by_run = np.argsort(run, kind="stable")
+        rows_of = np.split(by_run, np.flatnonzero(np.diff(run[by_run])) + 1)
+        runs = [(codes[rows], [tuple(c[i] for c in lists) for i in rows.tolist()]) for rows in rows_of]
+        picked, places = [], []
+        for r, row, place in merge_runs(runs, n):
+            picked.append(int(rows_of[r][row]))
+            places.append(place)
+        out = table.take(pa.array(picked, pa.int64()))
+        if last:
+            return pa.table({"g": out.column("g"), "place": pa.array(places, pa.int64()), "id": out.column("id")})
+        return out.set_column(out.schema.get_field_index("run"), "run", pa.array(out.column("run").to_numpy() // fan, pa.int32()))
+
     def merger(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            table = pa.Table.from_batches(held).combine_chunks()
-            groups = table.column("g").to_pylist()
-            code_of = {g: i for i, g in enumerate(sorted(set(groups)))}
-            codes = np.array([code_of[g] for g in groups])
-            ids = table.column("id").to_pylist()
-            scores = [np.where(np.isnan(v), np.inf, -v) for v in (table.column(c).to_numpy().astype(float) for c in names)]
-            run = table.column("run").to_numpy()
-            lists = [codes.tolist(), *(s.tolist() for s in scores), ids]
-            rows_of, runs = [], []
-            by_run = np.argsort(run, kind="stable")
-            for rows in np.split(by_run, np.flatnonzero(np.diff(run[by_run])) + 1):
-                keys = [tuple(c[i] for c in lists) for i in rows.tolist()]
-                if any(a > b for a, b in zip(keys, keys[1:])):  # the fetch may have cut a run in pieces
-                    o = sorted(range(len(keys)), key=keys.__getitem__)
-                    keys, rows = [keys[i] for i in o], rows[o]
-                rows_of.append(rows)
-                runs.append((codes[rows], keys))
-            picked, places = [], []
-            for r, row, place in merge_runs(runs, n):
-                picked.append(int(rows_of[r][row]))
-                places.append(place)
-            out = table.take(pa.array(picked, pa.int64()))
-            if last:
-                yield from pa.table({"g": out.column("g"), "place": pa.array(places, pa.int64()), "id": out.column("id")}).to_batches()
-            else:
-                wide = pa.array(out.column("run").to_numpy() // fan, pa.int32())
-                yield from out.set_column(out.schema.get_field_index("run"), "run", wide).to_batches()
+            # the stream is sorted by group and run: some whole groups are held at a
+            # time, a group being at most ``fan`` runs of ``n`` items
+            held: pa.Table | None = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                piece = pa.Table.from_batches([batch])
+                held = piece if held is None else pa.concat_tables([held, piece])
+                if held.num_rows < ROWS:
+                    continue
+                codes = held.column("g").combine_chunks().dictionary_encode().indices.to_numpy()
+                end = int(np.searchsorted(codes, codes[-1]))  # the last group may go on
+                if end:
+                    yield from merge(held.slice(0, end), last).to_batches()
+                    held = held.slice(end)
+            if held is not None and held.num_rows:
+                yield from merge(held, last).to_batches()
 
         return merged
 
+    by = ["g", "run", *order[1:]]
     runs = src.sortWithinPartitions(*order).mapInArrow(runs_of, ddl)
     width = src.rdd.getNumPartitions()
     while width > fan:
-        runs = runs.repartition("g", F.floor(F.col("run") / fan)).mapInArrow(merger(False), ddl)
+        runs = runs.repartition("g", F.floor(F.col("run") / fan)).sortWithinPartitions(*by).mapInArrow(merger(False), ddl)
         width = -(-width // fan)
-    done = runs.repartition("g").mapInArrow(merger(True), f"g {kinds['g']}, place long, id {kinds['id']}")
+    done = runs.repartition("g").sortWithinPartitions(*by).mapInArrow(merger(True), f"g {kinds['g']}, place long, id {kinds['id']}")
     return done.select(F.col("g").alias(group), F.col("place").alias(position), F.col("id").alias(id_col))

@@ -51,3 +51,16 @@ def test_against_brute_force(spark, fan):
         want += [(g, p + 1, r[3]) for p, r in enumerate(best)]
     assert got == sorted(want)
     assert top_items(df.limit(0), "taxon", [F.col("a")], "id").count() == 0
+
+
+def test_a_merging_task_holds_few_rows(spark, monkeypatch):
+    from seqmill.llm import top_items as T
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", f"g{rng.randrange(300)}"]), float(rng.randrange(5)), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "taxon string, a double, id long").repartition(9)
+    want = sorted(map(tuple, top_items(df, "taxon", [F.col("a")], "id").collect()))
+    monkeypatch.setattr(T, "ROWS", 7)  # sent to the tasks with the closure
+    assert sorted(map(tuple, top_items(df, "taxon", [F.col("a")], "id", fan=3).collect())) == want
+    best = sorted((-a, i) for g, a, i in rows if g == "hot")[:3]
+    assert [(p, i) for g, p, i in want if g == "hot"] == [(k + 1, i) for k, (_, i) in enumerate(best)]
