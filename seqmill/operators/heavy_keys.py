@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegralType
 
 #: Values per accumulator array.
 WIDTH = 256
@@ -32,6 +33,8 @@ WIDTH = 256
 FLUSH = 1_000_000
 #: Array cells held by a summing task at a time.
 CELLS = 4_000_000
+#: Splits whose arrays meet at once.
+FAN = 1024
 #: Block number of the rows without a value.
 _NO_VALUE = -(2**62)
 
@@ -96,73 +99,90 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums array blocks of equal (key, block); the input is sorted by them,
-    and a piece of the stream is summed at a time."""
-    rest: pa.Table | None = None
+def _sum(table: pa.Table) -> pa.Table:
+    """One array for each (key, block); equal ones stand together."""
+    table = table.combine_chunks()
+    keys = table.column("k").combine_chunks().dictionary_encode()
+    codes, block = keys.indices.to_numpy(), table.column("block").to_numpy()
+    at = _runs(codes, block)
+    group = np.zeros(len(codes), np.int64)
+    group[at[1:]] = 1
+    group = np.cumsum(group)
+    offsets, counts = table.column("offsets").combine_chunks(), table.column("counts").combine_chunks()
+    owner = np.repeat(group, np.asarray(pc.list_value_length(offsets)))
+    cells, inverse = np.unique(owner * WIDTH + offsets.flatten().to_numpy(), return_inverse=True)
+    sums = np.zeros(len(cells), np.int64)
+    np.add.at(sums, inverse, counts.flatten().to_numpy())
+    owner = cells // WIDTH
+    first = _runs(owner)
+    return pa.table(
+        {
+            "k": table.column("k").take(pa.array(at)),
+            "block": table.column("block").take(pa.array(at)),
+            "total": pa.array(np.add.reduceat(sums, first), pa.int64()),
+            "offsets": _lists(cells % WIDTH, first, pa.int32()),
+            "counts": _lists(sums, first, pa.int64()),
+        }
+    )
 
-    def emit(table: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
-        keys = table.column("k").combine_chunks().dictionary_encode()
-        if isinstance(keys, pa.ChunkedArray):
-            keys = keys.combine_chunks()
-        codes, block = keys.indices.to_numpy(), table.column("block").to_numpy()
-        at = _runs(codes, block)
-        end = len(codes) if last else int(at[-1])  # the last array may go on in the next batch
-        tail = None if last else table.slice(end)
-        if end == 0:
-            return None, tail
-        at = at[at < end]
-        group = np.zeros(end, np.int64)
-        group[at[1:]] = 1
-        group = np.cumsum(group)
-        part = table.slice(0, end)
-        offsets = part.column("offsets").combine_chunks()
-        counts = part.column("counts").combine_chunks()
-        lengths = np.asarray(pc.list_value_length(offsets))
-        owner = np.repeat(group, lengths)
-        flat_o, flat_c = offsets.flatten().to_numpy(), counts.flatten().to_numpy()
-        dense = np.bincount(owner * WIDTH + flat_o, weights=flat_c, minlength=len(at) * WIDTH).astype(np.int64)
-        cell = np.flatnonzero(dense)
-        owner, offset, counts = cell // WIDTH, cell % WIDTH, dense[cell]
-        first = _runs(owner)
-        total = np.add.reduceat(counts, first)
-        return (
-            pa.RecordBatch.from_arrays(
-                [part.column("k").combine_chunks().take(pa.array(at)), part.column("block").combine_chunks().take(pa.array(at)), pa.array(total, pa.int64()), _lists(offset, first, pa.int32()), _lists(counts, first, pa.int64())],
-                names=["k", "block", "total", "offsets", "counts"],
-            ),
-            tail,
-        )
 
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums array blocks of equal (key, block); the input is sorted by them. A
+    piece of the stream is summed at a time, and of what goes on in the next piece
+    one array is carried, whatever the number of splits."""
+    rest: pa.Table | None = None
+    columns = ["k", "block", "offsets", "counts"]
     most = CELLS // WIDTH
     for batch in batches:
         for lo in range(0, batch.num_rows, most):
-            piece = pa.Table.from_batches([batch.slice(lo, most)])
-            table = piece if rest is None else pa.concat_tables([rest, piece]).combine_chunks()
-            out, rest = emit(table, False)
-            if out is not None:
-                yield out
-    if rest is not None and rest.num_rows:
-        out, _ = emit(rest, True)
-        if out is not None:
-            yield out
-
-
-def key_figures(df: DataFrame, key: str = "taxon_name", value: str = "record_length", count_as: str = "n_rows", middle_as: str = "mid_length") -> DataFrame:
-    """``key``, rows per key, and the lower middle of ``value`` per key."""
+            piece = pa.Table.from_batches([batch.slice(lo, most)]).select(columns)
+            summed = _sum(piece if rest is None else pa.concat_tables([rest, piece]))
+            rest = summed.slice(summed.num_rows - 1).select(columns)
+            yield from summed.slice(0, summed.num_rows - 1).to_batches()
+    if rest is not None:
+        yield from _sum(rest).to_batches()
+
+
+def _add_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_add`` for the arrays of each group of splits ``s``."""
+
+    def of_one(s: int, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _add(pieces):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, s), pa.int64()), b.column(3), b.column(4)], names=["k", "block", "s", "offsets", "counts"])
+
+    for batch in batches:
+        groups = batch.column(2).to_numpy()
+        for s in np.unique(groups).tolist():
+            mine = batch.filter(pa.array(groups == s))
+            yield from of_one(s, iter([pa.RecordBatch.from_arrays([mine.column(i) for i in (0, 1, 3, 4)], names=["k", "block", "offsets", "counts"])]))
+
+
+def key_figures(
+    df: DataFrame, key: str = "taxon_name", value: str = "record_length", count_as: str = "n_rows", middle_as: str = "mid_length", fan: int = FAN
+) -> DataFrame:
+    """``key``, rows per key, and the lower middle of ``value`` per key. ``value``
+    is a column of whole numbers."""
+    if not isinstance(df.schema[value].dataType, IntegralType):
+        raise TypeError(f"{value} is no column of whole numbers")
     src = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("long").alias("v"))
     kind = src.schema["k"].dataType.simpleString()
-    partial = src.mapInArrow(_accumulate, f"k {kind}, block long, offsets array<int>, counts array<bigint>")
-    blocks = (
-        partial.repartition("k", "block")
-        .sortWithinPartitions("k", "block")
-        .mapInArrow(_add, f"k {kind}, block long, total long, offsets array<int>, counts array<bigint>")
-    )
-    of_key, valued = W.partitionBy("k"), F.when(F.col("block") != _NO_VALUE, F.col("total"))
-    walked = (
-        blocks.withColumn("upto", F.sum(valued).over(of_key.orderBy("block").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("n", F.sum("total").over(of_key))
-        .withColumn("n_valued", F.sum(valued).over(of_key))
+    arrays = f"k {kind}, block long, offsets array<int>, counts array<bigint>"
+    summed = f"k {kind}, block long, total long, offsets array<int>, counts array<bigint>"
+    blocks = src.mapInArrow(_accumulate, arrays)
+    width = src.rdd.getNumPartitions()
+    split = F.spark_partition_id()
+    while width > fan:
+        # the arrays of one key and block from very many splits meet in groups of splits first
+        salted = blocks.withColumn("s", F.floor(split / fan))
+        salted = salted.repartition("k", "block", "s").sortWithinPartitions("k", "block", "s").select("k", "block", "s", "offsets", "counts")
+        blocks = salted.mapInArrow(_add_within, f"k {kind}, block long, s long, offsets array<int>, counts array<bigint>")
+        split, width = F.col("s"), -(-width // fan)
+    blocks = blocks.select("k", "block", "offsets", "counts").repartition("k", "block").sortWithinPartitions("k", "block").mapInArrow(_add, summed)
+    of_key = W.partitionBy("k").orderBy("block")
+    whole = of_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    valued = F.when(F.col("block") != _NO_VALUE, F.col("total"))
+    walked = blocks.select(
+        "*", F.sum(valued).over(of_key.rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("total").over(whole).alias("n"), F.sum(valued).over(whole).alias("n_valued")
     )
     rank = F.floor((F.col("n_valued") + 1) / 2)
     before = F.col("upto") - F.col("total")
