@@ -8,22 +8,28 @@ Three stages.
    equal local times) stays possible but carries ``RULE`` cost.
 2. *Viterbi.* Over each source's records in their order, the cheapest path of
    readings: rule costs plus ``SWITCH`` where the format changes and ``BACK``
-   where time runs backwards. ``RULE`` exceeds what two transitions can cost,
-   so a rule always decides where there is one, and the neighbours decide
-   where there is none (a source without a known order).
+   where time runs backwards. Of equal paths that with the readings listed first.
 3. *Rendering.* With a time of day in UTC to the second, else at the value's
    own precision.
 
+A reading that costs more than the cheapest of its value by over two transitions
+lies on no cheapest path and is dropped at once. So a rule decides where there
+is one; a value with one reading left is final where it stands, and only sources
+that hold a value with several (one without a known order, say) need the path
+search, all others pass through without a shuffle.
+
 A source is cut into blocks of consecutive order numbers, so one that holds
 most of the rows is spread over many tasks. A block is first reduced to a
 (max 8 x 8) cost matrix from its first record's readings to its last one's;
-the few matrices of a source are chained; then each block finds its path
-between the two ends fixed for it. The result equals an unblocked Viterbi.
+matrices of consecutive blocks are multiplied, ``FAN`` at a time, in as many
+levels as a source needs; then, from the top, the ends of each are fixed, and at
+last each block finds its path between its own. No task holds more than ``FAN``
+matrices or one block, and the result equals an unblocked Viterbi.
 
 Defined results: null, blank and impossible values give no row; a value in a
 zone-less form of a source without zone is read as UTC; a source without an
 order of day and month gets both readings at no rule cost. Rows with equal
-order numbers keep an arbitrary but fixed order (by text).
+order numbers keep an arbitrary but fixed order (by time).
 """
 
 from __future__ import annotations
@@ -41,8 +47,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import broadcast_if_small, cut, spread
 
-RULE, SWITCH, BACK = 100.0, 1.0, 1.0
-BLOCK = 8192
+RULE, SWITCH, BACK = 100, 1, 1
+#: Costs are counted in this unit; below it equal paths are told apart.
+UNIT = 1 << 46
+#: Rows of a block, and matrices that one task multiplies.
+BLOCK, FAN = 8192, 1024
 #: Readings kept of one value; the grammar cannot yield more.
 MOST = 8
 #: Values remembered per task.
@@ -100,7 +109,7 @@ def _dated(y: int, m: int, d: int) -> datetime | None:
         return None
 
 
-def _instants(local: datetime, mark: str | None, zone: str | None) -> list[tuple[int, float]]:
+def _instants(local: datetime, mark: str | None, zone: str | None) -> list[tuple[int, int]]:
     """UTC seconds of a local time with their rule cost."""
     naive = _seconds(local)
     tz = _zone(zone)
@@ -108,37 +117,37 @@ def _instants(local: datetime, mark: str | None, zone: str | None) -> list[tuple
         if mark[0] in "+-":
             digits = mark[1:].replace(":", "").ljust(4, "0")
             minutes = int(digits[:2]) * 60 + int(digits[2:])
-            return [(naive - (minutes if mark[0] == "+" else -minutes) * 60, 0.0)]
+            return [(naive - (minutes if mark[0] == "+" else -minutes) * 60, 0)]
         mark = mark.upper()
         if tz is not None and mark not in ("Z", "UTC", "GMT"):
             for fold in (0, 1):
                 at = local.replace(tzinfo=tz, fold=fold)
                 if at.tzname() == mark:
-                    return [(naive - int(at.utcoffset().total_seconds()), 0.0)]
-        return [(naive - ZONES[mark] * 60, 0.0)] if mark in ZONES else []
+                    return [(naive - int(at.utcoffset().total_seconds()), 0)]
+        return [(naive - ZONES[mark] * 60, 0)] if mark in ZONES else []
     if tz is None:
-        return [(naive, 0.0)]
+        return [(naive, 0)]
     first, second = (int(local.replace(tzinfo=tz, fold=f).utcoffset().total_seconds()) for f in (0, 1))
     # fold 0 is the earlier instant of a repeated time, and the offset before the change of a skipped one
-    return [(naive - first, 0.0), (naive - second, RULE)] if first > second else [(naive - first, 0.0)]
+    return [(naive - first, 0), (naive - second, RULE)] if first > second else [(naive - first, 0)]
 
 
-def interpretations(text: str, order: str | None, zone: str | None) -> list[tuple[int, int, float, int]]:
+def interpretations(text: str, order: str | None, zone: str | None) -> list[tuple[int, int, int, int]]:
     """All readings of a value: (form, precision, rule cost, UTC seconds)."""
     text = text.strip()
-    out: list[tuple[int, int, float, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     if not text:
         return out
     if _DIGITS.fullmatch(text):
         n = len(text)
         if n == 4:
             t = _dated(int(text), 1, 1)
-            return [(6, YEAR, 0.0, _seconds(t))] if t else out
+            return [(6, YEAR, 0, _seconds(t))] if t else out
         if n in (10, 13):
-            return [(_EPOCH_FORM, SECOND, 0.0, int(text[:10]))]
+            return [(_EPOCH_FORM, SECOND, 0, int(text[:10]))]
         if n == 8:
             if t := _dated(int(text[:4]), int(text[4:6]), int(text[6:])):
-                out.append((_COMPACT_FORM, DAY, 0.0, _seconds(t)))
+                out.append((_COMPACT_FORM, DAY, 0, _seconds(t)))
             a, b, y = int(text[:2]), int(text[2:4]), int(text[4:])
             if 1500 <= y <= 2100:
                 for k, (d, m) in enumerate(((a, b), (b, a))):
@@ -166,7 +175,7 @@ def interpretations(text: str, order: str | None, zone: str | None) -> list[tupl
         for k, month, day in days:
             if (t := _dated(y, month, day)) is None:
                 continue
-            cost = RULE if "a" in g and order is not None and order != ("dmy", "mdy")[k] else 0.0
+            cost = RULE if "a" in g and order is not None and order != ("dmy", "mdy")[k] else 0
             code = 10 * k + form
             if g.get("H") is None:
                 precision = DAY if "a" in g or g.get("d") else MONTH if g.get("mon") or g.get("m") else YEAR
@@ -196,53 +205,71 @@ def render(precision: int, at: int) -> str:
     return f"{t.year:04d}-{t.month:02d}" if precision == MONTH else f"{t.year:04d}"
 
 
-def _pack(form: int, precision: int, cost: float) -> int:
-    return (int(cost) << 16) | (precision << 8) | form
+def _pack(form: int, precision: int, cost: int, tie: int = 0) -> int:
+    return (tie << 32) | (cost << 16) | (precision << 8) | form
+
+
+def _own(code: int) -> int:
+    """A reading's own cost: its rule cost, and what tells equal paths apart."""
+    return ((code >> 16) & 0xFFFF) * UNIT + (code >> 32)
+
+
+def _tie(row: int, place: int) -> int:
+    """Prefers the readings listed first; a few bits of the row keep the sums of
+    different paths from being equal."""
+    return place and (place << 12) | ((row * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F) >> 52 & 0xFFF)
+
+
+def possible(readings: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Readings that can lie on a cheapest path: any other costs more than two
+    transitions could save."""
+    least = min((r[2] for r in readings), default=0)
+    return [r for r in readings if r[2] <= least + 2 * (SWITCH + BACK)]
 
 
 def _steps(a_codes: Sequence[int], a_times: Sequence[int], b_codes: Sequence[int], b_times: Sequence[int]) -> np.ndarray:
     """Cost of going from each reading of one record to each of the next,
-    with the latter's rule cost."""
-    out = np.empty((len(a_codes), len(b_codes)))
+    with the latter's own cost."""
+    out = np.empty((len(a_codes), len(b_codes)), np.int64)
     for i, (c, t) in enumerate(zip(a_codes, a_times)):
         for j, (d, u) in enumerate(zip(b_codes, b_times)):
-            out[i, j] = SWITCH * ((c & 255) != (d & 255)) + BACK * (u < t) + (d >> 16)
+            out[i, j] = (SWITCH * ((c & 255) != (d & 255)) + BACK * (u < t)) * UNIT + _own(d)
     return out
 
 
-def _best(costs: np.ndarray) -> np.ndarray:
-    return costs.argmin(axis=0)
+_FAR = np.int64(1 << 62)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of cost matrices: the cheapest way through."""
+    return (a[:, :, None] + b[None, :, :]).min(axis=1)
 
 
 def chain_matrix(codes: list, times: list) -> np.ndarray:
-    """Least cost from each reading of the first record to each of the last."""
+    """Least cost, in units, from each reading of the first record to each of the last."""
     first = codes[0]
-    m = np.full((len(first), len(first)), np.inf)
-    np.fill_diagonal(m, [c >> 16 for c in first])
+    m = np.full((len(first), len(first)), _FAR // 2)
+    np.fill_diagonal(m, [_own(c) for c in first])
     for i in range(1, len(codes)):
-        if len(codes[i]) == 1 and len(codes[i - 1]) == 1:
-            m = m + (SWITCH * ((codes[i - 1][0] & 255) != (codes[i][0] & 255)) + BACK * (times[i][0] < times[i - 1][0]) + (codes[i][0] >> 16))
-        else:
-            step = _steps(codes[i - 1], times[i - 1], codes[i], times[i])
-            m = (m[:, :, None] + step[None, :, :]).min(axis=1)
+        m = np.minimum(_joined(m, _steps(codes[i - 1], times[i - 1], codes[i], times[i])), _FAR // 2)
     return m
 
 
 def best_path(codes: list, times: list, start: int | None = None, end: int | None = None) -> list[int]:
-    """Cheapest readings of a chain, with its ends fixed where given; ties go
-    to the reading listed first."""
+    """Cheapest readings of a chain, with its ends fixed where given."""
     n = len(codes)
-    cost = np.array([c >> 16 for c in codes[0]], float)
+    cost = np.array([_own(c) for c in codes[0]], np.int64)
     if start is not None:
-        cost[np.arange(len(cost)) != start] = np.inf
+        cost[np.arange(len(cost)) != start] = _FAR // 2
     back: list[np.ndarray | None] = [None]
     for i in range(1, n):
         if len(codes[i]) == 1 and len(codes[i - 1]) == 1:
             back.append(None)  # one way only; the cost of a common prefix cannot matter
             continue
         total = cost[:, None] + _steps(codes[i - 1], times[i - 1], codes[i], times[i])
-        back.append(_best(total))
+        back.append(total.argmin(axis=0))
         cost = total.min(axis=0)
+        cost = cost - cost.min()
     j = int(cost.argmin()) if end is None else end
     path = [j]
     for i in range(n - 1, 0, -1):
@@ -251,6 +278,49 @@ def best_path(codes: list, times: list, start: int | None = None, end: int | Non
     return path[::-1]
 
 
+class _Link:
+    """Blocks of one source in their order, each a matrix between the readings of
+    its ends."""
+
+    def __init__(self, g: pd.DataFrame):
+        self.g = g.sort_values("block")
+        rows = list(self.g.itertuples())
+        self.first = [(list(r.c0), list(r.t0)) for r in rows]
+        self.last = [(list(r.c1), list(r.t1)) for r in rows]
+        self.inner = [np.array(r.m, np.int64).reshape(len(r.c0), len(r.c1)) for r in rows]
+
+    def step(self, k: int) -> np.ndarray:
+        """From the end of block k - 1 to the beginning of k, whose matrix holds its
+        first record's own cost."""
+        own = np.array([_own(c) for c in self.first[k][0]], np.int64)
+        return _steps(*self.last[k - 1], *self.first[k]) - own[None, :]
+
+    def product(self) -> np.ndarray:
+        m = self.inner[0]
+        for k in range(1, len(self.inner)):
+            m = _joined(_joined(m, self.step(k)), self.inner[k])
+            m = m - m.min()
+        return m
+
+    def ends(self, start: int | None, end: int | None) -> tuple[list[int], list[int]]:
+        """Readings at the beginning and end of each block."""
+        cost = np.zeros(self.inner[0].shape[0], np.int64)
+        if start is not None:
+            cost[np.arange(len(cost)) != start] = _FAR // 4
+        back = []
+        for k, m in enumerate(self.inner):
+            for part in ([self.step(k)] if k else []) + [m]:
+                total = cost[:, None] + part
+                back.append(total.argmin(axis=0))
+                cost = total.min(axis=0) - total.min()
+        j = int(cost.argmin()) if end is None else int(end)
+        picks = [j]
+        for b in reversed(back):
+            j = int(b[j])
+            picks.append(j)
+        return picks[::-1][0::2], picks[::-1][1::2]
+
+
 def _runs(keys: pd.DataFrame) -> list[tuple[int, int]]:
     n = len(keys)
     if not n:
@@ -287,11 +357,14 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
 
 
 _KEYS = ["source", "field", "block"]
-_READINGS = "field string, source string, block long, codes array<bigint>, times array<bigint>"
+_READINGS = "field string, source string, codes array<bigint>, times array<bigint>, norm string"
+_MATRIX = "field string, source string, block long, c0 array<bigint>, t0 array<bigint>, c1 array<bigint>, t1 array<bigint>, m array<bigint>"
+_ENDS = "field string, source string, block long, start int, end int"
 
 
-def read_times(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[str], source_col: str, block: int = BLOCK) -> DataFrame:
-    """Stage 1: a row per value with at least one reading."""
+def read_times(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[str], source_col: str) -> DataFrame:
+    """Stage 1: a row per value with at least one reading; ``norm`` where only
+    one is possible."""
     sites = sites.select(F.col(source_col), F.col("zone_name").alias("_zone"), F.lower("date_order").alias("_order")).dropDuplicates([source_col])
     src = df.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)]).join(
         broadcast_if_small(sites), source_col, "left"
@@ -309,18 +382,21 @@ def read_times(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[st
                         continue
                     key = (text, order[i], zone[i])
                     if (got := memo.get(key)) is None:
-                        got = interpretations(*key)[:MOST]
-                        got = ([_pack(a, b, c) for a, b, c, _ in got], [t for *_, t in got])
+                        got = possible(interpretations(*key)[:MOST])
+                        got = ([_pack(a, b, c) for a, b, c, _ in got], [t for *_, t in got], render(got[0][1], got[0][3]) if len(got) == 1 else None)
                         if len(memo) >= _MEMO:
                             memo.clear()
                         memo[key] = got
-                    if got[0]:
-                        out.append((ids[i], f, source[i] or "", ids[i] // block, *got))
+                    codes, times, norm = got
+                    if norm is None and codes:
+                        codes = [c | _tie(ids[i] or 0, j) << 32 for j, c in enumerate(codes)]
+                    if codes:
+                        out.append((ids[i], f, source[i] or "", codes, times, norm))
             if out:
                 a, b, c, d, e, g = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d, pa.int64()), pa.array(e, pa.list_(pa.int64())), pa.array(g, pa.list_(pa.int64()))],
-                    names=["_id", "field", "source", "block", "codes", "times"],
+                    [pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64())), pa.array(g, pa.string())],
+                    names=["_id", "field", "source", "codes", "times", "norm"],
                 )
 
     return spread(src).mapInArrow(read, f"_id long, {_READINGS}")
@@ -333,68 +409,81 @@ def normalise_times(
     fields: Sequence[str] = ("date", "collection_date"),
     source_col: str = "site_code",
     block: int = BLOCK,
+    fan: int = FAN,
 ) -> DataFrame:
     """``id_col``, ``field``, ``norm`` of every value that states a date."""
-    readings = cut(read_times(df, sites, id_col, fields, source_col, block))
-    parts = max(readings.rdd.getNumPartitions(), int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    readings = cut(read_times(df, sites, id_col, fields, source_col))
+    chains = cut(readings.where("norm is null").select("source", "field").distinct())
+    done = readings.select("_id", "field", "norm")
+    if not chains.isEmpty():
+        chains = broadcast_if_small(chains)
+        done = readings.join(chains, ["source", "field"], "left_anti").select("_id", "field", "norm")
+        done = done.unionByName(_searched(readings.join(chains, ["source", "field"], "left_semi"), block, fan))
+    return done.select(F.col("_id").alias(id_col), "field", "norm")
+
+
+def _searched(readings: DataFrame, block: int, fan: int) -> DataFrame:
+    """Viterbi over the chains of ``readings``, in blocks."""
+    # order numbers may be sparse: blocks are so wide that they hold ``block`` rows on average
+    span = readings.groupBy("source", "field").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    wide = F.lit(block) * F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_n")))
+    span = cut(span.select("source", "field", "_lo", wide.cast("long").alias("_wide")))
+    number = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("_id") - F.col("_lo")) / F.col("_wide"))).cast("long")
+    readings = readings.join(broadcast_if_small(span), ["source", "field"]).select("_id", "field", "source", number.alias("block"), "codes", "times")
+    parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def sorted_blocks(d: DataFrame, *extra: str) -> DataFrame:
-        return d.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS, *extra)
+    def sorted_blocks(d: DataFrame) -> DataFrame:
+        return d.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS, "_id", "times")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, g in _whole_runs(batches, _KEYS):
             m = chain_matrix(g["codes"], g["times"])
-            rows.append((key["field"], key["source"], key["block"], g["codes"][0], g["times"][0], g["codes"][-1], g["times"][-1], m.ravel().tolist(), len(g["codes"])))
+            m = m - m.min()
+            rows.append((key["field"], key["source"], key["block"], g["codes"][0], g["times"][0], g["codes"][-1], g["times"][-1], m.ravel().tolist()))
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.float64()), pa.int64()])],
-                names=["field", "source", "block", "c0", "t0", "c1", "t1", "m", "n"],
+                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 5])],
+                names=["field", "source", "block", "c0", "t0", "c1", "t1", "m"],
             )
 
-    def link(g: pd.DataFrame) -> pd.DataFrame:
-        """Chains the blocks of one source: its ends' readings per block."""
-        g = g.sort_values("block")
-        ends: list[tuple[list, list]] = []
-        codes, times, inner = [], [], []
-        for r in g.itertuples():
-            codes += [list(r.c0), list(r.c1)]
-            times += [list(r.t0), list(r.t1)]
-            inner.append(np.array(r.m, float).reshape(len(r.c0), len(r.c1)))
-        cost = np.zeros(len(codes[0]))
-        back = []
-        for k, m in enumerate(inner):
-            if k:
-                step = _steps(codes[2 * k - 1], times[2 * k - 1], codes[2 * k], times[2 * k])
-                step = step - np.array([c >> 16 for c in codes[2 * k]], float)[None, :]  # the matrix holds the first record's own cost
-                total = cost[:, None] + step
-                back.append(total.argmin(axis=0))
-                cost = total.min(axis=0)
-            total = cost[:, None] + m
-            back.append(total.argmin(axis=0))
-            cost = total.min(axis=0) - total.min()
-        j = int(cost.argmin())
-        picks = [j]
-        for b in reversed(back):
-            j = int(b[j])
-            picks.append(j)
-        picks = picks[::-1]
-        return pd.DataFrame({"field": g["field"], "source": g["source"], "block": g["block"], "start": picks[0::2], "end": picks[1::2]})
-
-    blocks = sorted_blocks(readings, "_id", "times").mapInArrow(
-        summarise, "field string, source string, block long, c0 array<bigint>, t0 array<bigint>, c1 array<bigint>, t1 array<bigint>, m array<double>, n long"
-    )
-    ends = blocks.groupBy("source", "field").applyInPandas(link, "field string, source string, block long, start int, end int")
+    ends = _fixed_ends(cut(sorted_blocks(readings).mapInArrow(summarise, _MATRIX)), fan)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, g in _whole_runs(batches, _KEYS):
-            # the row that fixes the ends sorts first
-            path = best_path(g["codes"][1:], g["times"][1:], g["start"][0], g["end"][0])
-            norm = [render((c[j] >> 8) & 255, t[j]) for c, t, j in zip(g["codes"][1:], g["times"][1:], path)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g["_id"][1:], pa.int64()), pa.array([key["field"]] * len(norm)), pa.array(norm)], names=["_id", "field", "norm"]
-            )
-
-    both = readings.withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int")).unionByName(ends, allowMissingColumns=True)
-    done = sorted_blocks(both, "_id", "times").mapInArrow(resolve, "_id long, field string, norm string")
-    return done.select(F.col("_id").alias(id_col), "field", "norm")
+            # the row that fixes the ends has no codes
+            at = next(i for i, c in enumerate(g["codes"]) if c is None)
+            codes, times, ids = ([v for i, v in enumerate(g[c]) if i != at] for c in ("codes", "times", "_id"))
+            path = best_path(codes, times, g["start"][at], g["end"][at])
+            norm = [render((c[j] >> 8) & 255, t[j]) for c, t, j in zip(codes, times, path)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([key["field"]] * len(norm)), pa.array(norm)], names=["_id", "field", "norm"])
+
+    both = readings.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}).unionByName(ends, allowMissingColumns=True)
+    return sorted_blocks(both).mapInArrow(resolve, "_id long, field string, norm string")
+
+
+def _fixed_ends(blocks: DataFrame, fan: int) -> DataFrame:
+    """(field, source, block, start, end): readings at both ends of every block."""
+
+    def group(g: pd.DataFrame) -> pd.DataFrame:
+        x = _Link(g)
+        m = x.product()
+        a, b = x.g.iloc[0], x.g.iloc[-1]
+        return pd.DataFrame({"field": [a["field"]], "source": [a["source"]], "block": [a["above"]], "c0": [a["c0"]], "t0": [a["t0"]], "c1": [b["c1"]], "t1": [b["t1"]], "m": [m.ravel()]})
+
+    def fix(g: pd.DataFrame) -> pd.DataFrame:
+        x = _Link(g)
+        a = x.g.iloc[0]
+        free = pd.isna(a["start"])
+        start, end = x.ends(None if free else int(a["start"]), None if free else int(a["end"]))
+        return pd.DataFrame({"field": x.g["field"], "source": x.g["source"], "block": x.g["block"], "start": start, "end": end})
+
+    most = blocks.groupBy("source", "field").count().agg(F.max("count")).first()[0] or 0
+    if most <= fan:
+        free = blocks.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
+        return free.groupBy("source", "field").applyInPandas(fix, _ENDS)
+    # a level up: the product of the matrices of ``fan`` consecutive blocks
+    numbered = blocks.withColumn("above", F.floor(F.col("block") / fan).cast("long"))
+    above = cut(numbered.groupBy("source", "field", "above").applyInPandas(group, _MATRIX))
+    fixed = _fixed_ends(above, fan).withColumnRenamed("block", "above")
+    return numbered.join(fixed, ["source", "field", "above"]).groupBy("source", "field", "above").applyInPandas(fix, _ENDS)

@@ -70,7 +70,7 @@ def test_viterbi_against_brute_force():
         best = min(cost(codes, times, p) for p in itertools.product(*[range(len(c)) for c in codes]))
         assert cost(codes, times, T.best_path(codes, times)) == best
         m = T.chain_matrix(codes, times)
-        assert m.min() == best
+        assert m.min() == best * T.UNIT
 
 
 def test_blocks_change_nothing(spark):
@@ -86,3 +86,51 @@ def test_blocks_change_nothing(spark):
     only = spark.createDataFrame([(1, "04/13/2019", "S"), (2, "05/06/2019", "S"), (3, "07/25/2019", "S")], "info_id long, date string, site_code string")
     assert [r.norm for r in T.normalise_times(only, sites, fields=["date"]).orderBy("info_id").collect()] == ["2019-04-13", "2019-05-06", "2019-07-25"]
     assert T.normalise_times(df.limit(0), sites).count() == 0
+
+
+def unblocked(rows, order, zone):
+    """Every source's path in one piece, over all readings."""
+    out = []
+    for source in {r[2] for r in rows}:
+        mine = []
+        for i, text, s in sorted(rows):
+            if s == source and text and (got := T.interpretations(text, order[s], zone)):
+                mine.append((i, [T._pack(a, b, c, T._tie(i, j)) for j, (a, b, c, _) in enumerate(got)], [t for *_, t in got]))
+        if mine:
+            ids, codes, times = zip(*mine)
+            out += [(i, T.render((c[j] >> 8) & 255, t[j])) for i, c, t, j in zip(ids, codes, times, T.best_path(list(codes), list(times)))]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("gap", [1, 10**6])
+def test_levels_and_sparse_numbers_equal_one_piece(spark, gap):
+    rng = random.Random(9)
+    day = lambda: f"{rng.randrange(1, 13):02d}/{rng.randrange(1, 13):02d}/{rng.choice((2018, 2019))}"
+    order = {"S": None, "U": "mdy", "V": None}
+    rows = [(i * gap, day() if rng.random() < 0.8 else rng.choice(["2019-05-04", "05/25/2019", "25/05/2019", "11/3/2019 1:42"]), rng.choice("SSUV")) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "info_id long, date string, site_code string")
+    sites = spark.createDataFrame([(s, YORK, o) for s, o in order.items()], "site_code string, zone_name string, date_order string")
+    want = unblocked(rows, order, YORK)
+    for block, fan in ((5, 3), (1000, 1024)):
+        got = T.normalise_times(df, sites, fields=["date"], block=block, fan=fan)
+        assert sorted((r.info_id, r.norm) for r in got.collect()) == want
+
+
+def test_neighbours_decide_where_no_order_is_known(spark):
+    sites = spark.createDataFrame([("S", BERLIN, None)], "site_code string, zone_name string, date_order string")
+    for sure, norm in (("25/04/2019", "2019-04-05"), ("04/25/2019", "2019-05-04")):
+        df = spark.createDataFrame([(1, sure, "S"), (2, "05/04/2019", "S"), (3, sure, "S")], "info_id long, date string, site_code string")
+        got = T.normalise_times(df, sites, fields=["date"]).where("info_id = 2").first().norm
+        assert got == norm
+
+
+def test_dropped_readings_lie_on_no_cheapest_path():
+    rng = random.Random(4)
+    for _ in range(200):
+        whole, kept = [], []
+        for i in range(rng.randrange(1, 7)):
+            got = [(rng.randrange(3), 2, rng.choice([0, 0, 100, 200]), rng.randrange(50)) for _ in range(rng.choice([1, 2, 3]))]
+            whole.append(got)
+            kept.append(T.possible(got))
+        cost_of = lambda x: T.chain_matrix([[T._pack(a, b, c) for a, b, c, _ in r] for r in x], [[t for *_, t in r] for r in x]).min()
+        assert cost_of(whole) == cost_of(kept)
