@@ -168,7 +168,7 @@ def average_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _representatives(spark: SparkSession, d: str, consensus: bool) -> DataFrame:
     x = selection.with_rank_sum(table(spark, d, "blast_result_long"))
-    return selection.representative_per_taxon(x, usable(F.col("specimen_voucher")), usable(F.col("journal"), journal=True), "eval_id", consensus=consensus).select("taxon_name", "eval_id", "sum_of_rank")
+    return selection.representative_ids(x, usable(F.col("specimen_voucher")), usable(F.col("journal"), journal=True), "eval_id", consensus=consensus)
 
 
 def representative_per_taxon(spark: SparkSession, d: str) -> DataFrame:
