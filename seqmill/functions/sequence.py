@@ -218,6 +218,13 @@ def expand_wildcards(word: Column) -> Column:
 # --------------------------------------------------------------- predicates
 
 
+def covers(seq: Column, start: Column, end: Column, most: float = 0.2) -> Column:
+    """Whether at most a share ``most`` of the columns from ``start`` (from 0) up to
+    but not including ``end`` are gaps; an empty span is covered."""
+    part = F.substring(seq, (start + 1).cast("int"), (end - start).cast("int"))
+    return F.length(part) - F.length(F.replace(part, F.lit("-"), F.lit(""))) <= most * F.length(part)
+
+
 def annotation_ok(features: Column, keys: list[str], excludes: list[str]) -> Column:
     """Annotation check over an array of texts: false if one holds an excluded
     part, else whether one holds a key. Blanks and case are ignored."""

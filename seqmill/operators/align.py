@@ -1,7 +1,7 @@
 """Multiple alignment without an external program.
 
 Centre star: the row most alike the others by shared words is the centre, every
-other row is aligned to it by banded affine global alignment, and the pairwise
+other row is aligned to it by exact affine global alignment, and the pairwise
 alignments are merged by "once a gap, always a gap". Not bit-compatible with
 any other aligner; what holds is that ungapped rows are preserved, all rows
 come out equally long, and equal rows align without gaps.
@@ -9,6 +9,7 @@ come out equally long, and equal rows align without gaps.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -23,18 +24,12 @@ from .msa import cells
 from .records import ranked
 
 _NEG = -1e9
-#: Cells of a pairwise table beyond which only a band is filled.
-FULL_CELLS = 4_000_000
+#: Cells of a pairwise table whose ways back are held at a time.
+CELLS = 4_000_000
 #: Rows of a group that one task clusters in mode ``long``.
 LONG_ROWS = 2_000
 
 
-def word_similarity(a: str, b: str, k: int = 6) -> float:
-    ca, cb = (Counter(s[i : i + k] for i in range(len(s) - k + 1)) for s in (a, b))
-    n = min(sum(ca.values()), sum(cb.values()))
-    return sum((ca & cb).values()) / n if n else float(a == b)
-
-
 def pick_centre(seqs: Sequence[str], k: int = 6) -> int:
     counts = [Counter(s[i : i + k] for i in range(len(s) - k + 1)) for s in seqs]
     whole = Counter()
@@ -44,53 +39,83 @@ def pick_centre(seqs: Sequence[str], k: int = 6) -> int:
     return max(range(len(seqs)), key=lambda i: (score[i], -i))
 
 
+class _Rows:
+    """The table of an affine global alignment, a row at a time."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, match: float, mismatch: float, gap_open: float, gap_extend: float, free_ends: bool):
+        self.x, self.y, self.match, self.mismatch = x, y, match, mismatch
+        self.open, self.extend, self.free = gap_open, gap_extend, free_ends
+        self.j = np.arange(len(y) + 1)
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        h = np.where(self.j > 0, -(self.open + self.extend * (self.j - 1)), 0.0)
+        return h, np.full(len(self.j), _NEG)
+
+    def next(self, i: int, h: np.ndarray, e: np.ndarray, keep: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row ``i`` from the one before; with ``keep`` also the ways back."""
+        j = self.j
+        opened, extended = h - self.open, e - self.extend
+        e = np.maximum(opened, extended)  # a gap in b: a letter of a alone
+        diag = np.empty(len(j))
+        diag[0] = _NEG
+        diag[1:] = h[:-1] + np.where(self.y == self.x[i - 1], self.match, self.mismatch)
+        best = np.maximum(diag, e)
+        if self.free:
+            best[0] = 0
+        # a gap in a: a prefix maximum of best[k] - open - extend * (j - k - 1)
+        lifted = best + self.extend * j
+        top = np.maximum.accumulate(lifted)
+        f = np.full(len(j), _NEG)
+        f[1:] = top[:-1] - self.open - self.extend * (j[1:] - 1)
+        if keep is not None:
+            back, e_open, f_len = keep
+            arg = np.maximum.accumulate(np.where(lifted == top, j, 0))
+            back[:] = np.where(f > best, 2, np.where(diag >= e, 0, 1))
+            back[0] = 1
+            e_open[:] = opened >= extended
+            f_len[1:] = j[1:] - arg[:-1]
+        return np.maximum(best, f), e
+
+
 def global_pair(a: str, b: str, match: float = 2, mismatch: float = -1, gap_open: float = 3, gap_extend: float = 1, free_ends: bool = False) -> tuple[str, str]:
     """Affine global alignment; rows of the table are numpy vectors. With
-    ``free_ends`` end gaps of ``b`` cost nothing (a fragment)."""
+    ``free_ends`` end gaps of ``b`` cost nothing (a fragment).
+
+    Of a long pair's table only every k-th row is kept, and the ways back are
+    computed anew for k rows at a time: exact in bounded memory (``CELLS``).
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return a + "-" * m, "-" * n + b
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    band = None if n * m <= FULL_CELLS else max(64, abs(n - m) + FULL_CELLS // (2 * max(n, m)))
-    j = np.arange(m + 1)
-    h = np.where(j > 0, -(gap_open + gap_extend * (j - 1)), 0.0)
-    h[0] = 0
-    e = np.full(m + 1, _NEG)  # gap in b (a letter of a alone)
-    back = np.zeros((n + 1, m + 1), np.uint8)
-    back[0, 1:] = 2
-    e_open = np.zeros((n + 1, m + 1), bool)
-    f_len = np.zeros((n + 1, m + 1), np.int32)
-    last = [h[m]]
+    rows = _Rows(np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8), match, mismatch, gap_open, gap_extend, free_ends)
+    step = max(1, CELLS // (m + 1), math.isqrt(n))
+    state = rows.first()
+    kept, last = [state], [state[0][m]]
     for i in range(1, n + 1):
-        opened, extended = h - gap_open, e - gap_extend
-        e = np.maximum(opened, extended)
-        e_open[i] = opened >= extended
-        diag = np.empty(m + 1)
-        diag[0] = _NEG
-        diag[1:] = h[:-1] + np.where(y == x[i - 1], match, mismatch)
-        best = np.maximum(diag, e)
-        if free_ends:
-            best[0] = 0
-        if band is not None:
-            best[np.abs(j - i * m // n) > band] = _NEG
-        # gap in a: a prefix maximum of best[k] - open - extend * (j - k - 1)
-        lifted = best + gap_extend * j
-        top = np.maximum.accumulate(lifted)
-        arg = np.maximum.accumulate(np.where(lifted == top, j, 0))
-        f = np.full(m + 1, _NEG)
-        f[1:] = top[:-1] - gap_open - gap_extend * (j[1:] - 1)
-        new = np.maximum(best, f)
-        back[i] = np.where(f > best, 2, np.where(diag >= e, 0, 1))
-        back[i, 0] = 1
-        f_len[i, 1:] = j[1:] - arg[:-1]
-        h = new
-        last.append(h[m])
+        state = rows.next(i, *state)
+        last.append(state[0][m])
+        if i % step == 0:
+            kept.append(state)
     i, k = n, m
     ra, rb = [], []
     if free_ends:
         i = int(np.argmax(last))
         ra += list(a[i:][::-1])
         rb += ["-"] * (n - i)
+    base, ways = n + 1, None
+
+    def way(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal base, ways
+        if i <= base:
+            block = (i - 1) // step
+            base = block * step
+            count = min(step, n - base)
+            ways = np.zeros((count, m + 1), np.uint8), np.zeros((count, m + 1), bool), np.zeros((count, m + 1), np.int32)
+            state = kept[block]
+            for r in range(count):
+                state = rows.next(base + 1 + r, *state, keep=(ways[0][r], ways[1][r], ways[2][r]))
+        return tuple(w[i - 1 - base] for w in ways)  # type: ignore[return-value]
+
     while i or k:
         if i == 0:
             ra += ["-"] * k
@@ -100,22 +125,21 @@ def global_pair(a: str, b: str, match: float = 2, mismatch: float = -1, gap_open
             ra += list(a[:i][::-1])
             rb += ["-"] * i
             break
-        step = back[i, k]
-        if step == 0:
+        back, _, f_len = way(i)
+        if back[k] == 0:
             ra.append(a[i - 1])
             rb.append(b[k - 1])
             i, k = i - 1, k - 1
-        elif step == 2:
-            n_gap = max(int(f_len[i, k]), 1)
-            for _ in range(n_gap):
-                ra.append("-")
-                rb.append(b[k - 1])
-                k -= 1
+        elif back[k] == 2:
+            run = max(int(f_len[k]), 1)
+            ra += ["-"] * run
+            rb += list(b[k - run : k][::-1])
+            k -= run
         else:
             while i:
+                opened = way(i)[1][k]
                 ra.append(a[i - 1])
                 rb.append("-")
-                opened = e_open[i, k]
                 i -= 1
                 if opened:
                     break
@@ -274,7 +298,7 @@ def _spread_long(x: DataFrame, most: int) -> DataFrame:
     """``long_group`` of at most ``most`` of each group's long rows; all others
     are added to its majority row, fragments with free ends."""
     top = x.groupBy("aln_id").agg(F.max(F.length("seq")).alias("top")).withColumnRenamed("aln_id", "_k")
-    y = x.join(F.broadcast(top), F.col("aln_id").eqNullSafe(F.col("_k"))).drop("_k").withColumn("d", F.monotonically_increasing_id())
+    y = x.join(broadcast_if_small(top), F.col("aln_id").eqNullSafe(F.col("_k"))).drop("_k").withColumn("d", F.monotonically_increasing_id())
     y = cut(y.repartition(_tasks(x), "d"))
     core = ranked(y.where(F.col("top") * 0.7 < F.length("seq")), ["aln_id"], [F.xxhash64("seq_id", F.lit(42)), "seq_id", "d"], most)
     core = cut(align(core.select("aln_id", F.col("d").alias("seq_id"), "seq"), "long").select("aln_id", F.col("seq_id").alias("d"), "seq"))
@@ -313,11 +337,27 @@ def _merged(rows: DataFrame, centres: DataFrame) -> DataFrame:
                 out.append(_in_room(c, s, room))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["aln_id", "d", "seq"])
 
-    x = rows.join(F.broadcast(key), on).select("aln_id", "d", "seq", "how", "centre").repartition(_tasks(rows), "d")
+    x = rows.join(broadcast_if_small(key), on).select("aln_id", "d", "seq", "how", "centre").repartition(_tasks(rows), "d")
     pairs = cut(x.mapInArrow(pair, f"aln_id {kind}, d long, c string, s string"))
     wide = pairs.select("aln_id", "c").mapInArrow(gaps, f"aln_id {kind}, at long, run long").groupBy("aln_id", "at").agg(F.max("run").alias("run"))
     wide = wide.groupBy("aln_id").agg(F.collect_list(F.struct("at", "run")).alias("wide")).withColumnRenamed("aln_id", "_k")
-    return pairs.join(F.broadcast(wide), on, "left").select("aln_id", "d", "c", "s", "wide").mapInArrow(place, f"aln_id {kind}, d long, seq string")
+    return pairs.join(broadcast_if_small(wide), on, "left").select("aln_id", "d", "c", "s", "wide").mapInArrow(place, f"aln_id {kind}, d long, seq string")
+
+
+def add_rounds(rounds: Sequence[DataFrame]) -> DataFrame:
+    """One alignment per ``aln_id`` of the rows (aln_id, seq_id, seq) of several
+    rounds: the first is aligned, the rows of each later one are added to it, and
+    groups that begin with a later round are aligned there."""
+    aln = cut(align(rounds[0]))
+    for new in rounds[1:]:
+        known = aln.select("aln_id").distinct()
+        bare = new.select("aln_id", "seq_id", F.replace("seq", F.lit("-"), F.lit("")).alias("seq"))
+        fresh = align(bare.join(known, "aln_id", "left_anti"))
+        added = bare.join(known, "aln_id", "left_semi").withColumn("how", F.lit("pair"))
+        rows = cut(aln.withColumn("how", F.lit("done")).unionByName(added).withColumn("d", F.monotonically_increasing_id()))
+        merged = _merged(rows.select("aln_id", "d", "seq", "how"), majority_rows(aln).withColumnRenamed("majority", "centre"))
+        aln = cut(rows.select("d", "seq_id").join(merged, "d").select("aln_id", "seq_id", "seq").unionByName(fresh))
+    return aln
 
 
 def majority_rows(aln: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.sequence import expand_wildcards, kmer_index, kmers, strip_wildcards
+from ..functions.sequence import expand_wildcards, kmer_index, kmers
 from ..runtime import spread
 
 
@@ -29,7 +29,3 @@ def kmer_similarity(counts: DataFrame) -> DataFrame:
     shared = a.join(b, "kmer").where("a.id < b.id")
     value = F.sum(F.least("a.n", "b.n")) / F.least(F.min("a.size"), F.min("b.size"))
     return shared.groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.round(value, 6).alias("similarity"))
-
-
-def clean_records(df: DataFrame, seq: str) -> DataFrame:
-    return df.withColumn(seq, strip_wildcards(F.col(seq)))

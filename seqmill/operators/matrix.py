@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..runtime import broadcast_if_small
+
 
 def combine_markers(kept: DataFrame, markers: list[str], taxon: str = "taxon_name", marker: str = "marker", value: str = "record_id") -> DataFrame:
     """One row per taxon, one column per marker, ``-`` where there is none."""
@@ -33,8 +35,8 @@ def complete_taxa(aln: DataFrame) -> DataFrame:
     for a marker of mixed lengths; empty markers drop."""
     size = marker_lengths(aln).where("length <> 0")
     fill = F.when(F.col("length") > 0, F.repeat(F.lit("-"), F.col("length").cast("int"))).otherwise("---")
-    added = missing_taxa(aln).join(F.broadcast(size), "marker").select("marker", "taxon", fill.alias("seq"))
-    return aln.join(F.broadcast(size.select("marker")), "marker", "left_semi").select("marker", "taxon", "seq").unionByName(added)
+    added = missing_taxa(aln).join(broadcast_if_small(size), "marker").select("marker", "taxon", fill.alias("seq"))
+    return aln.join(broadcast_if_small(size.select("marker")), "marker", "left_semi").select("marker", "taxon", "seq").unionByName(added)
 
 
 def partition_ranges(aln: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.sequence import blank_end_gaps
 from ..iupac import BASES, CODE_OF, PAIR_SCORE, TWELFTHS, code_map
-from ..runtime import spread
 
 _GAP = ord("-")
 
@@ -29,15 +28,21 @@ def cells(aln: DataFrame) -> DataFrame:
 
 def with_ordinals(aln: DataFrame) -> DataFrame:
     """Cells with the running number of their residue, 0 for a gap."""
-    letters = F.split("seq", "")
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    run = F.aggregate(
-        letters, zero,
-        lambda a, c: F.struct((a["n"] + (c != "-").cast("long")).alias("n"), F.concat(a["out"], F.array(F.when(c != "-", a["n"] + 1).otherwise(F.lit(0).cast("long")))).alias("out")),
-    )["out"]
-    x = aln.select("aln_id", "seq_id", letters.alias("b"), run.alias("o"))
-    x = x.select("aln_id", "seq_id", F.posexplode(F.arrays_zip("b", "o")).alias("p", "z"))
-    return x.select("aln_id", "seq_id", (F.col("p") + 1).cast("long").alias("col"), F.col("z.b").alias("base"), F.col("z.o").alias("ordinal"))
+    kinds = {f.name: f.dataType.simpleString() for f in aln.select("aln_id", "seq_id").schema}
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a running sum over a row's letters: linear, unlike a fold that builds arrays
+        for batch in batches:
+            found = [np.array([c != "-" for c in s], bool) for s in batch.column(2).to_pylist()]
+            ordinals = [np.where(f, np.cumsum(f), 0) for f in found]
+            ends = np.cumsum([0, *map(len, ordinals)])
+            flat = np.concatenate(ordinals) if ordinals else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["aln_id", "seq_id", "seq", "o"])
+
+    rows = aln.select("aln_id", "seq_id", F.col("seq").cast("string").alias("seq")).where("seq is not null")
+    x = rows.mapInArrow(number, f"aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, seq string, o array<bigint>")
+    x = x.select("aln_id", "seq_id", "seq", F.posexplode("o").alias("p", "ordinal"))
+    return x.select("aln_id", "seq_id", (F.col("p") + 1).cast("long").alias("col"), F.substring("seq", F.col("p") + 1, F.lit(1)).alias("base"), "ordinal")
 
 
 def check_alignment(aln: DataFrame) -> DataFrame:
@@ -116,8 +121,12 @@ def consensus_sequence(aln: DataFrame) -> DataFrame:
 
 def pairs(aln: DataFrame) -> DataFrame:
     """All pairs i < j of each alignment, as packed strings."""
-    a = aln.select("aln_id", F.col("seq_id").alias("i"), F.col("seq").alias("a"))
-    b = aln.select("aln_id", F.col("seq_id").alias("j"), F.col("seq").alias("b"))
+    session = aln.sparkSession
+    # a number given is kept, so that few pairs are spread over all cores too
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    rows = aln.select("aln_id", "seq_id", "seq").repartition(n, "aln_id")
+    a = rows.select("aln_id", F.col("seq_id").alias("i"), F.col("seq").alias("a"))
+    b = rows.select("aln_id", F.col("seq_id").alias("j"), F.col("seq").alias("b"))
     return a.join(b, "aln_id").where("i < j")
 
 
@@ -142,7 +151,7 @@ def pairwise_identity(aln: DataFrame, ends: str = "full", percent: bool = True)
     ``legacy`` the same without its last column. An empty span gives 0. An
     Arrow kernel: the scores are a table that no expression looks up fast.
     """
-    p = spread(pairs(aln).select("aln_id", "i", "j", "a", "b"))
+    p = pairs(aln).select("aln_id", "i", "j", "a", "b")
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,7 +102,7 @@ def longest_per_group(df: DataFrame, group: str, seq: str, order: str) -> DataFr
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
     """A repeatable random order."""
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
 def sample_per_group(df: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:

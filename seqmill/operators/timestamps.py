@@ -366,9 +366,8 @@ def read_times(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[st
     """Stage 1: a row per value with at least one reading; ``norm`` where only
     one is possible."""
     sites = sites.select(F.col(source_col), F.col("zone_name").alias("_zone"), F.lower("date_order").alias("_order")).dropDuplicates([source_col])
-    src = df.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)]).join(
-        broadcast_if_small(sites), source_col, "left"
-    )
+    src = df.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)])
+    src = spread(src).join(broadcast_if_small(sites), source_col, "left")
     src = src.select("_id", F.col(source_col).cast("string").alias("_source"), "_zone", "_order", *[f"_f{i}" for i in range(len(fields))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +398,7 @@ def read_times(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[st
                     names=["_id", "field", "source", "codes", "times", "norm"],
                 )
 
-    return spread(src).mapInArrow(read, f"_id long, {_READINGS}")
+    return src.mapInArrow(read, f"_id long, {_READINGS}")
 
 
 def normalise_times(

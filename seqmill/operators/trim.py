@@ -133,8 +133,9 @@ def similarity(m: np.ndarray, gaps: np.ndarray, amino: bool, scores: Sequence[tu
         length = (ok[i + 1 :] | ok[i]).sum(axis=1)
         same = ((other == m[i]) & both).sum(axis=1)
         weight = np.where(length > 0, 100 - 100 * same / np.maximum(length, 1), 0).astype(np.float32)
-        num += (weight[:, None] * table[m[i][None, :], other] * both).sum(axis=0)
-        den += (weight[:, None] * both).sum(axis=0)
+        part = weight.astype(np.float64)[:, None] * both
+        num += (part * table[m[i][None, :], other]).sum(axis=0)
+        den += part.sum(axis=0)
     q = np.divide(num, den, out=np.zeros_like(num), where=den > 0)
     out = np.minimum(np.exp(-q), 1).astype(np.float32)
     out[(gaps / max(n, 1)).astype(np.float32) >= np.float32(0.8)] = 0
@@ -217,31 +218,36 @@ def drop_short(kept: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _lead(flags: np.ndarray) -> int:
+    """How many flags are set before the first that is not."""
+    return len(flags) if flags.all() else int(flags.argmin())
+
+
+def _grow(kept: np.ndarray, allowed: np.ndarray, size: int, most: int) -> tuple[int, int]:
+    """The block at the head of ``kept``, if it has ``size`` columns, takes in up to
+    ``most`` allowed ones behind it; (columns seen, columns taken)."""
+    block = _lead(kept)
+    open_ = _lead(~kept[block:] & allowed[block:])
+    taken = min(open_, most) if block >= size else 0
+    kept[block : block + taken] = True
+    return block + taken + 1, taken
+
+
 def refill(kept: np.ndarray, allowed: np.ndarray, keep: float) -> np.ndarray:
-    """Add allowed neighbours of kept blocks, from the middle outwards, larger
-    blocks first, until ``keep`` percent of the columns stay."""
+    """Add allowed neighbours of kept blocks until ``keep`` percent of the columns
+    stay: larger blocks before smaller, and of each size from the middle outwards,
+    in turn to the left and to the right."""
     k = kept.copy()
     n = len(k)
     want = half_up((keep / 100 - k.sum() / n) * n)
-    size = half_up(0.005 * n)
-    while want > 0 and size >= 0:
-        left, right = n // 2, n // 2 + 1
-        while (left > 0 or right < n - 1) and want > 0:
-            for step in (-1, 1):
-                at = left if step < 0 else right
-                i = at
-                while 0 <= i < n and k[i]:
-                    i += step
-                if abs(i - at) >= size:
-                    while 0 <= i < n and want > 0 and not k[i] and allowed[i]:
-                        k[i] = True
-                        want -= 1
-                        i += step
-                if step < 0:
-                    left = i - 1
-                else:
-                    right = i + 1
-        size -= 1
+    sides = (k[: n // 2 + 1][::-1], allowed[: n // 2 + 1][::-1]), (k[n // 2 + 1 :], allowed[n // 2 + 1 :])
+    for size in range(half_up(0.005 * n), -1, -1):
+        seen = [0, 0]
+        while want > 0 and (seen[0] < n // 2 or seen[1] < n - 2 - n // 2):
+            for side, (part, may) in enumerate(sides):
+                step, taken = _grow(part[seen[side] :], may[seen[side] :], size, max(want, 0))
+                seen[side] += step
+                want -= taken
     return k
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment_queries, data_queries, hit_queries, record_queries
+from . import alignment_queries, data_queries, hit_queries, record_queries, source_queries
 
-_MODULES = (hit_queries, record_queries, alignment_queries, data_queries)
+_MODULES = (hit_queries, record_queries, alignment_queries, data_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import sequence as S
 from ..functions.values import accession_key, accession_key_sql
 from ..operators import cluster, hits, records, selection
-from ..runtime import table
+from ..runtime import broadcast_if_small, table
 from ..sources.search_xml import job_state
 from . import pipeline
 
@@ -95,7 +95,7 @@ def quartile_band(spark: SparkSession, d: str) -> DataFrame:
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_info").select(F.col("id").alias("query_acc"), (F.col("sequence_length") * 0.1).alias("radius"))
-    return _best(spark, d).join(F.broadcast(q), "query_acc")
+    return _best(spark, d).join(broadcast_if_small(q), "query_acc")
 
 
 def proximity_join(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +193,7 @@ SELECT query_acc, count(*) AS n, round(sum(bit_score), 3) AS total FROM h JOIN q
     "proximity_join": f"""WITH {_JOINED}, {_BEST}, p AS (SELECT query_acc, subject_acc, q_start, q_end, sequence_length * 0.1::DOUBLE AS r FROM best JOIN query_info ON query_acc = id)
 SELECT a.query_acc, a.subject_acc AS i, b.subject_acc AS j FROM p a JOIN p b ON a.query_acc = b.query_acc AND a.subject_acc < b.subject_acc
 WHERE power(a.q_start - b.q_start, 2) + power(a.q_end - b.q_end, 2) <= power(a.r, 2)""",
+    "sample_per_group": "SELECT site_code, info_id FROM seq_info QUALIFY row_number() OVER (PARTITION BY site_code ORDER BY md5(info_id || ':42'), info_id) <= 5",
     "unused_queries": "SELECT id, query FROM search_jobs WHERE query IS NOT NULL AND query NOT IN (SELECT id FROM query_info)",
     "query_quality": """SELECT id, CASE WHEN length(regexp_replace(upper(sequence), '[^ACGT]', '', 'g')) < 200 THEN 'short'
 WHEN length(regexp_replace(upper(sequence), '[^ACGT]', '', 'g')) < 0.995 * length(sequence) THEN 'ambiguous'

@@ -6,7 +6,6 @@ import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import sequence as S
@@ -207,11 +206,3 @@ def control_extension(recs: DataFrame, original: DataFrame, genus: str = "genus"
     y = y.withColumns({"cut_left": F.when(gap_left > gappyness, left).otherwise(0).cast("int"), "cut_right": F.when(gap_right > gappyness, right).otherwise(0).cast("int")})
     seq = F.substring("seq", F.col("cut_left") + 1, F.length("seq") - F.col("cut_left") - F.col("cut_right"))
     return y.select("accession", genus, (F.col("start") + F.col("cut_left")).alias("start"), seq.alias("seq"), "cut_left", "cut_right")
-
-
-def as_pandas(df: DataFrame, most: int = 100_000) -> pd.DataFrame:
-    """A small result for display; more rows than ``most`` are refused."""
-    rows = df.limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows")
-    return rows

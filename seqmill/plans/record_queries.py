@@ -48,54 +48,29 @@ def annotation_check(spark: SparkSession, d: str) -> DataFrame:
     return x.select("info_id", ok.alias("ok"))
 
 
-def lineage_ranks(spark: SparkSession, d: str) -> DataFrame:
-    path = S.taxonomy_path(F.col("taxonomy"))
-    return _info(spark, d).where("taxonomy is not null and contains(taxonomy, '|')").select("info_id", S.genus_of(path).alias("genus"), S.upper_taxon(path, F.col("organism")).alias("upper_taxon"))
-
-
-def upper_taxon_sizes(spark: SparkSession, d: str) -> DataFrame:
-    path = S.taxonomy_path(F.col("taxonomy"))
-    x = _info(spark, d).where("taxonomy is not null and contains(taxonomy, '|')").select(S.genus_of(path).alias("genus"), F.trim(F.try_element_at(path, F.lit(2))).alias("kingdom"))
-    return x.where("genus is not null").groupBy("kingdom", "genus").agg(F.count(F.lit(1)).alias("n"))
-
-
-def borrowed_reference(spark: SparkSession, d: str) -> DataFrame:
-    g = upper_taxon_sizes(spark, d).where("kingdom is not null")
-    return selection.borrowed_reference(g, "kingdom", "genus", "n", 5)
-
-
-def record_predicate(spark: SparkSession, d: str) -> DataFrame:
-    date = F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date")
-    x = _info(spark, d).where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    return x.where(records.record_predicate(["Viridiplantae"], "Phylogeny|Notes", "2005-01-01", "2015-12-31", date)).select("info_id")
-
-
 def _lineages(info: DataFrame) -> DataFrame:
     """(info_id, path) of every record with a lineage, however it is written."""
     names = split_packed(info, fields={"taxonomy": "taxonomy"})
     return names.groupBy("info_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("path"))
 
 
-# The same over all records, where no SQL can follow: lineages by the grammar of
-# p1, dates by the readings of p2. The four above keep to the forms of their SQL.
-
-
-def lineage_ranks_all(spark: SparkSession, d: str) -> DataFrame:
+def lineage_ranks(spark: SparkSession, d: str) -> DataFrame:
     x = _info(spark, d).select("info_id", "organism").join(_lineages(_info(spark, d)), "info_id")
     return x.select("info_id", S.genus_of(F.col("path")).alias("genus"), S.upper_taxon(F.col("path"), F.col("organism")).alias("upper_taxon"))
 
 
-def upper_taxon_sizes_all(spark: SparkSession, d: str) -> DataFrame:
+def upper_taxon_sizes(spark: SparkSession, d: str) -> DataFrame:
     x = _lineages(_info(spark, d)).select(S.genus_of(F.col("path")).alias("genus"), F.try_element_at("path", F.lit(2)).alias("kingdom"))
     return x.where("genus is not null").groupBy("kingdom", "genus").agg(F.count(F.lit(1)).alias("n"))
 
 
-def borrowed_reference_all(spark: SparkSession, d: str) -> DataFrame:
-    return selection.borrowed_reference(upper_taxon_sizes_all(spark, d).where("kingdom is not null"), "kingdom", "genus", "n", 5)
+def borrowed_reference(spark: SparkSession, d: str) -> DataFrame:
+    return selection.borrowed_reference(upper_taxon_sizes(spark, d).where("kingdom is not null"), "kingdom", "genus", "n", 5)
 
 
-def record_predicate_all(spark: SparkSession, d: str) -> DataFrame:
-    """A date without day or month counts as its first day."""
+def record_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """A date without day or month counts as its first day. Without SQL, which
+    cannot read the many forms of dates."""
     info = _info(spark, d)
     dates = normalise_times(info, table(spark, d, "deposit_sites"), fields=("date",))
     day = F.to_date(F.substring(F.concat("norm", F.substring(F.lit("0001-01-01"), F.length("norm") + 1, F.lit(10))), 1, 10))
@@ -264,7 +239,7 @@ QUERIES = {
         borrowed_reference, record_predicate, marker_counts, not_yet_fetched, info_lookup, resolved_names, headers, encodable_headers, sequence_scalars,
         kmer_counts, kmer_similarity, average_rank, representative_per_taxon, representative_by_rank, saved_representatives, longest_per_taxon, backbone_tiers,
         length_clusters, chunks, length_ratio_split, longest_share, combine_markers_pivot, marker_lengths, taxon_completion, supermatrix, partition_ranges,
-        codon_partitions, partition_lines, seq_info_rows, union_of_taxa, lineage_ranks_all, upper_taxon_sizes_all, borrowed_reference_all, record_predicate_all,
+        codon_partitions, partition_lines, seq_info_rows, union_of_taxa,
     )
 }
 
@@ -281,7 +256,14 @@ _COMPLETE = MARKERS + """,
 size AS (SELECT marker, CASE WHEN count(DISTINCT length(seq)) = 1 THEN max(length(seq)) ELSE -1 END AS n FROM aln GROUP BY 1),
 done AS (SELECT marker, taxon, coalesce(aln.seq, CASE WHEN n > 0 THEN repeat('-', n) ELSE '---' END) AS seq
   FROM (SELECT DISTINCT taxon FROM aln) CROSS JOIN size LEFT JOIN aln USING (marker, taxon))"""
-_GENUS = """g AS (SELECT info_id, organism, string_split(taxonomy, '|') AS p FROM seq_info WHERE contains(taxonomy, '|'))"""
+# quoted and bare values of a lineage, with the delimiters that a bare one may hold
+_GENUS = r"""t AS (SELECT info_id, organism, taxonomy AS x FROM seq_info WHERE taxonomy IS NOT NULL AND lower(trim(taxonomy)) NOT IN ('', 'unknown')),
+pieces AS (SELECT info_id, organism, regexp_extract_all(x,
+  '"(?:[^"\\]|""|\\.)*"|[ \r\f\v]*''(?:[^''\\]|''''|\\.)*''\s*(?:[|>;,/\t\n]|$)|(?:\\.|\([^()]*\),\s*\d{4}\b|\([^()]*\)|\[[^\[\]]*\]|[;,]\s+aggr\.|\b[A-Z]/[A-Z]\b|[^|>;,/\t\n"\\])+') AS p FROM t),
+plain AS (SELECT info_id, organism, list_transform(p, lambda v: trim(CASE WHEN ltrim(v) LIKE '''%' THEN regexp_replace(v, '[|>;,/\t\n]$', '') ELSE v END)) AS p FROM pieces),
+paths AS (SELECT info_id, organism, list_filter(list_transform(p, lambda v: trim(regexp_replace(CASE WHEN v LIKE '"%"' THEN replace(v[2:-2], '""', '"') WHEN v LIKE '''%''' AND length(v) > 1 THEN replace(v[2:-2], '''''', '''') ELSE v END, '\\(.)', '\1', 'g'))),
+  lambda v: v <> '') AS p FROM plain),
+g AS (SELECT info_id, organism, p FROM paths WHERE len(p) > 0)"""
 _S = "regexp_replace(sequence, '^(.{10})...', 'NNRY-\\1')"
 _CODON = "CASE %s WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 END"
 
@@ -307,14 +289,12 @@ SELECT info_id, len(list_filter(f, lambda x: contains(x, 'partialgenome') OR con
 AND len(list_filter(f, lambda x: contains(x, 'its') OR contains(x, 'mitochondrion'))) > 0 AS ok FROM t""",
     "lineage_ranks": f"""WITH {_GENUS} SELECT info_id, list_filter(p, lambda x: NOT contains(x, ' '))[-1] AS genus,
 CASE WHEN list_position(p, organism) > 1 THEN list_filter(p[1:list_position(p, organism) - 1], lambda x: NOT contains(x, ' '))[-1] END AS upper_taxon FROM g""",
-    "upper_taxon_sizes": f"""WITH {_GENUS} SELECT trim(p[2]) AS kingdom, list_filter(p, lambda x: NOT contains(x, ' '))[-1] AS genus, count(*) AS n FROM g
+    "upper_taxon_sizes": f"""WITH {_GENUS} SELECT p[2] AS kingdom, list_filter(p, lambda x: NOT contains(x, ' '))[-1] AS genus, count(*) AS n FROM g
 WHERE list_filter(p, lambda x: NOT contains(x, ' '))[-1] IS NOT NULL GROUP BY ALL""",
-    "borrowed_reference": f"""WITH {_GENUS}, s AS (SELECT trim(p[2]) AS kingdom, list_filter(p, lambda x: NOT contains(x, ' '))[-1] AS genus, count(*) AS n FROM g
+    "borrowed_reference": f"""WITH {_GENUS}, s AS (SELECT p[2] AS kingdom, list_filter(p, lambda x: NOT contains(x, ' '))[-1] AS genus, count(*) AS n FROM g
 WHERE list_filter(p, lambda x: NOT contains(x, ' '))[-1] IS NOT NULL GROUP BY ALL), k AS (SELECT * FROM s WHERE kingdom IS NOT NULL),
 near AS (SELECT kingdom, arg_max(genus, {{'n': n, 'g': genus}}) AS a FROM k WHERE n > 5 GROUP BY 1), far AS (SELECT arg_max(genus, {{'n': n, 'g': genus}}) AS b FROM k WHERE n > 5)
 SELECT kingdom, genus, n, CASE WHEN n > 5 THEN genus ELSE coalesce(a, b) END AS reference FROM k LEFT JOIN near USING (kingdom) CROSS JOIN far""",
-    "record_predicate": r"""SELECT info_id FROM seq_info WHERE regexp_matches(date, '^\d{4}-\d{2}-\d{2}$') AND list_contains(string_split(taxonomy, '|'), 'Viridiplantae')
-AND regexp_matches(title, 'Phylogeny|Notes') AND TRY_CAST(date AS DATE) BETWEEN DATE '2005-01-01' AND DATE '2015-12-31'""",
     "marker_counts": """SELECT marker, count(*) AS n_records FROM seq_info JOIN (VALUES ('ITS'), ('matK'), ('rbcL'), ('COI')) m(marker) ON contains(description, ' ' || marker || ' ') GROUP BY 1""",
     "not_yet_fetched": f"""WITH w AS (SELECT DISTINCT {accession_key_sql('subject_acc')} AS accession FROM hit_table), i AS (SELECT {accession_key_sql('accession')} AS a FROM seq_info WHERE length IS NOT NULL)
 SELECT accession FROM w WHERE accession IS NOT NULL AND accession NOT IN (SELECT a FROM i WHERE a IS NOT NULL)""",

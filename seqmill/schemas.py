@@ -4,22 +4,8 @@ HIT_TABLE = (
     "query_acc string, subject_acc string, hit_id string, hit_def string, n_identical long, alignment_length long, gap_opens long, "
     "q_start long, q_end long, s_start long, s_end long, evalue double, bit_score double"
 )
-JOINED = f"{HIT_TABLE}, q_strand boolean, s_strand boolean, hits_num long, sum_hits_alignlen long, sum_hits_score double"
-RESULTS = f"{JOINED}, source int"
-QUERY_INFO = "id string, description string, sequence string, sequence_length long, blast_round int, missing_left long, missing_right long"
-SEARCH_JOBS = (
-    "id string, description string, sequence string, sequence_length long, message_put string, time_put double, rid string, rtoe int, "
-    "message_get string, time_get double, status string, query string"
-)
 SEQ_INFO = (
     "accession string, start long, end long, strand int, length long, date string, description string, source string, organism string, "
     "taxonomy string, title string, authors string, journal string, organelle string, mol_type string, db_xref string, specimen_voucher string, "
     "country string, lat_lon string, collection_date string, collected_by string, identified_by string"
 )
-EVALUATION = (
-    "subject_acc string, taxon_name string, date date, journal string, specimen_voucher string, consensus_value double, sum_hits_score double, "
-    "source int, record_length long"
-)
-KEPT = f"{EVALUATION}, rank_sum_hits_score double, rank_source double, rank_record_length double, sum_of_rank double"
-MODIFICATION = "subject_acc string, new_start long, new_end long, s_new_start long, s_new_end long"
-SEQUENCES = "record_id string, description string, seq string"

@@ -43,10 +43,6 @@ def sniff(text: str) -> str | None:
     return None
 
 
-def _clean(s: str) -> str:
-    return re.sub(r"[\s\d]", "", s)
-
-
 def _fasta(text: str) -> Rows:
     out = []
     for part in re.split(r"(?m)^>", text)[1:]:
@@ -134,16 +130,23 @@ def parse(text: str, form: str | None = None) -> Rows:
 
 
 def read_alignments(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(aln_id, seq_id, seq): alignments of any format, one file one alignment.
+    """(aln_id, seq_id, seq): alignments of any format, one file one alignment,
+    named by its path, as files of one name may lie in several folders.
     A list file (one path per line) is read by ``read_file_list``."""
-    files = spark.read.text([path] if isinstance(path, str) else list(path), wholetext=True).select(F.col("_metadata.file_name").alias("aln_id"), "value")
+    files = spark.read.text([path] if isinstance(path, str) else list(path), wholetext=True).select(F.col("_metadata.file_path").alias("aln_id"), "value")
+
+    return parsed(files.select("aln_id", F.col("value").alias("text")))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(aln_id, seq_id, seq) of alignment texts (aln_id, text) of any format."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(a, n, s) for a, t in zip(b["aln_id"], b["value"]) for n, s in parse(t)]
+            rows = [(a, n, s) for a, t in zip(b["aln_id"], b["text"]) for n, s in parse(t)]
             yield pd.DataFrame(rows, columns=["aln_id", "seq_id", "seq"])
 
-    return files.mapInPandas(read, "aln_id string, seq_id string, seq string")
+    return texts.mapInPandas(read, f"aln_id {texts.schema['aln_id'].dataType.simpleString()}, seq_id string, seq string")
 
 
 def read_file_list(spark: SparkSession, path: str) -> DataFrame:

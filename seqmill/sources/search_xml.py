@@ -27,9 +27,10 @@ def read_search_xml(spark: SparkSession, path: str, query_acc: str) -> DataFrame
 def page_error(page: Column) -> Column:
     """Error text of a response page in one of its known layouts, else null."""
     found = [
+        F.regexp_extract(page, r'(?is)<div[^>]*class="error msInf"[^>]*>\s*(.*?)\s*(?:</div>|\n)', 1),
         F.regexp_extract(page, r'(?is)<p[^>]*class="error"[^>]*>\s*(.*?)\s*</p>', 1),
         F.regexp_extract(page, r'(?is)<ul[^>]*class="msg"[^>]*>.*?<li[^>]*class="error"[^>]*>.*?<p>\s*(.*?)\s*</p>', 1),
-        F.regexp_extract(page, r"(?is)Message ID#(.*?)(?:\n|<)", 1),
+        F.regexp_extract(page, r"(?is)(Message ID#.*?)\s*(?:\n|<|\z)", 1),
         F.regexp_extract(page, r"(?im)^\s*Error:\s*(.*)$", 1),
     ]
     return F.coalesce(*[F.when(F.length(x) > 0, F.trim(x)) for x in found])

@@ -338,10 +338,10 @@ def test_records_of_all_written_forms(spark, tmp_path):
     rows = [(i, path.format(s), "Aa bb", "Notes", t, "S") for i, (t, s) in enumerate(forms)] + [(9, None, "Aa bb", "Notes", "15-JAN-2010", "S"), (10, path.format("|"), None, "Notes", None, "S")]
     spark.createDataFrame(rows, "info_id long, taxonomy string, organism string, title string, date string, site_code string").write.parquet(f"{d}/seq_info.parquet")
     spark.createDataFrame([("S", "UTC", "dmy")], "site_code string, zone_name string, date_order string").write.parquet(f"{d}/deposit_sites.parquet")
-    assert sorted(r.info_id for r in record_queries.record_predicate_all(spark, d).collect()) == [0, 1, 2, 4]
-    assert table(record_queries.lineage_ranks_all(spark, d)) == sorted([(i, "Aa", "Aa") for i in range(5)] + [(10, "Aa", None)], key=repr)
-    assert table(record_queries.upper_taxon_sizes_all(spark, d)) == [("Viridiplantae", "Aa", 6)]
-    assert [r.reference for r in record_queries.borrowed_reference_all(spark, d).collect()] == ["Aa"]
+    assert sorted(r.info_id for r in record_queries.record_predicate(spark, d).collect()) == [0, 1, 2, 4]
+    assert table(record_queries.lineage_ranks(spark, d)) == sorted([(i, "Aa", "Aa") for i in range(5)] + [(10, "Aa", None)], key=repr)
+    assert table(record_queries.upper_taxon_sizes(spark, d)) == [("Viridiplantae", "Aa", 6)]
+    assert [r.reference for r in record_queries.borrowed_reference(spark, d).collect()] == ["Aa"]
 
 
 def test_query_duplicates_by_the_one_pass_rule(spark):
@@ -350,3 +350,20 @@ def test_query_duplicates_by_the_one_pass_rule(spark):
         q = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, description string, sequence string")
         assert sorted(r.id for r in records.dedup_queries(q, "id").collect()) == records.dedup_queries_exact(rows)
     assert records.dedup_queries(q.limit(0), "id").count() == 0
+
+
+@pytest.mark.parametrize(
+    "kept, allowed, keep, want",
+    [
+        ("0011000000110000", "0111100011111100", 60, "0111100011111100"),
+        ("1000000000000001", "1111111111111111", 50, "1001111110000001"),
+        ("0001000110000000", "1111111111110000", 70, "0111111111110000"),
+        ("0000000000", "1111111111", 40, "0011110000"),
+        ("1100110011001100", "1110110111011101", 80, "1110110111011100"),
+        ("0110", "1110", 100, "1110"),
+    ],
+)
+def test_refill(kept, allowed, keep, want):
+    flags = lambda s: np.array([c == "1" for c in s])
+    got = trim.refill(flags(kept), flags(allowed), keep)
+    assert "".join("01"[int(c)] for c in got) == want

@@ -69,7 +69,7 @@ def test_pages(spark):
     df = spark.createDataFrame([("RID = AB1\nRTOE = 12",), ('<p class="error"> too long </p>',), ("Message ID#24 Error: bad\n",)], "page string")
     rid, rtoe = search_xml.page_request(F.col("page"))
     got = df.select(rid, rtoe, search_xml.page_error(F.col("page"))).collect()
-    assert [tuple(r) for r in got] == [("AB1", 12, None), (None, None, "too long"), (None, None, "24 Error: bad")]
+    assert [tuple(r) for r in got] == [("AB1", 12, None), (None, None, "too long"), (None, None, "Message ID#24 Error: bad")]
 
 
 def test_settings():
