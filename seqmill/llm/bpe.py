@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's published rule for cutting a text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 _NONE = np.iinfo(np.int64).max
+#: Bytes of the largest vocabulary file that is sent to the tasks.
+LARGEST = 64 << 20
 #: Words remembered per task.
 MEMO = 200_000
 
@@ -36,9 +39,8 @@ MEMO = 200_000
 class Vocabulary:
     """Ranks as arrays: byte symbols and the sorted keys of joinable pairs."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, data: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         keys, made = [], []
         for word, rank in ranks.items():
@@ -117,7 +119,17 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    with open(path, "rb") as f:
+        return Vocabulary(f.read())
+
+
+_BUILT: dict[str, Vocabulary] = {}
+
+
+def _built(key: str, data: Callable[[], bytes]) -> Vocabulary:
+    if key not in _BUILT:
+        _BUILT[key] = Vocabulary(data())
+    return _BUILT[key]
 
 
 #: Texts and characters cut into words at a time.
@@ -125,12 +137,19 @@ _TEXTS, _CHARS = 512, 2_000_000
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_VOCABULARY, ids_as: str = "ids") -> DataFrame:
-    """``id_col`` and the list of token ids, one row per row of ``df``. No shuffle."""
+    """``id_col`` and the list of token ids, one row per row of ``df``. No shuffle.
+    The driver reads the vocabulary, of at most ``LARGEST`` bytes, and sends it to
+    the tasks; a worker process builds its tables once."""
+    with open(path, "rb") as f:
+        data = f.read(LARGEST + 1)
+    if len(data) > LARGEST:
+        raise ValueError(f"a vocabulary of more than {LARGEST} bytes")
+    sent, key = df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, memo = vocabulary(path), {}
+        voc, memo = _built(key, lambda: sent.value), {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lo = 0

@@ -28,3 +28,13 @@ def test_operator(spark, reference):
     got = {r.doc_id: list(r.ids) for r in bpe.encode_texts(df).collect()}
     assert got == {i: reference([t or ""])[0] for i, t, *_ in rows}
     assert bpe.encode_texts(df.limit(0)).count() == 0
+
+
+def test_vocabulary_is_sent_along(spark, tmp_path, reference):
+    import shutil
+
+    mine = str(tmp_path / "mine.tiktoken")
+    shutil.copy(bpe.DEFAULT_VOCABULARY, mine)
+    out = bpe.encode_texts(spark.createDataFrame([(1, "word by word")], "doc_id long, text string"), path=mine)
+    (tmp_path / "mine.tiktoken").unlink()  # no machine has it at the path
+    assert list(out.first().ids) == reference(["word by word"])[0]
