@@ -51,7 +51,7 @@ def _item(signs: str, tail: str = _TAIL) -> re.Pattern:
 def _bare(text: str) -> tuple[str, int]:
     text = text.strip()
     flag = OPEN_QUOTE if text[:1] in "\"'" and text else OK
-    if not flag and text.count("(") != text.count(")"):
+    if not flag and any(text.count(a) != text.count(b) for a, b in ("()", "[]", "{}")):
         flag = OPEN_BRACKET
     return (_UNESCAPE.sub(r"\1", text) if "\\" in text else text), flag
 

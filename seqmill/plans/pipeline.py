@@ -90,15 +90,20 @@ def retrieve(
 
 def choose_queries(new: DataFrame, subjects: DataFrame, n: int, used: DataFrame, max_length: int, limit: int = 1000, seed: int = 42) -> DataFrame:
     """New queries (id, seq): the quartile band of each query's hits, a sample,
-    Markov clusters of their positions, the best of each; of these the fit ones
+    Markov clusters of their positions, the best of each, or any one hit of a query
+    that has fewer than three; of these the fit ones
     (not short, ambiguous or a sequence of ``used``), the longest of each cluster
     of their sequences, and ``n`` of those."""
-    band = selection.quartile_band(new, "query_acc", "sum_hits_score")
+    sizes = new.groupBy("query_acc").agg(F.count(F.lit(1)).alias("_n"))
+    few = selection.of_group(new, sizes.where("_n < 3"), "query_acc")
+    few = selection.sample_per_group(few, "query_acc", "subject_acc", 1, seed).select(F.col("subject_acc").alias("id"))
+    many = selection.of_group(new, sizes.where("_n >= 3"), "query_acc").drop("_n")
+    band = selection.quartile_band(many, "query_acc", "sum_hits_score")
     sample = selection.sample_per_group(band, "query_acc", "subject_acc", limit, seed)
     sample = sample.withColumn("_radius", F.greatest(0.1 * (F.col("q_end") - F.col("q_start") + 1), F.lit(1.0)))
     edges = cluster.proximity_edges(sample, "query_acc", "subject_acc", "q_start", "q_end", "_radius")
     clusters = cluster.graph_clusters(sample, edges, "query_acc", "subject_acc", limit)
-    best = cluster.best_of_clusters(sample, clusters, ["query_acc", "subject_acc"]).select(F.col("subject_acc").alias("id")).distinct()
+    best = cluster.best_of_clusters(sample, clusters, ["query_acc", "subject_acc"]).select(F.col("subject_acc").alias("id")).union(few).distinct()
     fit = records.new_query_quality(best.join(subjects.select("id", "seq"), "id"), used, max_length).where("reason is null")
     fit = cut(fit.select(F.lit(0).alias("_g"), "id", "seq"))
     most = max(limit, fit.count())  # one graph of all queries' clusters, which are few
