@@ -33,10 +33,10 @@ def missing_taxa(aln: DataFrame) -> DataFrame:
 def complete_taxa(aln: DataFrame) -> DataFrame:
     """Every taxon in every marker: gaps of its length where missing, ``---``
     for a marker of mixed lengths; empty markers drop."""
-    size = marker_lengths(aln).where("length <> 0")
+    size = broadcast_if_small(marker_lengths(aln).where("length <> 0"))
     fill = F.when(F.col("length") > 0, F.repeat(F.lit("-"), F.col("length").cast("int"))).otherwise("---")
-    added = missing_taxa(aln).join(broadcast_if_small(size), "marker").select("marker", "taxon", fill.alias("seq"))
-    return aln.join(broadcast_if_small(size.select("marker")), "marker", "left_semi").select("marker", "taxon", "seq").unionByName(added)
+    added = missing_taxa(aln).join(size, "marker").select("marker", "taxon", fill.alias("seq"))
+    return aln.join(size.select("marker"), "marker", "left_semi").select("marker", "taxon", "seq").unionByName(added)
 
 
 def partition_ranges(aln: DataFrame) -> DataFrame:
