@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.sequence import UNCERTAIN, acgt_count, combine_species, is_uncertain
-from ..runtime import broadcast_if_small, cut
+from ..runtime import cut
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -142,11 +142,11 @@ def record_predicate(organisms: Sequence[str] = (), pattern: str | None = None,
     return ok
 
 
-def marker_counts(records: DataFrame, markers: DataFrame) -> DataFrame:
-    """Records per marker, by a broadcast table (marker, pattern) of bounded size."""
-    return (
-        records.join(broadcast_if_small(markers, 1000), F.expr("description rlike pattern")).groupBy("marker").agg(F.count(F.lit(1)).alias("n_records"))
-    )
+def marker_counts(records: DataFrame, markers: Mapping[str, str], text: str = "description") -> DataFrame:
+    """Records per marker, ``markers`` being a pattern for each of a project's few
+    markers: one pass over the records, each giving the markers it matches."""
+    hits = F.array(*[F.when(F.col(text).rlike(p), m) for m, p in sorted(markers.items())])
+    return records.select(F.explode(F.array_compact(hits)).alias("marker")).groupBy("marker").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def not_yet_fetched(wanted: DataFrame, good: DataFrame, bad: DataFrame, key: str = "accession") -> DataFrame:

@@ -132,6 +132,8 @@ QUERIES = {
     "trim_gap_threshold": trimmed_lengths(trim.Trim("threshold", gap=0.7)),
     "trim_gap_keep": trimmed_lengths(trim.Trim("threshold", gap=0.9, keep=60)),
     "trim_similarity": trimmed_lengths(trim.Trim("threshold", similarity=0.5)),
+    "trim_gap_similarity": trimmed_lengths(trim.Trim("threshold", gap=0.7, similarity=0.3)),
+    "trim_windowed": trimmed_lengths(trim.Trim("threshold", gap=0.7, gap_window=2)),
     "trim_gappyout": trimmed_lengths(trim.Trim("gappyout")),
     "trim_strict": trimmed_lengths(trim.Trim("strict")),
     "trim_strictplus": trimmed_lengths(trim.Trim("strictplus")),
@@ -208,6 +210,11 @@ rp AS (SELECT x.aln_id, x.a, x.col, x.seq_id AS k, x.ordinal AS ok, y.seq_id AS
 both_forms AS (SELECT aln_id, k, ok, m, om, count(*) AS n FROM rp GROUP BY ALL),
 per_col AS (SELECT aln_id, a, col, sum(n - 1) / count(*) AS v FROM rp JOIN both_forms USING (aln_id, k, ok, m, om) GROUP BY ALL),
 agreement AS (SELECT aln_id, a, sum(v) AS total, max(w) AS w FROM per_col JOIN (SELECT aln_id, max(length(seq)) AS w FROM aln GROUP BY 1) USING (aln_id) GROUP BY 1, 2)"""
+_WINDOWED = GAPS + """,
+n AS (SELECT aln_id, max(col) AS n FROM gaps GROUP BY 1 HAVING max(col) >= 8),
+x AS (SELECT aln_id, col, n, unnest(range(col - 2, col + 3)) AS p FROM gaps JOIN n USING (aln_id)),
+y AS (SELECT aln_id, col, CASE WHEN p < 1 THEN 2 - p WHEN p > n THEN 2 * n - p ELSE p END AS p FROM x),
+win AS (SELECT y.aln_id, y.col, CAST(floor(sum(g.gaps) / 5 + 0.5) AS BIGINT) AS window_gaps FROM y JOIN gaps g ON g.aln_id = y.aln_id AND g.col = y.p GROUP BY ALL)"""
 _ISLANDS = GAPS + """,
 rare AS (SELECT aln_id, col, col - row_number() OVER (PARTITION BY aln_id ORDER BY col) AS k FROM gaps WHERE gaps >= n_seqs - 1),
 isl AS (SELECT aln_id, min(col) AS first_col, max(col) AS last_col FROM rare GROUP BY aln_id, k HAVING max(col) - min(col) + 1 >= 20)"""
@@ -223,10 +230,9 @@ SELECT *, CAST(sum(n_columns) OVER (PARTITION BY aln_id ORDER BY gaps) AS BIGINT
     "gap_distribution": f"""WITH {GAPS}, h AS (SELECT aln_id, gaps, count(*) AS n_columns FROM gaps GROUP BY ALL)
 SELECT *, CAST(sum(n_columns) OVER (PARTITION BY aln_id ORDER BY gaps DESC) AS BIGINT) AS n_upto,
 round(sum(n_columns) OVER (PARTITION BY aln_id ORDER BY gaps DESC) / sum(n_columns) OVER (PARTITION BY aln_id), 6) AS share FROM h""",
-    "windowed_gaps": f"""WITH {GAPS}, n AS (SELECT aln_id, max(col) AS n FROM gaps GROUP BY 1 HAVING max(col) >= 8),
-x AS (SELECT aln_id, col, n, unnest(range(col - 2, col + 3)) AS p FROM gaps JOIN n USING (aln_id)),
-y AS (SELECT aln_id, col, CASE WHEN p < 1 THEN 2 - p WHEN p > n THEN 2 * n - p ELSE p END AS p FROM x)
-SELECT y.aln_id, y.col, CAST(floor(sum(g.gaps) / 5 + 0.5) AS BIGINT) AS window_gaps FROM y JOIN gaps g ON g.aln_id = y.aln_id AND g.col = y.p GROUP BY ALL""",
+    "windowed_gaps": f"WITH {_WINDOWED} SELECT * FROM win",
+    "trim_windowed": f"WITH {_WINDOWED} " + _TRIMMED.format("window_gaps <= n_seqs * (1 - 0.7::DOUBLE)").replace("JOIN gaps USING (aln_id, col)", "JOIN gaps USING (aln_id, col) JOIN win USING (aln_id, col)"),
+    "trim_gap_similarity": f"WITH {_SIMILARITY} " + _TRIMMED.format("gaps <= n_seqs * (1 - 0.7::DOUBLE) AND similarity >= 0.3::FLOAT").replace("JOIN gaps USING (aln_id, col)", "JOIN gaps USING (aln_id, col) JOIN sim USING (aln_id, col)"),
     "consensus_columns": f"WITH {_VOTES} SELECT * FROM con",
     "consensus_sequence": f"""WITH {_VOTES}, one AS (SELECT aln_id, count(*) AS n, any_value(seq) AS seq FROM aln GROUP BY 1)
 SELECT aln_id, CASE WHEN any_value(n) = 1 THEN any_value(seq) ELSE string_agg(consensus, '' ORDER BY col) END AS consensus FROM con JOIN one USING (aln_id) GROUP BY 1""",

@@ -19,7 +19,10 @@ def _info(spark: SparkSession, d: str) -> DataFrame:
 
 
 def combine_species(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("taxon_name is not null").select(F.concat(F.replace("taxon_name", F.lit("_"), F.lit(" ")), F.lit(" var. "), F.coalesce("source", F.lit("x"))).alias("organism"), "doc_id")
+    """Every rank token in turn stands behind the species."""
+    tokens = F.array(*[F.lit(t) for ts in S.RANKS.values() for t in ts])
+    rank = F.get(tokens, (F.col("doc_id") % F.size(tokens)).cast("int"))
+    x = table(spark, d, "documents").where("taxon_name is not null").select(F.concat(F.replace("taxon_name", F.lit("_"), F.lit(" ")), rank, F.coalesce("source", F.lit("x"))).alias("organism"), "doc_id")
     return x.select("doc_id", S.combine_species(F.col("organism")).alias("species"))
 
 
@@ -79,8 +82,8 @@ def record_predicate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_counts(spark: SparkSession, d: str) -> DataFrame:
-    markers = spark.createDataFrame([("ITS", " ITS "), ("matK", " matK "), ("rbcL", " rbcL "), ("COI", " COI ")], "marker string, pattern string")
-    return records.marker_counts(_info(spark, d), markers)
+    names = table(spark, d, "query_info").select(F.regexp_extract("description", r"(\S+), seed query$", 1).alias("m")).where("m <> ''").distinct()
+    return records.marker_counts(_info(spark, d), {r.m: f" {r.m} " for r in names.limit(1000).collect()})  # the project's markers
 
 
 def not_yet_fetched(spark: SparkSession, d: str) -> DataFrame:
@@ -116,9 +119,13 @@ def encodable_headers(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A sequence with wildcards at its head and gaps behind them, in Spark and in DuckDB.
+_S = "'NNRY' || repeat('-', CAST(ascii(right(id, 1)) AS INTEGER) % 5 + 1) || substr(sequence, 1, 10) || substr(sequence, 14)"
+
+
 def sequence_scalars(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_info")
-    seq = F.regexp_replace("sequence", "^(.{10})...", "NNRY-$1")
+    seq = F.expr(_S)
     left, right = S.missing_ends(F.col("s"))
     return q.select("id", seq.alias("s")).select(
         "id", S.length_without_wildcards(F.col("s")).alias("clean_length"), S.acgt_count(F.col("s")).alias("acgt"), S.ungapped(F.col("s")).alias("ungapped"),
@@ -264,7 +271,6 @@ plain AS (SELECT info_id, organism, list_transform(p, lambda v: trim(CASE WHEN l
 paths AS (SELECT info_id, organism, list_filter(list_transform(p, lambda v: trim(regexp_replace(CASE WHEN v LIKE '"%"' THEN replace(v[2:-2], '""', '"') WHEN v LIKE '''%''' AND length(v) > 1 THEN replace(v[2:-2], '''''', '''') ELSE v END, '\\(.)', '\1', 'g'))),
   lambda v: v <> '') AS p FROM plain),
 g AS (SELECT info_id, organism, p FROM paths WHERE len(p) > 0)"""
-_S = "regexp_replace(sequence, '^(.{10})...', 'NNRY-\\1')"
 _CODON = "CASE %s WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 END"
 
 
@@ -295,7 +301,8 @@ WHERE list_filter(p, lambda x: NOT contains(x, ' '))[-1] IS NOT NULL GROUP BY AL
 WHERE list_filter(p, lambda x: NOT contains(x, ' '))[-1] IS NOT NULL GROUP BY ALL), k AS (SELECT * FROM s WHERE kingdom IS NOT NULL),
 near AS (SELECT kingdom, arg_max(genus, {{'n': n, 'g': genus}}) AS a FROM k WHERE n > 5 GROUP BY 1), far AS (SELECT arg_max(genus, {{'n': n, 'g': genus}}) AS b FROM k WHERE n > 5)
 SELECT kingdom, genus, n, CASE WHEN n > 5 THEN genus ELSE coalesce(a, b) END AS reference FROM k LEFT JOIN near USING (kingdom) CROSS JOIN far""",
-    "marker_counts": """SELECT marker, count(*) AS n_records FROM seq_info JOIN (VALUES ('ITS'), ('matK'), ('rbcL'), ('COI')) m(marker) ON contains(description, ' ' || marker || ' ') GROUP BY 1""",
+    "marker_counts": r"""WITH m AS (SELECT DISTINCT regexp_extract(description, '(\S+), seed query$', 1) AS marker FROM query_info)
+SELECT marker, count(*) AS n_records FROM seq_info JOIN m ON marker <> '' AND contains(description, ' ' || marker || ' ') GROUP BY 1""",
     "not_yet_fetched": f"""WITH w AS (SELECT DISTINCT {accession_key_sql('subject_acc')} AS accession FROM hit_table), i AS (SELECT {accession_key_sql('accession')} AS a FROM seq_info WHERE length IS NOT NULL)
 SELECT accession FROM w WHERE accession IS NOT NULL AND accession NOT IN (SELECT a FROM i WHERE a IS NOT NULL)""",
     "info_lookup": f"""WITH i AS (SELECT *, {accession_key_sql('accession')} AS k FROM seq_info QUALIFY row_number() OVER (PARTITION BY k ORDER BY info_id) = 1)
@@ -308,7 +315,7 @@ SELECT info_id, header, split_part(split_part(split_part(header, ' ', 1), '|', 1
     "sequence_scalars": rf"""WITH q AS (SELECT id, {_S} AS s FROM query_info)
 SELECT id, length(translate(upper(s), 'RYKMSWBDHVN', '')) AS clean_length, length(regexp_replace(upper(s), '[^ACGT]', '', 'g')) AS acgt, replace(s, '-', '') AS ungapped,
 reverse(translate(s, 'ACGTURYKMBVDHacgturykmbvdh', 'TGCAAYRMKVBHDtgcaayrmkvbhd')) AS reverse_complement, length(regexp_extract(upper(s), '^([^ACGT]*)', 1)) AS missing_left,
-length(regexp_extract(upper(s), '([^ACGT]*)$', 1)) AS missing_right, substr(s, 5, 10) AS piece, translate(upper(s), 'RYKMSWBDHVN', '') AS stripped, 21 AS col_of_20, 19 AS raw_of_20,
+length(regexp_extract(upper(s), '([^ACGT]*)$', 1)) AS missing_right, substr(s, 5, 10) AS piece, translate(upper(s), 'RYKMSWBDHVN', '') AS stripped, list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> '-')[20] AS col_of_20, length(replace(substr(s, 1, 20), '-', '')) AS raw_of_20,
 CASE WHEN length(regexp_replace(substr(replace(s, '-', ''), 1, 100), '[^AGCTN]', '', 'g')) < 95 THEN 'AA' ELSE 'DNA' END AS alphabet FROM q""",
     "kmer_counts": f"WITH {_kmers('search_jobs', 4)} SELECT * FROM kc",
     "kmer_similarity": f"""WITH {_kmers('query_info', 6)}, z AS (SELECT id, sum(n) AS size FROM kc GROUP BY 1), c AS (SELECT * FROM kc JOIN z USING (id))
