@@ -19,6 +19,9 @@ from ..functions.sequence import blank_end_gaps
 from ..iupac import BASES, CODE_OF, PAIR_SCORE, TWELFTHS, code_map
 
 _GAP = ord("-")
+#: Letters of a part of a set of alignments, and cells that a task holds before it counts them.
+PART = 1 << 21
+MEETINGS = 500_000
 
 
 def cells(aln: DataFrame) -> DataFrame:
@@ -119,12 +122,15 @@ def consensus_sequence(aln: DataFrame) -> DataFrame:
     return cols.join(single, "aln_id").select("aln_id", F.when(F.col("n") == 1, F.col("own")).otherwise(joined).alias("consensus"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions to ask for: a number given is kept, so that few rows are spread over all cores too."""
+    session = df.sparkSession
+    return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pairs(aln: DataFrame) -> DataFrame:
     """All pairs i < j of each alignment, as packed strings."""
-    session = aln.sparkSession
-    # a number given is kept, so that few pairs are spread over all cores too
-    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    rows = aln.select("aln_id", "seq_id", "seq").repartition(n, "aln_id")
+    rows = aln.select("aln_id", "seq_id", "seq").repartition(_tasks(aln), "aln_id")
     a = rows.select("aln_id", F.col("seq_id").alias("i"), F.col("seq").alias("a"))
     b = rows.select("aln_id", F.col("seq_id").alias("j"), F.col("seq").alias("b"))
     return a.join(b, "aln_id").where("i < j")
@@ -278,24 +284,106 @@ def remove_insertions(aln: DataFrame, taxa_threshold: int = 1, length_threshold:
     return without_columns(aln, islands)
 
 
+def _positions(seq: str) -> np.ndarray:
+    """Columns of a row's residues, from 1."""
+    return np.flatnonzero(np.frombuffer(seq.encode("utf-32-le"), np.uint32) != _GAP).astype(np.int32) + 1
+
+
+def _parted(alns: DataFrame) -> DataFrame:
+    """Rows by set and, where a set is large, by parts of its rows, the same in
+    all alignments; ``whole``: the set has one part. Sorted, so that what
+    belongs together follows one another."""
+    named = alns.where("set_id is not null and aln_id is not null and seq is not null").select("set_id", "aln_id", "seq_id", F.col("seq").cast("string").alias("seq"))
+    size = named.groupBy("set_id").agg(F.ceil(F.sum(F.length("seq") + F.lit(1)) / F.lit(PART)).alias("_parts"))
+    part = F.pmod(F.xxhash64("seq_id"), F.col("_parts")).alias("part")
+    rows = named.join(size, "set_id").select("set_id", part, (F.col("_parts") == 1).alias("whole"), "seq_id", "aln_id", "seq")
+    return rows.repartition(_tasks(alns), "set_id", "part")
+
+
+def _meetings(alns: DataFrame) -> DataFrame:
+    """(set_id, a, b, col, other, n, own): ``n`` residues of column ``col`` of
+    alignment ``a`` stand in column ``other`` of ``b`` (``a`` <= ``b``), in parts
+    that add up; ``own`` sums the squares of each row's share. A null ``b`` has
+    the residues of the column themselves. Of a set in one part, residues that
+    meet no other are left out: they make no pair.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in alns.select("set_id", "aln_id").schema}
+    rows = _parted(alns.where("seq_id is not null")).sortWithinPartitions("set_id", "part", "seq_id")
+    names = ["at", "col", "other"]
+
+    def grouped(held: list[pa.Table], cells: list[tuple[int, np.ndarray, np.ndarray | None]]) -> pa.Table:
+        if cells:
+            at = np.repeat(np.array([k for k, _, _ in cells], np.int32), [c.shape[1] for _, c, _ in cells])
+            place, n = np.concatenate([c for _, c, _ in cells], axis=1), np.concatenate([np.ones(c.shape[1], np.int64) if n is None else n for _, c, n in cells])
+            held = [*held, pa.table([at, place[0], place[1], n, n * n], names=[*names, "n", "own"])]
+        t = pa.concat_tables(held).group_by(names, use_threads=False).aggregate([("n", "sum"), ("own", "sum")])
+        return t.select([*names, "n_sum", "own_sum"]).rename_columns([*names, "n", "own"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[tuple, int] = {}
+        held: list[pa.Table] = []
+        cells: list[tuple[int, np.ndarray, np.ndarray | None]] = []
+        types: list[pa.DataType] = []
+
+        def met(s: object, whole: bool, of: dict) -> int:
+            order, n_cells = sorted(of), 0
+            for i, a in enumerate(order):
+                for b in (None, *order[i:]):
+                    pairs = [(x, x * 0) for x in of[a]] if b is None else [(x[: len(y)], y[: len(x)]) for x in of[a] for y in of[b]]
+                    found, n = np.concatenate([np.stack(x) for x in pairs], axis=1), None
+                    if len(pairs) > 1:  # a row that an alignment has more than once
+                        found, n = np.unique(found, axis=1, return_counts=True)
+                    cells.append((at.setdefault((s, a, b, whole), len(at)), found, n))
+                    n_cells += found.shape[1]
+            return n_cells
+
+        def written() -> Iterator[pa.RecordBatch]:
+            t = grouped(held, cells).combine_chunks()
+            n, own, code = (t.column(c).to_numpy() for c in ("n", "own", "at"))
+            t = t.filter(pa.array((n * n > own) | ~np.array([w for *_, w in at])[code]))
+            cols = [pa.array(x, kind).take(t.column("at").combine_chunks()) for x, kind in zip(zip(*at), types)]
+            yield from pa.table([*cols, *t.columns[1:]], names=["set_id", "a", "b", *t.column_names[1:]]).to_batches(50_000)
+            at.clear(), held.clear(), cells.clear()
+
+        unit, row, of, waiting = None, None, {}, 0
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in (0, 4, 4)]
+            for s, part, whole, name, a, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                if (s, part, whole, name) != row:
+                    if of:
+                        waiting += met(row[0], row[2], of)
+                    if waiting > MEETINGS:
+                        held[:], waiting = [grouped(held, cells)], 0
+                        cells.clear()
+                    if (s, part) != unit and (held or waiting > MEETINGS // 2):
+                        yield from written()
+                        waiting = 0
+                    unit, row, of = (s, part), (s, part, whole, name), {}
+                of.setdefault(a, []).append(_positions(seq))
+        if of:
+            met(row[0], row[2], of)
+        if cells or held:
+            yield from written()
+
+    return rows.mapInArrow(count, f"set_id {kinds['set_id']}, a {kinds['aln_id']}, b {kinds['aln_id']}, col int, other int, n long, own long")
+
+
 def consistency(alns: DataFrame) -> DataFrame:
     """Per (set_id, aln_id): columns' share of residue pairs that the set's
     other alignments align too, summed, and its mean.
 
-    Residue pairs are compared by an equi-join on the residues, not by pairs of
-    columns. Alignments of one set have the same rows.
+    No pair is made: of the residues of a column, those that share a column of
+    another alignment too are counted, and n of them are n (n - 1) / 2 pairs.
+    Alignments of one set have the same rows.
     """
-    key = alns.select(F.concat_ws("\x1f", "set_id", "aln_id").alias("aln_id"), "set_id", F.col("aln_id").alias("_a"), "seq_id", "seq")
-    o = with_ordinals(key.select("aln_id", "seq_id", "seq")).where("ordinal > 0")
-    o = o.withColumns({"set_id": F.split("aln_id", "\x1f")[0], "a": F.split("aln_id", "\x1f")[1]}).drop("aln_id")
-    k, m = o.alias("k"), o.alias("m")
-    pair = k.join(m, ["set_id", "a", "col"]).where("k.seq_id < m.seq_id").select(
-        "set_id", "a", "col", F.col("k.seq_id").alias("k"), F.col("k.ordinal").alias("ok"), F.col("m.seq_id").alias("m"), F.col("m.ordinal").alias("om")
-    )
-    agreed = pair.groupBy("set_id", "k", "ok", "m", "om").agg(F.count(F.lit(1)).alias("agreed"))
+    key = ["set_id", "a", "b", "col", "other"]
+    x = _meetings(alns).repartition(_tasks(alns), *key[:4]).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    x = x.select(*key, F.expr("(n * n - own) div 2").alias("pairs")).where("pairs > 0")
+    here, there = F.struct("a", "col"), F.struct(F.col("b").alias("a"), F.col("other").alias("col"))
+    both = x.select("set_id", F.col("b").isNull().alias("all"), "pairs", F.explode(F.when(F.col("a") < F.col("b"), F.array(here, there)).otherwise(F.array(here))).alias("at"))
+    of = both.groupBy("set_id", "at.a", "at.col").agg(F.sum(F.when(F.col("all"), F.col("pairs"))).alias("n"), F.sum(F.when(~F.col("all"), F.col("pairs"))).alias("met"))
     others = alns.groupBy("set_id").agg((F.count_distinct("aln_id") - 1).alias("others"))
-    x = pair.join(agreed, ["set_id", "k", "ok", "m", "om"]).join(others, "set_id")
-    col = x.groupBy("set_id", "a", "col").agg((F.sum(F.col("agreed") - 1) / F.sum("others")).alias("v"))
+    col = of.join(others, "set_id").select("set_id", "a", ((F.col("met") - F.col("n")) / (F.col("n") * F.col("others"))).alias("v"))
     width = alns.groupBy("set_id", F.col("aln_id").alias("a")).agg(F.max(F.length("seq")).alias("w"))
     return col.groupBy("set_id", "a").agg(F.sum("v").alias("total")).join(width, ["set_id", "a"]).select("set_id", F.col("a").alias("aln_id"), F.round(F.col("total") / F.col("w"), 6).alias("consistency"))
 

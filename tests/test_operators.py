@@ -170,6 +170,35 @@ def test_consistency(spark):
     assert ("s", "x", "y", 4) in table(msa.shared_columns(df))
 
 
+def _forms(seed, rows, n_forms, letters="ACGT", width=24):
+    """Alignments of the same rows, with gaps at random places."""
+    rng = random.Random(seed)
+    residues = ["".join(rng.choice(letters) for _ in range(rng.randrange(width // 2, width))) for _ in range(rows)]
+    out = {}
+    for a in "xyz"[:n_forms]:
+        out[a] = []
+        for r in residues:
+            at = sorted(rng.sample(range(width), len(r)))
+            out[a].append("".join(r[at.index(c)] if c in at else "-" for c in range(width)))
+    return out
+
+
+SET = "set_id string, aln_id string, seq_id string, seq string"
+
+
+@pytest.mark.parametrize("part", [1 << 21, 200])
+def test_consistency_counts_meetings_instead_of_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(msa, "PART", part)
+    forms = _forms(11, 60, 3)
+    df = spark.createDataFrame([(s, a, f"r{i}", r) for s in ("s", "t") for a, rows in forms.items() for i, r in enumerate(rows)], SET)
+    meetings = msa._meetings(df).count()
+    assert meetings <= 12 * df.count() * 24  # in proportion to the letters, whatever the number of rows of a set
+    got = {(r.set_id, r.aln_id): r.consistency for r in msa.consistency(df).collect()}
+    assert len(got) == 6
+    for (_, a), v in got.items():
+        assert v == pytest.approx(trim.agreement(forms[a], [r for b, r in forms.items() if b != a]).mean(), abs=1e-5)
+
+
 # ------------------------------------------------------------------ trimming
 
 ROWS = ["A-CGT-A", "A-CGTTA", "A--GTTA", "A-CG--A"]
