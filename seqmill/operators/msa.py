@@ -22,6 +22,10 @@ _GAP = ord("-")
 #: Letters of a part of a set of alignments, and cells that a task holds before it counts them.
 PART = 1 << 21
 MEETINGS = 500_000
+#: Rows of a block, two of which are compared at once, and columns taken at a time.
+BLOCK, SLICE = 512, 2048
+#: Stands for an empty sequence.
+_EMPTY = "\U0010ffff"
 
 
 def cells(aln: DataFrame) -> DataFrame:
@@ -205,13 +209,98 @@ def distances(aln: DataFrame) -> DataFrame:
     return pairwise_identity(aln).select("aln_id", "i", "j", (1 - F.col("identity")).alias("distance"))
 
 
+def _letters(seqs: list[str | None], width: int) -> np.ndarray:
+    """One row of code points per sequence, filled with gaps; an empty sequence is one letter of its own."""
+    text = "".join((s or _EMPTY).ljust(width, "-") for s in seqs)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(seqs), width)
+    return codes.astype(np.uint8) if codes.max(initial=0) < 256 else codes
+
+
+def determined(x: list[str | None], y: list[str | None], indet: str = "N") -> np.ndarray:
+    """Equal columns among those where either row is determined, of each row of
+    ``x`` with each of ``y``; NaN where there is no such column. Counts of equal
+    letters are products of matrices that mark each letter's places."""
+    width = max(len(s or _EMPTY) for s in (*x, *y))
+    same, neither = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    a, b = _letters(x, width), _letters(y, width)
+    for lo in range(0, width, SLICE):
+        p, q = a[:, lo : lo + SLICE], b[:, lo : lo + SLICE]
+        # the few letters of an alignment, and of each only the columns where both sides have it
+        kinds = np.flatnonzero(np.bincount(p.ravel(), minlength=256) * np.bincount(q.ravel(), minlength=256)) if p.dtype == q.dtype == np.uint8 else np.intersect1d(p, q)
+        left, right = [], []
+        for k in kinds:
+            if k not in (_GAP, ord(indet)):
+                u, v = p == k, q == k
+                at = u.any(0) & v.any(0)
+                left.append(u[:, at]), right.append(v[:, at])
+        if left:
+            same += np.hstack(left).astype(np.float32) @ np.hstack(right).astype(np.float32).T
+        u, v = ((z == _GAP) | (z == ord(indet)) for z in (p, q))
+        neither += u.astype(np.float32) @ v.astype(np.float32).T
+    n = width - neither
+    ratio = np.divide(same, n, out=np.full(n.shape, np.nan), where=n > 0)
+    ratio[[s is None for s in x]] = np.nan
+    ratio[:, [s is None for s in y]] = np.nan
+    return ratio
+
+
+def _blocks(aln: DataFrame) -> DataFrame:
+    """(aln_id, p, q, left, right, seq_id, seq): the rows of every two blocks p <= q of an
+    alignment, together and one after the other; any two rows meet in one such
+    place. ``left``, ``right``: the block that the row belongs to."""
+    rows = aln.where("aln_id is not null and seq_id is not null").select("aln_id", "seq_id", F.col("seq").cast("string").alias("seq"))
+    n = F.count(F.lit(1))
+    size = rows.groupBy("aln_id").agg(F.least(n, F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(n * F.max(F.coalesce(F.length("seq"), F.lit(0))) / F.lit(PART)))).alias("_n"))
+    own = F.pmod(F.xxhash64("seq_id"), F.col("_n"))
+    met = rows.join(size, "aln_id").select("aln_id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("other"), "seq_id", "seq")
+    p, q = F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")
+    met = met.select("aln_id", p, q, (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "seq_id", "seq")
+    return met.repartition(_tasks(aln), "aln_id", "p", "q").sortWithinPartitions("aln_id", "p", "q")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], indet: str) -> Iterator[tuple]:
+    """Of every two blocks: their alignment, the rows' ids in order without
+    repeats (as Arrow values), places in them of the left and of the right rows,
+    identities, and which of these are pairs."""
+
+    def compared(aln_id: object, rows: list[tuple]) -> tuple:
+        names = sorted({r[2] for r in rows})
+        at = {x: i for i, x in enumerate(names)}
+        left, right = [r for r in rows if r[0]], [r for r in rows if r[1]]
+        x, y = (np.array([at[r[2]] for r in side], np.int64) for side in (left, right))
+        ratio = determined([r[3] for r in left], [r[3] for r in right], indet)
+        # within one block each two rows meet twice
+        pairs = x[:, None] < y[None, :] if all(r[0] and r[1] for r in rows) else x[:, None] != y[None, :]
+        return pa.scalar(aln_id, kinds[0]), pa.array(names, kinds[5]), x, y, ratio, pairs
+
+    unit, rows, kinds = None, [], []
+    for batch in batches:
+        kinds = batch.schema.types
+        for aln_id, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (aln_id, p, q) != unit:
+                if any(r[0] for r in rows) and any(r[1] for r in rows):
+                    yield compared(unit[0], rows)
+                unit, rows = (aln_id, p, q), []
+            rows.append(row)
+    if any(r[0] for r in rows) and any(r[1] for r in rows):
+        yield compared(unit[0], rows)
+
+
 def determined_identity(aln: DataFrame, indet: str = "N") -> DataFrame:
     """Equal columns among those where either row is determined; and the
     trimmer's distance in percent."""
-    ok = lambda x: (x != "-") & (x != indet)
-    n, same = _count(lambda x, y: ok(x) | ok(y)), _count(lambda x, y: ok(x) & (x == y))
-    ratio = F.when(n > 0, same / n)
-    return pairs(aln).select("aln_id", "i", "j", ratio.alias("identity"), (100 - 100 * ratio).alias("distance_pct"))
+    rows = _blocks(aln)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for aln_id, names, x, y, ratio, pairs in _compared(batches, indet):
+            for lo in range(0, len(x), step := max(1, 65_536 // len(y))):
+                i, j = np.nonzero(pairs[lo : lo + step])
+                v, k, m = ratio[lo + i, j], x[lo + i], y[j]
+                yield pa.RecordBatch.from_arrays([pa.repeat(aln_id, len(i)), names.take(pa.array(np.minimum(k, m))), names.take(pa.array(np.maximum(k, m))), pa.array(v, mask=np.isnan(v))], names=["aln_id", "i", "j", "identity"])
+
+    x = rows.mapInArrow(measure, f"aln_id {kinds['aln_id']}, i {kinds['seq_id']}, j {kinds['seq_id']}, identity double")
+    return x.select("aln_id", "i", "j", "identity", (100 - 100 * F.col("identity")).alias("distance_pct"))
 
 
 def identity_summary(aln: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -199,6 +200,27 @@ def test_consistency_counts_meetings_instead_of_pairs(spark, monkeypatch, part):
         assert v == pytest.approx(trim.agreement(forms[a], [r for b, r in forms.items() if b != a]).mean(), abs=1e-5)
 
 
+def _identity(a, b):
+    both = list(itertools.zip_longest(a or [""], b or [""], fillvalue="-"))
+    n = sum(x not in "-N" or y not in "-N" for x, y in both if x or y) + sum(not x and not y for x, y in both)
+    same = sum(x == y and (not x or x not in "-N") for x, y in both)
+    return same / n if n else None
+
+
+IDENT = ["ACGT-N", "ACGTAA", "acRT-N", "------", "NN-N--", "ACé😀--", "ACé😀-A", "AC", "-CGTAA"]
+
+
+def test_determined_identity_compares_blocks(spark, monkeypatch):
+    # every two rows once, however they fall into blocks, and shorter rows as if filled with gaps
+    want = sorted(((f"s{i}", f"s{j}", _identity(IDENT[i], IDENT[j])) for i in range(len(IDENT)) for j in range(i + 1, len(IDENT))), key=repr)
+    for block in (512, 3):
+        monkeypatch.setattr(msa, "BLOCK", block)
+        got = table(msa.determined_identity(aln(spark, *IDENT)).select("i", "j", "identity", "distance_pct"))
+        assert [r[:3] for r in got] == want
+        assert all(d is None if v is None else d == 100 - 100 * v for *_, v, d in got)
+    assert np.isnan(msa.determined(["--"], ["NN", None])).all()
+
+
 # ------------------------------------------------------------------ trimming
 
 ROWS = ["A-CGT-A", "A-CGTTA", "A--GTTA", "A-CG--A"]
