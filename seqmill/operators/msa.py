@@ -304,11 +304,24 @@ def determined_identity(aln: DataFrame, indet: str = "N") -> DataFrame:
 
 
 def identity_summary(aln: DataFrame) -> DataFrame:
-    """Mean identity and mean of each row's greatest one."""
-    x = determined_identity(aln)
-    both = x.select("aln_id", "i", "identity").unionByName(x.select("aln_id", F.col("j").alias("i"), "identity"))
-    rows = both.groupBy("aln_id", "i").agg(F.avg("identity").alias("mean"), F.max("identity").alias("most"))
-    return rows.groupBy("aln_id").agg(F.round(F.avg("mean"), 6).alias("mean_identity"), F.round(F.avg("most"), 6).alias("mean_max_identity"))
+    """Mean identity and mean of each row's greatest one. Pairs are summed up
+    where they are compared, none is written."""
+    rows = _blocks(aln)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for aln_id, names, x, y, ratio, pairs in _compared(batches, "N"):
+            known = pairs & ~np.isnan(ratio)
+            for places, axis in ((x, 1), (y, 0)):
+                met = pairs.any(axis)
+                n, most = known.sum(axis)[met], np.where(known, ratio, -1).max(axis, initial=-1)[met]
+                arrays = [pa.repeat(aln_id, len(n)), names.take(pa.array(places[met])), pa.array(np.where(known, ratio, 0).sum(axis)[met]), pa.array(n.astype(np.int64)), pa.array(most, mask=n == 0)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["aln_id", "i", "total", "n", "most"])
+
+    x = rows.mapInArrow(total, f"aln_id {kinds['aln_id']}, i {kinds['seq_id']}, total double, n long, most double")
+    of = x.groupBy("aln_id", "i").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("most").alias("most"))
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return of.groupBy("aln_id").agg(F.round(F.avg(mean), 6).alias("mean_identity"), F.round(F.avg("most"), 6).alias("mean_max_identity"))
 
 
 def sum_of_pairs(aln: DataFrame, transition: float = -1.0, transversion: float = -2.0, gap_open: float = -2.0, gap_extend: float = -1.0) -> DataFrame:

@@ -221,6 +221,19 @@ def test_determined_identity_compares_blocks(spark, monkeypatch):
     assert np.isnan(msa.determined(["--"], ["NN", None])).all()
 
 
+def test_identity_summary_writes_no_pairs(spark, monkeypatch):
+    of = {i: [v for j in range(len(IDENT)) if i != j and (v := _identity(IDENT[i], IDENT[j])) is not None] for i in range(len(IDENT))}
+    means, most = [sum(v) / len(v) for v in of.values() if v], [max(v) for v in of.values() if v]
+    for block in (512, 3):
+        monkeypatch.setattr(msa, "BLOCK", block)
+        df = msa.identity_summary(aln(spark, *IDENT).unionByName(aln(spark, "AC", name="one")).unionByName(aln(spark, "-", "N", name="none")))
+        got = {r.aln_id: r for r in df.collect()}
+        assert set(got) == {"a", "none"} and got["none"].mean_identity is None and got["none"].mean_max_identity is None
+        assert got["a"].mean_identity == pytest.approx(sum(means) / len(means), abs=1e-6)
+        assert got["a"].mean_max_identity == pytest.approx(sum(most) / len(most), abs=1e-6)
+    assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()  # sums of blocks come out of the comparison, not pairs
+
+
 # ------------------------------------------------------------------ trimming
 
 ROWS = ["A-CGT-A", "A-CGTTA", "A--GTTA", "A-CG--A"]
