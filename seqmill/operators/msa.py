@@ -9,7 +9,9 @@ letters are never exploded.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -494,10 +496,65 @@ def most_consistent(alns: DataFrame) -> DataFrame:
     return consistency(alns).groupBy("set_id").agg(F.min_by("aln_id", F.struct(-F.col("consistency"), "aln_id")).alias("aln_id"))
 
 
+def _column_digests(alns: DataFrame) -> DataFrame:
+    """(set_id, a, part, col, digest) of the rows that reach a column, with their
+    residues' numbers: equal for columns that hold the same, in any alignment."""
+    kinds = {f.name: f.dataType.simpleString() for f in alns.select("set_id", "aln_id").schema}
+    rows = _parted(alns).sortWithinPartitions("set_id", "aln_id", "part")
+
+    def digests(unit: tuple, rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[0] is not None, r[0]))
+        ids = [b"-" if i is None else b"+" + str(i).encode() for i, _ in rows]
+        ids = [len(i).to_bytes(4, "big") + i for i in ids]
+        lengths = np.array([len(s) for _, s in rows])
+        width, full = int(lengths.max(initial=0)), int(lengths.min(initial=0))
+        codes = np.frombuffer("".join(s.ljust(width, "-") for _, s in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), width)
+        found = codes != _GAP
+        ordinals = np.where(found, np.cumsum(found, axis=1, dtype=np.int32), np.int32(0))
+        hi = 0
+        for _, equal in groupby(ids):
+            lo, hi = hi, hi + sum(1 for _ in equal)
+            if hi - lo > 1:
+                # a row that is there more than once: its numbers in order, of the rows that reach a column before the rest
+                absent = np.arange(width) >= lengths[lo:hi, None]
+                order = np.lexsort((ordinals[lo:hi], absent), axis=0)
+                ordinals[lo:hi] = np.take_along_axis(ordinals[lo:hi], order, axis=0)
+                lengths[lo:hi] = np.sort(lengths[lo:hi])[::-1]
+        columns, all_ids, out = np.ascontiguousarray(ordinals.T), hashlib.sha256(b"".join(ids)).digest(), []
+        for c in range(width):
+            if c < full:
+                out.append(hashlib.sha256(all_ids + columns[c].tobytes()).digest())
+            else:
+                there = np.flatnonzero(lengths > c)
+                out.append(hashlib.sha256(hashlib.sha256(b"".join(ids[k] for k in there)).digest() + columns[c][there].tobytes()).digest())
+        same = [pa.repeat(pa.scalar(v, kind), width) for v, kind in zip(unit, (*kinds[:1], kinds[4], pa.int64()))]
+        return pa.RecordBatch.from_arrays([*same, pa.array(np.arange(1, width + 1)), pa.array(out, pa.binary())], names=["set_id", "a", "part", "col", "digest"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, kinds = None, [], []
+        for batch in batches:
+            kinds = batch.schema.types
+            for s, part, _, name, a, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                if (s, a, part) != unit:
+                    if held:
+                        yield digests(unit, held, kinds)
+                    unit, held = (s, a, part), []
+                held.append((name, seq))
+        if held:
+            yield digests(unit, held, kinds)
+
+    return rows.mapInArrow(digest, f"set_id {kinds['set_id']}, a {kinds['aln_id']}, part long, col long, digest binary")
+
+
 def shared_columns(alns: DataFrame) -> DataFrame:
-    """Columns (by their residues' numbers) that two alignments of a set share."""
-    key = alns.select(F.concat_ws("\x1f", "set_id", "aln_id").alias("aln_id"), "seq_id", "seq")
-    cols = with_ordinals(key).groupBy("aln_id", "col").agg(F.array_sort(F.collect_list(F.struct("seq_id", "ordinal"))).alias("h"))
-    cols = cols.select(F.split("aln_id", "\x1f")[0].alias("set_id"), F.split("aln_id", "\x1f")[1].alias("a"), "col", F.to_json("h").alias("h"))
+    """Columns (by their residues' numbers) that two alignments of a set share.
+
+    A column is known by the SHA-256 of its rows and numbers, taken by parts of
+    the rows where a set is large; no list of a column's rows is shuffled.
+    """
+    part = F.struct("part", F.hex("digest").alias("d"))
+    cols = _column_digests(alns).groupBy("set_id", "a", "col").agg(F.to_json(F.array_sort(F.collect_list(part))).alias("h"))
+    cols = cols.groupBy("set_id", "a", "h").agg(F.count(F.lit(1)).alias("n"))  # columns of gaps may be many
     x, y = cols.alias("x"), cols.alias("y")
-    return x.join(y, ["set_id", "h"]).where("x.a < y.a").groupBy("set_id", F.col("x.a").alias("first_aln"), F.col("y.a").alias("second_aln")).agg(F.count(F.lit(1)).alias("n_shared"))
+    met = x.join(y, ["set_id", "h"]).where("x.a < y.a").groupBy("set_id", F.col("x.a").alias("first_aln"), F.col("y.a").alias("second_aln"))
+    return met.agg(F.sum(F.col("x.n") * F.col("y.n")).alias("n_shared"))

@@ -234,6 +234,22 @@ def test_identity_summary_writes_no_pairs(spark, monkeypatch):
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()  # sums of blocks come out of the comparison, not pairs
 
 
+@pytest.mark.parametrize("part", [1 << 21, 150])
+def test_shared_columns_knows_columns_by_digests(spark, monkeypatch, part):
+    monkeypatch.setattr(msa, "PART", part)
+    forms = _forms(12, 8, 3, width=6)
+    forms["y"] = [r[:2] + "--" + r[2:] for r in forms["x"]]  # the same columns, and two of gaps only
+    forms["z"] = [r[:2] + "-" + r[2 : 5 + i % 2] for i, r in enumerate(forms["x"])]  # rows of unequal length
+    df = spark.createDataFrame([("s", a, f"r{i}", r) for a, rows in forms.items() for i, r in enumerate(rows)], SET)
+    columns = {}
+    for a, rows in forms.items():
+        columns[a] = [tuple((i, 0 if r[c] == "-" else c + 1 - r[: c + 1].count("-")) for i, r in enumerate(rows) if c < len(r)) for c in range(max(map(len, rows)))]
+    want = [("s", a, b, n) for a, b in itertools.combinations("xyz", 2) if (n := sum(p == q for p in columns[a] for q in columns[b]))]
+    assert table(msa.shared_columns(df)) == want
+    parts = msa._column_digests(df).collect()
+    assert all(len(r.digest) == 32 for r in parts) and (part > 150) == (len({r.part for r in parts}) == 1)
+
+
 # ------------------------------------------------------------------ trimming
 
 ROWS = ["A-CGT-A", "A-CGTTA", "A--GTTA", "A-CG--A"]
