@@ -234,6 +234,15 @@ def test_identity_summary_writes_no_pairs(spark, monkeypatch):
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()  # sums of blocks come out of the comparison, not pairs
 
 
+def test_consistency_of_a_row_delivered_twice(spark):
+    # only pairs of different rows count, each as often as it stands there
+    rows = [("s", "x", "1", "AC-"), ("s", "x", "1", "AC-"), ("s", "x", "2", "AC-"), ("s", "y", "1", "AC-"), ("s", "y", "2", "-AC")]
+    df = msa.consistency(spark.createDataFrame(rows, SET))
+    got = {r.aln_id: r.consistency for r in df.collect()}
+    assert got["x"] == pytest.approx(2 * 1 / 3, abs=1e-5) and got["y"] == 0
+    assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()  # nor are cells joined with cells
+
+
 @pytest.mark.parametrize("part", [1 << 21, 150])
 def test_shared_columns_knows_columns_by_digests(spark, monkeypatch, part):
     monkeypatch.setattr(msa, "PART", part)
