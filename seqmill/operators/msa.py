@@ -10,20 +10,24 @@ letters are never exploded.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.sequence import blank_end_gaps
 from ..iupac import BASES, CODE_OF, PAIR_SCORE, TWELFTHS, code_map
+from ..runtime import broadcast_if_small, cut
 
 _GAP = ord("-")
-#: Letters of a part of a set of alignments, and cells that a task holds before it counts them.
+#: Letters of a part of a set of alignments, numbers that a task holds before it sums them up, and bytes of rows looked at at once.
 PART = 1 << 21
 MEETINGS = 500_000
+LETTERS = 1 << 24
 #: Rows of a block, two of which are compared at once, and columns taken at a time.
 BLOCK, SLICE = 512, 2048
 #: Stands for an empty sequence.
@@ -388,9 +392,68 @@ def remove_insertions(aln: DataFrame, taxa_threshold: int = 1, length_threshold:
     return without_columns(aln, islands)
 
 
-def _positions(seq: str) -> np.ndarray:
-    """Columns of a row's residues, from 1."""
-    return np.flatnonzero(np.frombuffer(seq.encode("utf-32-le"), np.uint32) != _GAP).astype(np.int32) + 1
+def _runs(seq: pa.Array) -> pa.Array:
+    """Of each row its runs of residues: pairs (column of the first, from 1; length) as 32-bit numbers."""
+    seq = seq.cast(pa.large_string())
+    off = np.frombuffer(seq.buffers()[1], np.int64)[seq.offset : seq.offset + len(seq) + 1]
+    raw = np.frombuffer(seq.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    if len(raw) and raw.max() > 127:
+        begins = (raw & 0xC0) != 0x80  # a letter of several bytes is one column
+        off, raw = np.concatenate([[0], np.cumsum(begins)])[off], raw[begins]
+    found = raw != _GAP
+    first, last = found.copy(), found.copy()
+    first[1:] &= ~found[:-1]
+    last[:-1] &= ~found[1:]
+    edges = off[:-1][off[:-1] < off[1:]]
+    first[edges] = found[edges]
+    edges = off[1:][off[:-1] < off[1:]] - 1
+    last[edges] = found[edges]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    row = np.searchsorted(off, starts, "right") - 1
+    values = np.stack([starts - off[row] + 1, ends - starts], axis=1).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(seq)))]) * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(seq), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+class _Runs:
+    """Runs of rows, as ``_runs`` gives them, side by side: those of row r stand
+    from ``off[r]`` to ``off[r + 1]``; ``ordinal`` is the number, from 0, of the
+    residue that a run begins with, and ``n`` has the rows' residues."""
+
+    def __init__(self, runs: pa.Array):
+        runs = runs.cast(pa.large_binary())
+        off = np.frombuffer(runs.buffers()[1], np.int64)[runs.offset : runs.offset + len(runs) + 1]
+        pair = np.frombuffer((runs.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[off[0] : off[-1]], np.int32).reshape(-1, 2).astype(np.int64)
+        self.off, (self.col, self.length) = (off - off[0]) // 8, pair.T
+        before = np.concatenate([[0], np.cumsum(self.length)])
+        self.n = np.diff(before[self.off])
+        self.ordinal = before[:-1] - np.repeat(before[self.off[:-1]], np.diff(self.off))
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the runs of some rows: which of those rows, and which run."""
+        many = self.off[rows + 1] - self.off[rows]
+        at = np.repeat(np.arange(len(rows)), many)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + self.off[rows][at]
+
+    def stretches(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(which, column in x, column in y, length) of the stretches that rows ``x``
+        and ``y``, one by one, both have without a gap; residue meets residue by number."""
+        (px, rx), (py, ry) = self.of(x), self.of(y)
+        wide = int(self.n.max(initial=0)) + 1
+        kx, ky = px * wide + self.ordinal[rx], py * wide + self.ordinal[ry]
+        key = np.unique(np.concatenate([kx, ky]))
+        which, ordinal, n = key // wide, key % wide, np.minimum(self.n[x], self.n[y])
+        end = np.minimum(np.append(key[1:], np.iinfo(np.int64).max) - which * wide, n[which])
+        kept = ordinal < n[which]
+        key, which, ordinal, end = key[kept], which[kept], ordinal[kept], end[kept]
+        rx, ry = rx[np.searchsorted(kx, key, "right") - 1], ry[np.searchsorted(ky, key, "right") - 1]
+        return which, self.col[rx] + ordinal - self.ordinal[rx], self.col[ry] + ordinal - self.ordinal[ry], end - ordinal
+
+    def columns(self, row: int) -> np.ndarray:
+        """Columns of a row's residues."""
+        at = slice(self.off[row], self.off[row + 1])
+        return np.repeat(self.col[at] - self.ordinal[at], self.length[at]) + np.arange(self.n[row])
 
 
 def _parted(alns: DataFrame) -> DataFrame:
@@ -404,92 +467,166 @@ def _parted(alns: DataFrame) -> DataFrame:
     return rows.repartition(_tasks(alns), "set_id", "part")
 
 
-def _meetings(alns: DataFrame) -> DataFrame:
-    """(set_id, a, b, col, other, n, own): ``n`` residues of column ``col`` of
-    alignment ``a`` stand in column ``other`` of ``b`` (``a`` <= ``b``), in parts
-    that add up; ``own`` sums the squares of each row's share. A null ``b`` has
-    the residues of the column themselves. Of a set in one part, residues that
-    meet no other are left out: they make no pair.
+def _sizes(alns: DataFrame) -> DataFrame:
+    """(set_id, aln_id, width, letters) of the alignments, materialised: a row each."""
+    length = F.length(F.col("seq").cast("string"))
+    return cut(alns.where("set_id is not null and aln_id is not null").groupBy("set_id", "aln_id").agg(F.max(length).alias("width"), F.sum(length + 1).alias("letters")))
+
+
+def _meetings(alns: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(set_id, a, b, d, col, n, own): from column ``col`` of alignment ``a`` on,
+    ``n`` more residues (less, if negative) stand ``d`` columns further in ``b``
+    (``a`` <= ``b``), in parts that add up; so a row that has no gap on some way
+    gives two numbers there, however long. ``own`` is the like for the sums of
+    the squares of each row's share. A null ``b`` has the residues of the column
+    themselves; what ``a`` = ``b`` has besides them comes from repeated rows.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in alns.select("set_id", "aln_id").schema}
-    rows = _parted(alns.where("seq_id is not null")).sortWithinPartitions("set_id", "part", "seq_id")
-    names = ["at", "col", "other"]
+    kinds = {f.name: f.dataType.simpleString() for f in alns.select("set_id", "aln_id", "seq_id").schema}
+    named = alns.where("set_id is not null and aln_id is not null and seq_id is not null and seq is not null").select("set_id", "aln_id", "seq_id", F.col("seq").cast("string").alias("seq"))
+    parts = (_sizes(alns) if sizes is None else sizes).groupBy("set_id").agg(F.ceil(F.sum("letters") / F.lit(PART)).alias("_parts"))
 
-    def grouped(held: list[pa.Table], cells: list[tuple[int, np.ndarray, np.ndarray | None]]) -> pa.Table:
-        if cells:
-            at = np.repeat(np.array([k for k, _, _ in cells], np.int32), [c.shape[1] for _, c, _ in cells])
-            place, n = np.concatenate([c for _, c, _ in cells], axis=1), np.concatenate([np.ones(c.shape[1], np.int64) if n is None else n for _, c, n in cells])
-            held = [*held, pa.table([at, place[0], place[1], n, n * n], names=[*names, "n", "own"])]
-        t = pa.concat_tables(held).group_by(names, use_threads=False).aggregate([("n", "sum"), ("own", "sum")])
-        return t.select([*names, "n_sum", "own_sum"]).rename_columns([*names, "n", "own"])
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # gaps are what counts here: far fewer bytes than letters are sent
+        for batch in batches:
+            many = max(1, LETTERS * batch.num_rows // max(1, batch.column(3).nbytes))
+            for lo in range(0, batch.num_rows, many):
+                x = batch.slice(lo, many)
+                yield pa.RecordBatch.from_arrays([*x.columns[:3], _runs(x.column(3))], names=["set_id", "aln_id", "seq_id", "runs"])
+
+    short = named.mapInArrow(shorten, f"set_id {kinds['set_id']}, aln_id {kinds['aln_id']}, seq_id {kinds['seq_id']}, runs binary")
+    part = F.pmod(F.xxhash64("seq_id"), F.col("_parts")).alias("part")
+    rows = short.join(broadcast_if_small(parts), "set_id").select("set_id", part, "seq_id", "aln_id", "runs")
+    rows = rows.repartition(_tasks(alns), "set_id", "part").sortWithinPartitions("set_id", "part", "seq_id", "aln_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[tuple, int] = {}
         held: list[pa.Table] = []
-        cells: list[tuple[int, np.ndarray, np.ndarray | None]] = []
         types: list[pa.DataType] = []
-
-        def met(s: object, whole: bool, of: dict) -> int:
-            order, n_cells = sorted(of), 0
+        names = ["at", "d", "col"]
+
+        def add(code: np.ndarray, x: np.ndarray, y: np.ndarray | None, length: np.ndarray, n: np.ndarray, own: np.ndarray) -> None:
+            d = x * 0 if y is None else y - x
+            cols = [np.concatenate(v) for v in ((code, code), (d, d), (x, x + length), (n, -n), (own, -own))]
+            held.append(summed([pa.table(cols, names=[*names, "n", "own"])]))
+
+        def summed(tables: list[pa.Table]) -> pa.Table:
+            t = pa.concat_tables(tables).group_by(names, use_threads=False).aggregate([("n", "sum"), ("own", "sum")])
+            return t.select([*names, "n_sum", "own_sum"]).rename_columns([*names, "n", "own"])
+
+        def codes(sets: np.ndarray, a: np.ndarray, b: np.ndarray | None, values: tuple[list, list]) -> np.ndarray:
+            wide = len(values[1]) + 1
+            triple, of = np.unique((sets * wide + a) * wide + (wide - 1 if b is None else b), return_inverse=True)
+            known = [(values[0][k // wide // wide], values[1][k // wide % wide], None if k % wide == wide - 1 else values[1][k % wide]) for k in triple.tolist()]
+            return np.array([at.setdefault(k, len(at)) for k in known], np.int64)[of]
+
+        def repeated(rows: range, aln: np.ndarray, runs: _Runs, code: Callable[[int, int | None], int]) -> None:
+            # a row that an alignment has more than once: by cells, equal copies together
+            forms: dict[int, list[tuple[np.ndarray, int]]] = {}
+            copies = Counter((int(aln[r]), runs.columns(r).tobytes()) for r in rows)
+            for (a, cols), n in copies.items():
+                forms.setdefault(a, []).append((np.frombuffer(cols, np.int64), n))
+            order = list(forms)
             for i, a in enumerate(order):
                 for b in (None, *order[i:]):
-                    pairs = [(x, x * 0) for x in of[a]] if b is None else [(x[: len(y)], y[: len(x)]) for x in of[a] for y in of[b]]
-                    found, n = np.concatenate([np.stack(x) for x in pairs], axis=1), None
-                    if len(pairs) > 1:  # a row that an alignment has more than once
-                        found, n = np.unique(found, axis=1, return_counts=True)
-                    cells.append((at.setdefault((s, a, b, whole), len(at)), found, n))
-                    n_cells += found.shape[1]
-            return n_cells
+                    found = [(x, x, n) for x, n in forms[a]] if b is None else [(x[: len(y)], y[: len(x)], n * m) for x, n in forms[a] for y, m in forms[b]]
+                    cells, of = np.unique(np.concatenate([np.stack([x, y]) for x, y, _ in found], axis=1), axis=1, return_inverse=True)
+                    n = np.zeros(cells.shape[1], np.int64)
+                    np.add.at(n, of.ravel(), np.concatenate([np.full(len(x), n) for x, _, n in found]))
+                    one = np.ones(len(n), np.int64)
+                    add(one * code(a, b), cells[0], cells[1], one, n, n * n)
+                    if b is None:  # the column's residues count for a = b too, so these are taken from it
+                        add(one * code(a, a), cells[0], None, one, -n, -n * n)
+
+        def meet(t: pa.Table) -> None:
+            sets, ids, alns = (t.column(c).combine_chunks() for c in (0, 2, 3))
+            differs = lambda c: pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            group = np.concatenate([[0], np.cumsum(differs(sets) | differs(ids))])
+            (s, a), values = zip(*((e.indices.to_numpy().astype(np.int64), e.dictionary.to_pylist()) for e in (sets.dictionary_encode(), alns.dictionary_encode())))
+            runs = _Runs(t.column(4).combine_chunks())
+            many = np.zeros(group[-1] + 1, bool)
+            many[group[1:][(np.diff(group) == 0) & (np.diff(a) == 0)]] = True
+            once = np.flatnonzero(~many[group])
+            which, run = runs.of(once)
+            one = np.ones(len(run), np.int64)
+            add(codes(s[once], a[once], None, values)[which], runs.col[run], None, runs.length[run], one, one)
+            lag = 1
+            while len(x := once[once < len(group) - lag]) and len(x := x[group[x] == group[x + lag]]):
+                which, here, there, length = runs.stretches(x, x + lag)
+                one = np.ones(len(which), np.int64)
+                add(codes(s[x], a[x], a[x + lag], values)[which], here, there, length, one, one)
+                lag += 1
+            for g in np.flatnonzero(many):
+                rows = range(*np.searchsorted(group, [g, g + 1]).tolist())
+                name = values[0][s[rows[0]]]
+                repeated(rows, a, runs, lambda a, b: at.setdefault((name, values[1][a], None if b is None else values[1][b]), len(at)))
 
         def written() -> Iterator[pa.RecordBatch]:
-            t = grouped(held, cells).combine_chunks()
-            n, own, code = (t.column(c).to_numpy() for c in ("n", "own", "at"))
-            t = t.filter(pa.array((n * n > own) | ~np.array([w for *_, w in at])[code]))
+            t = held[0].filter(pc.or_(pc.not_equal(held[0]["n"], 0), pc.not_equal(held[0]["own"], 0)))
             cols = [pa.array(x, kind).take(t.column("at").combine_chunks()) for x, kind in zip(zip(*at), types)]
-            yield from pa.table([*cols, *t.columns[1:]], names=["set_id", "a", "b", *t.column_names[1:]]).to_batches(50_000)
-            at.clear(), held.clear(), cells.clear()
+            yield from pa.table([*cols, *t.columns[1:]], names=["set_id", "a", "b", "d", "col", "n", "own"]).to_batches(50_000)
+            at.clear(), held.clear()
 
-        unit, row, of, waiting = None, None, {}, 0
+        def taken(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            meet(t)
+            if sum(h.num_rows for h in held) > MEETINGS:
+                held[:] = [summed(held)]
+                if held[0].num_rows > MEETINGS // 2:
+                    yield from written()
+
+        rest: pa.Table | None = None
         for batch in batches:
-            types = [batch.schema.field(c).type for c in (0, 4, 4)]
-            for s, part, whole, name, a, seq in zip(*(c.to_pylist() for c in batch.columns)):
-                if (s, part, whole, name) != row:
-                    if of:
-                        waiting += met(row[0], row[2], of)
-                    if waiting > MEETINGS:
-                        held[:], waiting = [grouped(held, cells)], 0
-                        cells.clear()
-                    if (s, part) != unit and (held or waiting > MEETINGS // 2):
-                        yield from written()
-                        waiting = 0
-                    unit, row, of = (s, part), (s, part, whole, name), {}
-                of.setdefault(a, []).append(_positions(seq))
-        if of:
-            met(row[0], row[2], of)
-        if cells or held:
+            types = [batch.schema.field(c).type for c in (0, 3, 3)]
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            same = np.ones(t.num_rows, bool)  # the last row's others may still follow
+            for c in (0, 2):
+                same &= pc.equal(t.column(c), t.column(c)[-1]).to_numpy()
+            end = int(np.append(np.flatnonzero(~same), -1).max()) + 1
+            rest = t.slice(end)
+            if end:
+                yield from taken(t.slice(0, end))
+        if rest is not None:
+            yield from taken(rest)
+        if held:
+            held[:] = [summed(held)]
             yield from written()
 
-    return rows.mapInArrow(count, f"set_id {kinds['set_id']}, a {kinds['aln_id']}, b {kinds['aln_id']}, col int, other int, n long, own long")
+    return rows.mapInArrow(count, f"set_id {kinds['set_id']}, a {kinds['aln_id']}, b {kinds['aln_id']}, d long, col long, n long, own long")
 
 
 def consistency(alns: DataFrame) -> DataFrame:
     """Per (set_id, aln_id): columns' share of residue pairs that the set's
     other alignments align too, summed, and its mean.
 
-    No pair is made: of the residues of a column, those that share a column of
-    another alignment too are counted, and n of them are n (n - 1) / 2 pairs.
+    No pair is made and no cell: of the residues of a column, those that share a
+    column of another alignment too are counted, and n of them are n (n - 1) / 2
+    pairs; columns that follow one another with the same counts are one row.
     Alignments of one set have the same rows.
     """
-    key = ["set_id", "a", "b", "col", "other"]
-    x = _meetings(alns).repartition(_tasks(alns), *key[:4]).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
-    x = x.select(*key, F.expr("(n * n - own) div 2").alias("pairs")).where("pairs > 0")
-    here, there = F.struct("a", "col"), F.struct(F.col("b").alias("a"), F.col("other").alias("col"))
-    both = x.select("set_id", F.col("b").isNull().alias("all"), "pairs", F.explode(F.when(F.col("a") < F.col("b"), F.array(here, there)).otherwise(F.array(here))).alias("at"))
-    of = both.groupBy("set_id", "at.a", "at.col").agg(F.sum(F.when(F.col("all"), F.col("pairs"))).alias("n"), F.sum(F.when(~F.col("all"), F.col("pairs"))).alias("met"))
-    others = alns.groupBy("set_id").agg((F.count_distinct("aln_id") - 1).alias("others"))
-    col = of.join(others, "set_id").select("set_id", "a", ((F.col("met") - F.col("n")) / (F.col("n") * F.col("others"))).alias("v"))
-    width = alns.groupBy("set_id", F.col("aln_id").alias("a")).agg(F.max(F.length("seq")).alias("w"))
-    return col.groupBy("set_id", "a").agg(F.sum("v").alias("total")).join(width, ["set_id", "a"]).select("set_id", F.col("a").alias("aln_id"), F.round(F.col("total") / F.col("w"), 6).alias("consistency"))
+    sizes = _sizes(alns)
+    key = ["set_id", "a", "b", "d"]
+    x = _meetings(alns, sizes).withColumn("b", F.explode(F.when(F.col("b").isNull(), F.array("b", "a")).otherwise(F.array("b"))))
+    x = x.repartition(_tasks(alns), *key).groupBy(*key, "col").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    way = W.partitionBy(*key).orderBy("col")
+    x = x.select(*key, "col", F.lead("col").over(way).alias("end"), F.sum("n").over(way).alias("n"), F.sum("own").over(way).alias("own"))
+    x = x.select(*key, "col", "end", F.expr("(n * n - own) div 2").alias("pairs")).where("pairs > 0")
+    every, none = F.col("b").isNull(), F.lit(0).cast("long")
+
+    def turn(a: str, at: Column, sign: int) -> Column:
+        v = F.col("pairs") * sign
+        return F.struct(F.col(a).alias("a"), at.alias("col"), F.when(every, v).otherwise(none).alias("n"), F.when(every, none).otherwise(v).alias("met"))
+
+    here, there = ([turn(a, F.col("col") + d, 1), turn(a, F.col("end") + d, -1)] for a, d in (("a", none), ("b", F.col("d"))))
+    turns = x.select("set_id", F.explode(F.when(F.col("a") < F.col("b"), F.array(*here, *there)).otherwise(F.array(*here))).alias("at"))
+    of = turns.groupBy("set_id", "at.a", "at.col").agg(F.sum("at.n").alias("n"), F.sum("at.met").alias("met"))
+    along = W.partitionBy("set_id", "a").orderBy("col")
+    of = of.select("set_id", "a", (F.lead("col").over(along) - F.col("col")).alias("columns"), F.sum("n").over(along).alias("n"), F.sum("met").over(along).alias("met")).where("n > 0")
+    # a set's only alignment agrees with no other: nothing is met besides its own pairs
+    others = F.greatest(F.count(F.lit(1)).over(W.partitionBy("set_id")) - 1, F.lit(1)).alias("others")
+    width = sizes.select("set_id", F.col("aln_id").alias("a"), "width", others)
+    total = of.groupBy("set_id", "a").agg(F.sum((F.col("met") - F.col("n")) / F.col("n") * F.col("columns")).alias("total"))
+    return total.join(width, ["set_id", "a"]).select("set_id", F.col("a").alias("aln_id"), F.round(F.col("total") / F.col("others") / F.col("width"), 6).alias("consistency"))
 
 
 def most_consistent(alns: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ def aligned_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def _two_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Each job alignment in two forms: gaps at the end, and at the beginning."""
-    a = job_alignments(spark, d).select(F.col("aln_id").alias("set_id"), F.lit("right").alias("aln_id"), "seq_id", "seq")
-    bare = F.replace("seq", F.lit("-"), F.lit(""))
-    return a.unionByName(a.withColumns({"seq": F.lpad(bare, F.length("seq"), F.lit("-")), "aln_id": F.lit("left")}))
+    left = F.lpad(F.replace("seq", F.lit("-"), F.lit("")), F.length("seq"), F.lit("-"))
+    forms = F.array(F.struct(F.lit("right").alias("aln_id"), F.col("seq").alias("seq")), F.struct(F.lit("left").alias("aln_id"), left.alias("seq")))
+    return job_alignments(spark, d, near=True).select(F.col("aln_id").alias("set_id"), "seq_id", F.inline(forms)).select("set_id", "aln_id", "seq_id", "seq")
 
 
 def consensus_per_taxon(spark: SparkSession, d: str) -> DataFrame:

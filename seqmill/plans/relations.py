@@ -19,11 +19,14 @@ _DISTURBED = """CASE CAST(right(seq_id, 1) AS INTEGER)
   WHEN 6 THEN substr(s, 1, 30) || repeat('-', 24) || 'N' || substr(s, 56) ELSE s END"""
 
 
-def job_alignments(spark: SparkSession, d: str) -> DataFrame:
+def job_alignments(spark: SparkSession, d: str, near: bool = False) -> DataFrame:
     """One alignment per query: its jobs' sequences, filled with gaps to the longest,
-    with gaps at the beginning and inside, wildcards and small letters in some rows."""
+    with gaps at the beginning and inside, wildcards and small letters in some rows.
+    ``near``: the widths are sent to the rows if they are counted few, instead of
+    shuffling the rows."""
     jobs = table(spark, d, "search_jobs").where("query is not null and sequence is not null").select(F.col("query").alias("aln_id"), F.col("id").alias("seq_id"), "sequence")
     size = jobs.groupBy("aln_id").agg(F.max(F.length("sequence")).alias("w"))
+    size = broadcast_if_small(size) if near else size
     whole = jobs.join(size, "aln_id").select("aln_id", "seq_id", F.rpad("sequence", F.col("w"), F.lit("-")).alias("s"))
     return whole.select("aln_id", "seq_id", F.expr(_DISTURBED).alias("seq"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqmill.operators import align, cluster, hits, kmer, matrix, msa, records, search, selection, trim
-from seqmill.plans import record_queries
+from seqmill.plans import alignment_queries, record_queries
 
 HIT = "query_acc string, subject_acc string, n_identical long, alignment_length long, q_start long, q_end long, s_start long, s_end long, bit_score double"
 ALN = "aln_id string, seq_id string, seq string"
@@ -243,6 +243,29 @@ def test_consistency_of_a_row_delivered_twice(spark):
     assert "posexplode" not in df._jdf.queryExecution().optimizedPlan().toString()  # nor are cells joined with cells
 
 
+@pytest.mark.parametrize("part", [1 << 21, 2000])
+def test_consistency_counts_runs_instead_of_cells(spark, monkeypatch, part):
+    monkeypatch.setattr(msa, "PART", part)
+    monkeypatch.setattr(msa, "LETTERS", 700, raising=False)
+    rng = random.Random(13)
+    residues = ["".join(rng.choice("ACGTé😀") for _ in range(300 - rng.randrange(3))) for _ in range(40)]
+    forms = {"x": [r.ljust(302, "-") for r in residues], "y": [r.rjust(302, "-") for r in residues], "z": [(r[:100] + "--" + r[100:]).ljust(302, "-") for r in residues]}
+    df = spark.createDataFrame([("s", a, f"r{i}", r) for a, rows in forms.items() for i, r in enumerate(rows)], SET)
+    assert msa._meetings(df).count() < 40 * 302 // 10  # two numbers a run of residues, not one a column
+    for r in msa.consistency(df).collect():
+        assert r.consistency == pytest.approx(trim.agreement(forms[r.aln_id], [f for b, f in forms.items() if b != r.aln_id]).mean(), abs=1e-5)
+
+
+def test_consistency_of_an_only_alignment_is_none(spark):
+    got = msa.consistency(spark.createDataFrame([("s", "x", "1", "AC-"), ("s", "x", "2", "ACG"), ("t", "x", "1", "AC")], SET))
+    assert table(got) == [("s", "x", 0.0)]
+
+
+def test_consistency_has_two_scans_in_its_plan(spark, sf):
+    plan = alignment_queries.QUERIES["consistency"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2  # the jobs, and their widths
+
+
 @pytest.mark.parametrize("part", [1 << 21, 150])
 def test_shared_columns_knows_columns_by_digests(spark, monkeypatch, part):
     monkeypatch.setattr(msa, "PART", part)
